@@ -81,7 +81,7 @@ def queries() -> dict[str, str]:
         "dictionary": f"{dictionary(parts)} SELECT * FROM dict",
         "encode_sequences": f"{dictionary(w)} SELECT string_agg(dict.tid::VARCHAR, ' ' ORDER BY s.pos) AS ids, sid AS seq_id FROM s JOIN dict USING (item) GROUP BY sid",
         "decode_roundtrip": f"{base(w)} SELECT string_agg(item, ' ' ORDER BY pos) AS items, sid AS seq_id FROM s GROUP BY sid",
-        "pivot_partitions": f"{chains(w)} SELECT ch.a::INT AS "pivot", count(DISTINCT sid) AS n_sequences FROM enc JOIN ch USING (code) GROUP BY 1",
+        "pivot_partitions": f"{chains(w)} SELECT ch.a::INT AS \"pivot\", count(DISTINCT sid) AS n_sequences FROM enc JOIN ch USING (code) GROUP BY 1",
         "pivot_rewrite": f"""{chains(w)}, pv AS (SELECT DISTINCT sid, ch.a AS top FROM enc JOIN ch USING (code)),
   re AS (SELECT pv.sid, pv.top, enc.pos, max(ch.a) AS id FROM pv JOIN enc ON enc.sid = pv.sid LEFT JOIN ch ON ch.code = enc.code AND ch.a <= pv.top GROUP BY ALL),
   st AS (SELECT sid, top, string_agg(coalesce(id::VARCHAR, '_'), ' ' ORDER BY pos) AS seq FROM re GROUP BY sid, top)
