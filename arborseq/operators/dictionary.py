@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from arborseq.common import cut, is_small, maybe_broadcast, pick
 
@@ -25,27 +27,27 @@ def _lookup(values: pa.Array, keys: pa.Array) -> np.ndarray:
     return pc.index_in(values.cast(pa.string()), value_set=keys).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _closure_arrays(chain: DataFrame) -> tuple[pa.Array, np.ndarray, np.ndarray, list[str]]:
+def _closure_arrays(t: pd.DataFrame) -> tuple[pa.Array, np.ndarray, np.ndarray, list[str]]:
     """(items, offsets, indexes of their ancestors, names of these) of a small closure."""
-    t = chain.toPandas().sort_values("item", kind="stable")
+    t = t.sort_values("item", kind="stable")
     names = sorted(set(t["ancestor"]))
     index = {x: i for i, x in enumerate(names)}
     items, many = np.unique(t["item"].to_numpy(str), return_counts=True) if len(t) else (np.array([], str), np.array([], int))
     return pa.array(items.tolist(), pa.string()), np.append(0, np.cumsum(many)), np.array([index[x] for x in t["ancestor"]], np.int64), names
 
 
-def flist(sequences: DataFrame, chain: DataFrame | None = None) -> DataFrame:
+def flist(sequences: DataFrame, chain: DataFrame | None = None, here: pd.DataFrame | None = None) -> DataFrame:
     """``item, cf, df``: occurrences of each item or a descendant of it, and sequences that hold one, both weighted.
 
     chain: ``item, ancestor`` with each item itself (closure()); items missing in it stand for themselves. Counts are made per
-    sequence where it lies and combined before the only shuffle, on the item.
+    sequence where it lies and combined before the only shuffle, on the item. here: the rows of chain, if the driver has them.
     """
     rows = weighted(sequences)
     if chain is None:
         chain = rows.sparkSession.createDataFrame([], "item string, ancestor string")
     chain = chain.select("item", "ancestor")
-    if is_small(chain, LOOKUP):
-        sent = rows.sparkSession.sparkContext.broadcast(_closure_arrays(chain))
+    if here is not None or is_small(chain, LOOKUP):
+        sent = rows.sparkSession.sparkContext.broadcast(_closure_arrays(chain.toPandas() if here is None else here[["item", "ancestor"]]))
 
         def count(batches):
             keys, at, flat, names = sent.value
@@ -116,6 +118,21 @@ def dictionary(counts: DataFrame, edges: DataFrame, chain: DataFrame) -> DataFra
     )
 
 
+def dictionary_here(counts: pd.DataFrame, edges: pd.DataFrame, chain: pd.DataFrame) -> pd.DataFrame:
+    """dictionary() of small tables, in the driver."""
+    d = counts.sort_values("item", kind="stable").sort_values("cf", ascending=False, kind="stable", ignore_index=True)
+    d["tid"] = np.arange(1, len(d) + 1, dtype=np.int32)
+    cf, tid = dict(zip(d["item"], d["cf"])), dict(zip(d["item"], d["tid"]))
+    parent: dict[str, int] = {}
+    for item, up, depth in chain.sort_values("depth").itertuples(index=False):
+        if depth and item not in parent and item in cf and cf[up] > cf[item]:
+            parent[item] = tid[up]
+    red = {p for c, p in edges.itertuples(index=False) if c in cf and cf[c] == cf[p]}
+    d["parent_tid"] = np.array([parent.get(x, 0) for x in d["item"]], np.int32)
+    d["redundant"] = np.array([x in red for x in d["item"]], bool)
+    return d
+
+
 def _ranked(counts: DataFrame) -> DataFrame:
     sorted_rows = cut(
         counts.select("item", "cf", "df").orderBy(F.col("cf").desc(), "item").withColumn("part", F.spark_partition_id())
@@ -126,12 +143,12 @@ def _ranked(counts: DataFrame) -> DataFrame:
     return sorted_rows.withColumn("rank", rank).join(F.broadcast(before), "part").select("item", "cf", "df", (F.col("rank") + F.col("before")).cast("int").alias("tid"))
 
 
-def encode(sequences: DataFrame, ids: DataFrame) -> DataFrame:
+def encode(sequences: DataFrame, ids: DataFrame, here: pd.DataFrame | None = None) -> DataFrame:
     """``seq, tids, weight``: each item as its id from ``item, tid``; items without one, and nulls, are 0 and keep their position.
 
-    Sequences without any item are left out, as are nulls of the array column.
+    Sequences without any item are left out, as are nulls of the array column. here: the rows of ids, if the driver has them.
     """
-    return _encode(weighted(sequences).where(F.size("items") > 0), ids)
+    return _encode(weighted(sequences).where(F.size("items") > 0), ids, here)
 
 
 def encode_rows(sequences: DataFrame, ids: DataFrame) -> DataFrame:
@@ -140,10 +157,10 @@ def encode_rows(sequences: DataFrame, ids: DataFrame) -> DataFrame:
     return _encode(rows.select(F.col("seq").cast("bigint"), "items", "weight"), ids).select(F.col("seq").alias("seq_id"), "tids")
 
 
-def _encode(rows: DataFrame, ids: DataFrame) -> DataFrame:
+def _encode(rows: DataFrame, ids: DataFrame, here: pd.DataFrame | None = None) -> DataFrame:
     ids = ids.select("item", "tid")
-    if is_small(ids, LOOKUP):
-        got = ids.toPandas()
+    if here is not None or is_small(ids, LOOKUP):
+        got = ids.toPandas() if here is None else here
         sent = rows.sparkSession.sparkContext.broadcast((got["item"].tolist(), got["tid"].to_numpy(np.int32)))
 
         def run(batches):
@@ -160,10 +177,26 @@ def _encode(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return back.select("seq", F.col("x.tid").cast("array<int>").alias("tids"), "weight")
 
 
-def decode(patterns: DataFrame, ids: DataFrame, column: str = "pattern_ids") -> DataFrame:
-    """The rows with ``pattern``, the items of the ids in ``column``."""
-    numbered = patterns.withColumn("__p", F.monotonically_increasing_id())
-    numbered = cut(numbered)
+def decode(patterns: DataFrame, ids: DataFrame, column: str = "pattern_ids", here: pd.DataFrame | None = None) -> DataFrame:
+    """The rows with ``pattern``, the items of the ids in ``column``. here: the rows of ids, if the driver has them."""
+    if here is not None or is_small(ids.select("tid", "item"), LOOKUP):
+        got = ids.select("tid", "item").toPandas() if here is None else here
+        names = np.full(int(got["tid"].max() if len(got) else 0) + 1, None, object)
+        names[got["tid"].to_numpy(np.int64)] = got["item"]
+        sent = patterns.sparkSession.sparkContext.broadcast(names.tolist())
+        at = patterns.columns.index(column)
+
+        def run(batches):
+            words = pa.array(sent.value, pa.string())
+            for b in batches:
+                lists = b.column(at)
+                offsets = np.asarray(lists.offsets)
+                own = pa.ListArray.from_arrays(pa.array(offsets - offsets[0]), words.take(lists.flatten()))
+                yield pa.RecordBatch.from_arrays([*b.columns, own], [*b.schema.names, "pattern"])
+
+        schema = StructType([*patterns.schema.fields, StructField("pattern", ArrayType(StringType()))])
+        return patterns.mapInArrow(run, schema)
+    numbered = cut(patterns.withColumn("__p", F.monotonically_increasing_id()))
     one = numbered.select("__p", F.posexplode(column).alias("pos", "tid")).join(maybe_broadcast(ids.select("tid", "item")), "tid")
     back = one.groupBy("__p").agg(F.array_sort(F.collect_list(F.struct("pos", "item"))).alias("x"))
     return numbered.join(back, "__p").withColumn("pattern", F.col("x.item")).drop("__p", "x")

@@ -50,6 +50,61 @@ class Entries:
             s = e
 
 
+def rewrite(at: np.ndarray, codes: np.ndarray, weight: np.ndarray, chain_at: np.ndarray, chain: np.ndarray, gap: int, reach: int):
+    """(pivots, offsets, ids, weights): each row as each of its frequent ids, the pivot, needs it.
+
+    Every position has the first id of its chain that is at most the pivot, else a blank. Positions farther than ``reach`` from
+    the first or last pivot are dropped; parts between runs of more than ``gap`` blanks are kept if they hold the pivot and two ids at least,
+    and are joined by the run -(gap + 1); other runs of n blanks are -n.
+    """
+    size = np.diff(at)
+    row = np.repeat(np.arange(len(size)), size)
+    many = np.where(codes > 0, chain_at[codes + 1] - chain_at[codes], 0)
+    ids = chain[np.repeat(chain_at[codes], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
+    top = len(chain_at)
+    r, pivot = np.divmod(np.unique(np.repeat(row, many) * top + ids), top)
+    m = size[r]
+    pair = np.repeat(np.arange(len(r)), m)
+    pos = np.arange(len(pair)) - np.repeat(np.cumsum(m) - m, m)
+    code = codes[at[r[pair]] + pos]
+    now, end = chain_at[code], np.where(code > 0, chain_at[code + 1], chain_at[code])
+    own = pivot[pair]
+    while True:
+        high = (now < end) & (chain[np.minimum(now, len(chain) - 1)] > own)
+        if not high.any():
+            break
+        now = now + high
+    live = now < end
+    pair, pos, own, ids = pair[live], pos[live], own[live], chain[now[live]]
+    is_pivot = ids == own
+    first, last = np.full(len(r), np.iinfo(np.int64).max), np.full(len(r), -1)
+    np.minimum.at(first, pair[is_pivot], pos[is_pivot])
+    np.maximum.at(last, pair[is_pivot], pos[is_pivot])
+    near = (pos >= first[pair] - reach) & (pos <= last[pair] + reach)
+    pair, pos, ids, is_pivot = pair[near], pos[near], ids[near], is_pivot[near]
+    if not len(pair):
+        return np.zeros(0, np.int64), np.zeros(1, np.int64), ids, weight[:0]
+    skipped = np.append(0, pos[1:] - pos[:-1] - 1)
+    new_pair = np.append(True, pair[1:] != pair[:-1])
+    part = np.cumsum(new_pair | (skipped > gap)) - 1
+    good = (np.bincount(part) >= 2) & (np.bincount(part, weights=is_pivot) > 0)
+    keep = good[part]
+    pair, ids, skipped, part = pair[keep], ids[keep], skipped[keep], part[keep]
+    if not len(pair):
+        return np.zeros(0, np.int64), np.zeros(1, np.int64), ids, weight[:0]
+    new_pair = np.append(True, pair[1:] != pair[:-1])
+    new_part = np.append(True, part[1:] != part[:-1])
+    run = np.where(new_pair, 0, np.where(new_part, gap + 1, skipped))
+    width = 1 + (run > 0)
+    out = np.zeros(int(width.sum()), np.int64)
+    place = np.cumsum(width) - 1
+    out[place] = ids
+    out[place[run > 0] - 1] = -run[run > 0]
+    which = pair[new_pair]
+    offsets = np.append((np.cumsum(width) - width)[new_pair], len(out))
+    return pivot[which], offsets, out, weight[r[which]]
+
+
 def unique(parts: list[np.ndarray]) -> np.ndarray:
     return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.int64)
 

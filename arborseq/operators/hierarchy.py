@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +10,10 @@ from arborseq.common import cut, pick
 from arborseq.operators.tree import full_hierarchy
 
 
+#: Rows of a hierarchy that the driver climbs itself.
+SMALL = 100_000
+
+
 class HierarchyError(ValueError):
     """The hierarchy is no forest: an item with several parents, or a loop."""
 
@@ -24,7 +29,10 @@ def check_forest(hierarchy: DataFrame) -> DataFrame:
 
 def closure(hierarchy: DataFrame) -> DataFrame:
     """``item, ancestor, depth`` of each node with itself (depth 0) and all its ancestors; raises on a loop."""
-    edges = check_forest(hierarchy)
+    return _closure(check_forest(hierarchy))
+
+
+def _closure(edges: DataFrame) -> DataFrame:
     roots = edges.select(F.col("parent").alias("item")).join(edges.select("item"), "item", "left_anti").distinct()
     full = cut(full_hierarchy(edges.unionByName(roots.withColumn("parent", F.lit(None).cast("string")))))
     if bad := full.where("loop").select("item").limit(1).collect():
@@ -33,12 +41,41 @@ def closure(hierarchy: DataFrame) -> DataFrame:
     return one.select("item", "ancestor", (F.col("n") - 1 - F.col("at")).alias("depth"))
 
 
+def _closure_here(edges: pd.DataFrame) -> pd.DataFrame:
+    """closure() of a small hierarchy."""
+    up: dict[str, str] = {}
+    for item, parent in edges.itertuples(index=False):
+        if item in up:
+            raise HierarchyError(f"item {item!r} has 2 parents")
+        up[item] = parent
+    rows = []
+    for item in {*up, *up.values()}:
+        at, depth, seen = item, 0, set()
+        while at is not None:
+            if at in seen:
+                raise HierarchyError(f"item {item!r} leads into a loop")
+            seen.add(at)
+            rows.append((item, at, depth))
+            at, depth = up.get(at), depth + 1
+    return pd.DataFrame(rows, columns=["item", "ancestor", "depth"]).astype({"depth": "int32"})
+
+
 class Taxonomy:
     """Functions on a hierarchy; each gives a table, and takes tables where it is asked about several items at once."""
 
     def __init__(self, hierarchy: DataFrame):
-        self.edges = check_forest(hierarchy)
-        self.closure = cut(closure(self.edges))
+        spark = hierarchy.sparkSession
+        #: ``item, parent`` and ``item, ancestor, depth`` in the driver, if the hierarchy is small
+        self.here: tuple[pd.DataFrame, pd.DataFrame] | None = None
+        rows = pick(hierarchy, item="item", parent="parent").where("item is not null and parent is not null").distinct()
+        some = rows.limit(SMALL + 1).toPandas()
+        if len(some) <= SMALL:
+            self.here = some, _closure_here(some)
+            self.edges = spark.createDataFrame(some, "item string, parent string")
+            self.closure = spark.createDataFrame(self.here[1], "item string, ancestor string, depth int")
+        else:
+            self.edges = check_forest(hierarchy)
+            self.closure = cut(_closure(self.edges))
 
     def parents(self) -> DataFrame:
         """``item, parent``."""

@@ -11,14 +11,15 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arborseq.common import cut, is_small, maybe_broadcast
+from arborseq.common import cut, is_small, maybe_broadcast, width
 from arborseq.functions import arrays as A
 from arborseq.operators import grow
-from arborseq.operators.dictionary import LOOKUP, encode
+from arborseq.operators.dictionary import LOOKUP
 
 #: Frequent patterns of a level that the driver and the workers may hold; beyond, the levels are joined as tables.
 HELD = 4_000_000
@@ -35,6 +36,16 @@ class Prepared:
 
     sequences: DataFrame
     dictionary: DataFrame
+    held: pd.DataFrame | None = None
+
+    def local(self) -> pd.DataFrame | None:
+        """The dictionary in the driver if it is small, by tid; read once."""
+        if self.held is None and is_small(self.dictionary, LOOKUP):
+            self.held = self.dictionary.toPandas()
+        if self.held is not None and "sorted" not in self.held.attrs:
+            self.held = self.held.sort_values("tid", ignore_index=True)
+            self.held.attrs["sorted"] = True
+        return self.held
 
     def frequent(self, min_support: int) -> DataFrame:
         """``tid, item`` of the frequent items that are not redundant."""
@@ -42,6 +53,16 @@ class Prepared:
 
     def chains(self, min_support: int) -> DataFrame:
         """``tid, chain``: for each id the frequent ids that it stands for, itself first, then its ancestors (descending ids); none if empty."""
+        if (d := self.local()) is not None:
+            good = (~d["redundant"] & (d["df"] >= min_support)).to_numpy()
+            lists: dict[int, list[int]] = {0: []}
+            for tid, up, fine in zip(d["tid"].tolist(), d["parent_tid"].tolist(), good.tolist()):  # parents come first
+                lists[tid] = [tid, *lists[up]] if fine else lists[up]
+            rows = [(t, c) for t, c in lists.items() if c]
+            got = pd.DataFrame({"tid": pd.Series([t for t, _ in rows], dtype="int32"), "chain": pd.Series([c for _, c in rows], dtype=object)})
+            out = self.dictionary.sparkSession.createDataFrame(rows, "tid int, chain array<int>")
+            _known[id(out)] = (out, got)
+            return out
         d = self.dictionary.select("tid", "parent_tid", (~F.col("redundant") & (F.col("df") >= min_support)).alias("good"))
         d = cut(d)
         up = cut(d.select("tid", F.col("tid").alias("at"), F.when(F.col("good"), F.array("tid")).otherwise(F.array().cast("array<int>")).alias("chain"), F.col("parent_tid").alias("next")))
@@ -51,7 +72,7 @@ class Prepared:
             ended = up.where("next = 0").select("tid", "chain")
             done = ended if done is None else done.unionByName(ended)
             if rest.limit(1).count() == 0:
-                return done.where(F.size("chain") > 0)
+                return cut(done.where(F.size("chain") > 0))
             step = d.select(F.col("tid").alias("at"), F.col("parent_tid").alias("then"), "good")
             rest = rest.select("tid", F.col("next").alias("at"), "chain").join(maybe_broadcast(step), "at")
             up = cut(rest.select("tid", "at", F.when(F.col("good"), F.concat("chain", F.array("at"))).otherwise(F.col("chain")).alias("chain"), F.col("then").alias("next")))
@@ -61,24 +82,36 @@ class Prepared:
 
         trim: without blanks at the ends, and only sequences of two positions at least.
         """
-        chains = cut(self.chains(min_support))
-        lift = chains.select("tid", F.get("chain", F.lit(0)).alias("code"))
-        kept = chains.where(F.get("chain", F.lit(0)) == F.col("tid"))
-        codes = _lift(self.sequences, lift)
+        chains = self.chains(min_support)
+        codes = _lift(self.sequences, chains)
         if trim:
             codes = codes.select(A.trim_blanks(F.col("codes")).alias("codes"), "weight").where(F.size("codes") > 1)
-        return cut(codes.groupBy("codes").agg(F.sum("weight").alias("weight"))), kept
+        rows = codes.groupBy("codes").agg(F.sum("weight").alias("weight"))
+        # mining costs far more than its input's bytes, so these few bytes are spread over all cores
+        spread = max(width(rows.sparkSession), rows.sparkSession.sparkContext.defaultParallelism)
+        return cut(rows.repartition(spread, "codes")), chains
+
+
+#: chains() of small dictionaries that the driver made itself: DataFrame id -> (DataFrame, its rows)
+_known: dict[int, tuple[DataFrame, pd.DataFrame]] = {}
+
+
+def _small_chains(chains: DataFrame) -> pd.DataFrame | None:
+    """The rows of ``tid, chain`` if they are few enough for a lookup in each worker."""
+    if id(chains) in _known:
+        return _known[id(chains)][1]
+    return chains.toPandas() if is_small(chains, LOOKUP) else None
 
 
-def _lift(sequences: DataFrame, lift: DataFrame) -> DataFrame:
-    if is_small(lift, LOOKUP):
-        got = lift.toPandas()
-        table = np.zeros(int(got["tid"].max() if len(got) else 0) + 1, np.int32)
-        table[got["tid"].to_numpy(np.int64)] = got["code"].to_numpy(np.int32)
+def _lift(sequences: DataFrame, chains: DataFrame) -> DataFrame:
+    """``codes, weight``: each id as the first of its chain, else 0."""
+    if (got := _small_chains(chains)) is not None:
+        table = np.zeros(int(got["tid"].max() if len(got) else 0) + 2, np.int32)
+        table[got["tid"].to_numpy(np.int64)] = [c[0] for c in got["chain"]]
         sent = sequences.sparkSession.sparkContext.broadcast(table)
 
         def run(batches):
-            table = np.append(sent.value, 0).astype(np.int32)
+            table = sent.value  # its last place is 0
             for b in batches:
                 lists = b.column(0)
                 at = np.asarray(lists.offsets).astype(np.int32)
@@ -87,14 +120,16 @@ def _lift(sequences: DataFrame, lift: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(at - at[0]), pa.array(codes)), b.column(1)], ["codes", "weight"])
 
         return sequences.select("tids", "weight").mapInArrow(run, "codes array<int>, weight bigint")
+    lift = chains.select("tid", F.get("chain", F.lit(0)).alias("code"))
     rows = sequences.select(F.monotonically_increasing_id().alias("seq"), "tids", "weight")
     one = rows.select("seq", "weight", F.posexplode("tids").alias("pos", "tid")).join(lift, "tid", "left")
     back = one.groupBy("seq", "weight").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("code", F.lit(0)).alias("code")))).alias("x"))
     return back.select(F.col("x.code").alias("codes"), "weight")
 
 
-def _chain_arrays(chains: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    got = chains.toPandas().sort_values("tid")
+def _chain_arrays(got: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets by id, ids) of the chains of the ids that sequences hold: those that are frequent themselves."""
+    got = got[[c[0] == t for t, c in zip(got["tid"], got["chain"])]].sort_values("tid")
     size = np.zeros(int(got["tid"].max() if len(got) else 0) + 2, np.int64)
     size[got["tid"].to_numpy(np.int64)] = [len(c) for c in got["chain"]]
     flat = np.concatenate([*(np.asarray(c, np.int64) for c in got["chain"]), np.zeros(0, np.int64)])
@@ -110,9 +145,9 @@ def levelwise(prepared: Prepared, min_support: int, max_gap: int, max_length: in
 def _levelwise(rows: DataFrame, chains: DataFrame, min_support: int, max_gap: int, max_length: int, held: int = HELD) -> DataFrame:
     spark = rows.sparkSession
     schema = "pattern_ids array<int>, frequency bigint"
-    if not is_small(chains, LOOKUP):
+    if (got := _small_chains(chains)) is None:
         return _joined(rows, chains, min_support, max_gap, max_length)
-    chain_at, chain = _chain_arrays(chains)
+    chain_at, chain = _chain_arrays(got)
     ids = np.flatnonzero(np.diff(chain_at)).astype(np.int64)
     size = len(chain_at)
     arrow = pa.schema([("code", pa.int64()), ("n", pa.int64())])
@@ -233,8 +268,8 @@ def two_sequences(prepared: Prepared, min_support: int, max_gap: int) -> DataFra
 
 def with_chains(rows: DataFrame, chains: DataFrame) -> DataFrame:
     """``codes, chains, weight``: of each position the chain of its id, an empty one for a blank."""
-    if is_small(chains, LOOKUP):
-        sent = rows.sparkSession.sparkContext.broadcast(_chain_arrays(chains))
+    if (got := _small_chains(chains)) is not None:
+        sent = rows.sparkSession.sparkContext.broadcast(_chain_arrays(got))
 
         def run(batches):
             chain_at, chain = sent.value
@@ -261,26 +296,43 @@ def pivot_partitions(rows: DataFrame, chains: DataFrame) -> DataFrame:
 
 
 def rewritten(rows: DataFrame, chains: DataFrame, max_gap: int, max_length: int) -> DataFrame:
-    """``pivot, seq, weight``: the sequences as their pivots need them, equal ones added up; blanks as runs, parts split by too long ones."""
-    parts = pivot_partitions(rows, chains)
-    pivot = F.col("pivot")
-    ids = A.near_pivot(A.to_pivot(F.col("chains"), pivot), pivot, (max_length - 1) * (max_gap + 1))
-    parts = parts.select("pivot", "weight", A.compress_blanks(A.trim_blanks(ids)).alias("ids"))
-    parts = parts.select("pivot", "weight", A.pivot_parts(F.col("ids"), pivot, max_gap).alias("seq")).where(F.size("seq") > 0)
+    """``pivot, seq, weight``: the sequences as their pivots need them (see grow.rewrite), equal ones added up."""
+    reach = (max_length - 1) * (max_gap + 1)
+    if (got := _small_chains(chains)) is not None:
+        sent = rows.sparkSession.sparkContext.broadcast(_chain_arrays(got))
+
+        def run(batches):
+            for b in batches:
+                for lo in range(0, b.num_rows, 2_000):
+                    part = b.slice(lo, 2_000)
+                    lists = part.column(0)
+                    at = np.asarray(lists.offsets).astype(np.int64)
+                    codes = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                    pivot, at, ids, weight = grow.rewrite(at - at[0], codes, part.column(1).to_numpy(zero_copy_only=False), *sent.value, max_gap, reach)
+                    seq = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32)))
+                    yield pa.RecordBatch.from_arrays([pa.array(pivot.astype(np.int32)), seq, pa.array(weight)], ["pivot", "seq", "weight"])
+
+        parts = rows.select("codes", "weight").mapInArrow(run, "pivot int, seq array<int>, weight bigint")
+    else:
+        pivot = F.col("pivot")
+        parts = pivot_partitions(rows, chains).select("pivot", "weight", A.to_pivot(F.col("chains"), pivot).alias("ids"))
+        parts = parts.select("pivot", "weight", A.near_pivot(F.col("ids"), pivot, reach).alias("ids"))
+        parts = parts.select("pivot", "weight", A.trim_blanks(F.col("ids")).alias("ids"))
+        parts = parts.select("pivot", "weight", A.compress_blanks(F.col("ids")).alias("ids"))
+        parts = parts.select("pivot", "weight", A.pivot_parts(F.col("ids"), pivot, max_gap).alias("seq")).where(F.size("seq") > 0)
     return parts.groupBy("pivot", "seq").agg(F.sum("weight").alias("weight"))
 
 
 def partitioned(prepared: Prepared, min_support: int, max_gap: int, max_length: int, group_rows: int = GROUP_ROWS) -> DataFrame:
     """``pattern_ids, frequency``, each pattern from the partition of its greatest id."""
     rows, chains = prepared.reduced(min_support)
-    chains = cut(chains)
+    if (got := _small_chains(chains)) is None:
+        return _joined(rows, chains, min_support, max_gap, max_length)
     parts = cut(rewritten(rows, chains, max_gap, max_length))
-    sizes = parts.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w"))
-    hot = cut(sizes.where(F.col("n") > group_rows).select("pivot"))
+    sizes = cut(parts.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w")))
+    hot = sizes.where(F.col("n") > group_rows).select("pivot")
     hot_too = hot.limit(1).count() > 0
-    if not is_small(chains, LOOKUP):
-        return _joined(rows, chains, min_support, max_gap, max_length)
-    sent = rows.sparkSession.sparkContext.broadcast(_chain_arrays(chains))
+    sent = rows.sparkSession.sparkContext.broadcast(_chain_arrays(got))
     schema = "pattern_ids array<int>, frequency bigint"
 
     def mine(group: pa.Table) -> pa.Table:
@@ -307,7 +359,3 @@ def partitioned(prepared: Prepared, min_support: int, max_gap: int, max_length:
 STRATEGIES = {"levelwise": levelwise, "joins": joins, "bfs": bfs, "partitioned": partitioned}
 
 
-def prepare(sequences: DataFrame, counts: DataFrame, ids: DataFrame) -> Prepared:
-    """Encoded sequences with their dictionary (of operators/dictionary.py), written once."""
-    ids = cut(ids)
-    return Prepared(cut(encode(sequences, ids).select("tids", "weight")), ids)

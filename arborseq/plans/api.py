@@ -7,23 +7,35 @@ from pyspark.sql import functions as F
 
 from arborseq.common import cut
 from arborseq.operators import mining
-from arborseq.operators.dictionary import decode, dictionary, flist
+from arborseq.operators.dictionary import LOOKUP, decode, dictionary, dictionary_here, flist
+from arborseq.operators.dictionary import encode as encode_sequences
 from arborseq.operators.hierarchy import Taxonomy
 
 SUPPORT, GAP, LENGTH = 100, 0, 5
 
 
-def encode(sequences: DataFrame, hierarchy: DataFrame | None = None) -> mining.Prepared:
+def encode(sequences: DataFrame, hierarchy: DataFrame | None = None, keep: bool = True) -> mining.Prepared:
     """The dictionary of the items and the sequences as ids; serves any support, gap and length.
 
-    sequences: ``items`` and perhaps ``weight``, a sequence per row; hierarchy: ``item, parent``, a forest.
+    sequences: ``items`` and perhaps ``weight``, a sequence per row; hierarchy: ``item, parent``, a forest. keep: the ids are
+    written, for several uses.
     """
     spark = sequences.sparkSession
     if hierarchy is None:
         hierarchy = spark.createDataFrame([], "item string, parent string")
     tax = Taxonomy(hierarchy)
-    counts = cut(flist(sequences, tax.closure))
-    return mining.prepare(sequences, counts, dictionary(counts, tax.edges, tax.closure))
+    counts = flist(sequences, tax.closure, tax.here and tax.here[1])
+    if tax.here is not None:
+        some = counts.limit(LOOKUP + 1).toPandas()
+        if len(some) <= LOOKUP:
+            here = dictionary_here(some, *tax.here)
+            ids = spark.createDataFrame(here, "item string, cf bigint, df bigint, tid int, parent_tid int, redundant boolean")
+            rows = encode_sequences(sequences, ids, here).select("tids", "weight")
+            return mining.Prepared(cut(rows) if keep else rows, ids, here)
+    counts = cut(counts)
+    ids = cut(dictionary(counts, tax.edges, tax.closure))
+    rows = encode_sequences(sequences, ids).select("tids", "weight")
+    return mining.Prepared(cut(rows) if keep else rows, ids)
 
 
 def mine_encoded(
@@ -37,7 +49,7 @@ def mine_encoded(
     if max_length < 2:
         return prepared.dictionary.sparkSession.createDataFrame([], "pattern array<string>, frequency bigint")
     found = mining.STRATEGIES[strategy](prepared, min_support, max_gap, max_length)
-    return decode(found, prepared.dictionary).select("pattern", "frequency")
+    return decode(found, prepared.dictionary, here=prepared.local()).select("pattern", "frequency")
 
 
 def mine(
@@ -45,7 +57,7 @@ def mine(
     strategy: str = "levelwise",
 ) -> DataFrame:
     """mine_encoded of encode."""
-    return mine_encoded(encode(sequences, hierarchy), min_support, max_gap, max_length, strategy)
+    return mine_encoded(encode(sequences, hierarchy, keep=False), min_support, max_gap, max_length, strategy)
 
 
 def pattern_text(patterns: DataFrame) -> DataFrame:

@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arborseq.common import cut
 from arborseq.functions import arrays as A
 from arborseq.operators import mining
-from arborseq.operators.dictionary import decode, flist, frequent_items, redundant_ancestors
+from arborseq.operators.dictionary import decode, encode_rows, flist, frequent_items, redundant_ancestors
 from arborseq.operators.hierarchy import Taxonomy
 from arborseq.operators.skew import key_figures
 from arborseq.operators.tree import as_text, full_hierarchy, holding_rows
@@ -22,8 +23,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def run_mine(w: Workload, strategy: str = "levelwise", gap: int | None = None, length: int | None = None, flat: bool = False) -> Query:
     def query(spark: SparkSession, d: str) -> DataFrame:
-        seqs = w.sequences(spark, d)
-        prepared = api.encode(seqs, None if flat else w.hierarchy(spark, d))
+        seqs = cut(w.sequences(spark, d))
+        prepared = api.encode(seqs, None if flat else w.hierarchy(spark, d), keep=False)
         least = w.least(seqs.count())
         return api.pattern_text(api.mine_encoded(prepared, least, w.gap if gap is None else gap, w.length if length is None else length, strategy))
 
@@ -43,16 +44,14 @@ def _counts(w: Workload, spark: SparkSession, d: str) -> tuple[Taxonomy, DataFra
 
 
 def _reduced(w: Workload, spark: SparkSession, d: str, trim: bool = True) -> tuple[DataFrame, DataFrame]:
-    seqs = w.sequences(spark, d)
-    return api.encode(seqs, w.hierarchy(spark, d)).reduced(w.least(seqs.count()), trim)
+    seqs = cut(w.sequences(spark, d))
+    return api.encode(seqs, w.hierarchy(spark, d), keep=False).reduced(w.least(seqs.count()), trim)
 
 
 def _numbered(w: Workload, spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """``seq_id, tids`` and the dictionary."""
-    from arborseq.operators.dictionary import encode_rows
-
     seqs = w.sequences(spark, d)
-    ids = api.encode(seqs, w.hierarchy(spark, d)).dictionary
+    ids = api.encode(seqs, w.hierarchy(spark, d), keep=False).dictionary
     return encode_rows(seqs, ids), ids
 
 
@@ -89,8 +88,8 @@ def _aggregated(spark, d):
 
 def _two(spark, d):
     w = WORKLOADS["order_parts"]
-    seqs = w.sequences(spark, d)
-    prepared = api.encode(seqs, w.hierarchy(spark, d))
+    seqs = cut(w.sequences(spark, d))
+    prepared = api.encode(seqs, w.hierarchy(spark, d), keep=False)
     found = mining.two_sequences(prepared, w.least(seqs.count()), w.gap)
     return api.pattern_text(decode(found, prepared.dictionary).select("pattern", "frequency"))
 
@@ -142,7 +141,7 @@ def queries() -> dict[str, Query]:
         "flist_table_sequences": lambda spark, d: _counts(WORKLOADS["table_sequences"], spark, d)[1],
         "frequent_items": lambda spark, d: frequent_items(_counts(p, spark, d)[1], p.least(p.sequences(spark, d).count())),
         "redundant_ancestors": lambda spark, d: (lambda tax, c: redundant_ancestors(c, tax.edges))(*_counts(p, spark, d)),
-        "dictionary": lambda spark, d: api.encode(p.sequences(spark, d), p.hierarchy(spark, d)).dictionary,
+        "dictionary": lambda spark, d: api.encode(p.sequences(spark, d), p.hierarchy(spark, d), keep=False).dictionary,
         "encode_sequences": _encode_sequences, "decode_roundtrip": _decode_roundtrip,
         "pivot_partitions": _pivot_partitions, "pivot_rewrite": _pivot_rewrite, "aggregated_sequences": _aggregated,
         "pattern_counts_by_length": lambda spark, d: api.counts_by_length(run_mine(s)(spark, d).select(F.split("pattern", " ").alias("pattern"))),

@@ -140,5 +140,5 @@ WORKLOADS = {
     "order_parts": Workload(_parts, _part_tree, PARTS_SQL, PART_TREE_SQL, (1, 147), 1, 3),
     "order_suppliers": Workload(_suppliers, _supplier_tree, SUPPLIERS_SQL, SUPPLIER_TREE_SQL, (1, 147), 1, 3),
     "customer_priority": Workload(_priorities, _priority_tree, PRIORITIES_SQL, PRIORITY_TREE_SQL, (2, 15), 1, 3),
-    "table_sequences": Workload(_table_sequences, _table_tree, TABLE_SEQUENCES_SQL, TABLE_TREE_SQL, (1, 100), 2, 4),
+    "table_sequences": Workload(_table_sequences, _table_tree, TABLE_SEQUENCES_SQL, TABLE_TREE_SQL, (1, 40), 1, 3),
 }
