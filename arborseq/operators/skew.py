@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborseq.common import maybe_broadcast, pick, width
+from arborseq.common import cut, maybe_broadcast, pick, width
 from arborseq.operators.events import beyond_first_word, packed, record_totals
 from arborseq.operators.tree import holding_rows
 
@@ -85,7 +85,7 @@ def longest_waits(rows: DataFrame, parts: int | None = None) -> DataFrame:
     parts = parts or width(rows.sparkSession)
     keys = ["is_parent", "key_value"]
     ordered = rows.repartitionByRange(parts, *keys, "ts").sortWithinPartitions(*keys, "ts")
-    states = ordered.mapInArrow(_states, _STATE)
+    states = cut(ordered.mapInArrow(_states, _STATE))  # read twice, and a state per key only
     tree = states.where("edge")
     fan = 1
     while True:
