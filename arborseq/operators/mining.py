@@ -89,7 +89,7 @@ class Prepared:
         rows = codes.groupBy("codes").agg(F.sum("weight").alias("weight"))
         # mining costs far more than its input's bytes, so these few bytes are spread over all cores
         spread = max(width(rows.sparkSession), rows.sparkSession.sparkContext.defaultParallelism)
-        return cut(rows.repartition(spread, "codes")), chains
+        return cut(rows.repartition(spread)), chains
 
 
 #: chains() of small dictionaries that the driver made itself: DataFrame id -> (DataFrame, its rows)
@@ -129,7 +129,8 @@ def _lift(sequences: DataFrame, chains: DataFrame) -> DataFrame:
 
 def _chain_arrays(got: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """(offsets by id, ids) of the chains of the ids that sequences hold: those that are frequent themselves."""
-    got = got[[c[0] == t for t, c in zip(got["tid"], got["chain"])]].sort_values("tid")
+    own = np.array([c[0] == t for t, c in zip(got["tid"], got["chain"])], bool)
+    got = got[own].sort_values("tid")
     size = np.zeros(int(got["tid"].max() if len(got) else 0) + 2, np.int64)
     size[got["tid"].to_numpy(np.int64)] = [len(c) for c in got["chain"]]
     flat = np.concatenate([*(np.asarray(c, np.int64) for c in got["chain"]), np.zeros(0, np.int64)])
