@@ -87,9 +87,9 @@ def _solve(rows: DataFrame, n: int, round_no: int, one_task: int) -> DataFrame:
     parts = max(width(rows.sparkSession), -(-2 * n // one_task))
     frags = cut(placed.select("node", "up", "frag", place.alias("place")).repartition(parts, "place").drop("place").mapInArrow(_fragments, _FRAG))
     exits = frags.where(F.col("exit").isNotNull()).select(F.col("exit").alias("node")).distinct()
-    smaller = cut(frags.join(exits, "node", "left_semi").select("node", F.col("exit").alias("up"), "frag", "loop"))
-    above = _solve(smaller.where(~F.col("loop")).drop("loop"), smaller.count(), round_no + 1, one_task)
-    above = above.unionByName(smaller.where("loop").select("node", F.col("frag").alias("path"), "loop"))
+    up = F.when(F.col("loop"), F.col("node")).otherwise(F.col("exit"))  # a node that leads into a loop stays one
+    smaller = cut(frags.join(exits, "node", "left_semi").select("node", up.alias("up"), "frag"))
+    above = _solve(smaller, smaller.count(), round_no + 1, one_task)
     above = above.toDF("a_node", "a_path", "a_loop")
     out = frags.where(F.col("exit").isNotNull()).join(above, F.col("exit") == F.col("a_node"), "left")
     bad = F.coalesce("a_loop", F.lit(False))
