@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborseq.common import cut, is_small, maybe_broadcast, pick
+from arborseq.common import cut, maybe_broadcast, pick
 
 #: Items that may be held as a dictionary by the driver and each worker. With a least count relative to the number of sequences
 #: there are at most (mean distinct items of a sequence) / (relative least count) of them, whatever the corpus's size.
@@ -50,9 +50,10 @@ def encode(seqs: DataFrame, least: int, ordered: bool, n: int) -> Encoded | None
     else codes are the distinct common items, sorted, of the rows that hold any.
     """
     common = common_items(seqs, least)
-    if not is_small(common, DICTIONARY):
+    found = common.select("item").limit(DICTIONARY + 1).collect()
+    if len(found) > DICTIONARY:
         return None
-    items = sorted(r.item for r in common.select("item").collect())
+    items = sorted(r.item for r in found)
     if not items:
         return Encoded(seqs.sparkSession.createDataFrame([], "seq_id bigint, codes array<int>, multi boolean"), [], n)
     known = seqs.sparkSession.sparkContext.broadcast(items)
