@@ -75,7 +75,7 @@ def summaries(items: DataFrame, counters: int = COUNTERS) -> DataFrame:
     parts = items.rdd.getNumPartitions()
     tree = items.select("item").mapInArrow(_local(counters), _SCHEMA)
 
-    def merge(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         own = [g.set_index("item") for _, g in pdf.groupby("part", sort=True)]
         summary, floor = _merge([g[["bound", "error"]] for g in own], [int(g["floor"].iloc[0]) for g in own], counters)
         return _rows(int(key[0]), summary, floor)
@@ -100,8 +100,7 @@ def heavy_events(events: DataFrame, per: int = 250, counters: int = COUNTERS) ->
         if top.empty:
             return spark.createDataFrame([], "item string, n_events bigint, bound bigint, error bigint")
         floor = int(top["floor"].iloc[0])
-        # an item's rows are at least its events; of the events there are at least as many as the surest item's rows hold, which helps little:
-        # so the floor alone decides, against the exact number of events, after the second pass
+        # an item that no summary holds has at most ``floor`` rows, so no more events: tested after the second pass, which has all events' number
         candidates = top[top["bound"] > floor] if floor else top
         known = F.broadcast(spark.createDataFrame(candidates[["item", "bound", "error"]]))  # at most ``counters`` rows
         found = ev.join(known.select("item", F.lit(True).alias("known")), "item", "left")
