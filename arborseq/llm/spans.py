@@ -1,35 +1,52 @@
-"""Long exact spans shared between texts, by difference-cover anchors.
+"""Long exact spans shared between texts, by difference-cover anchors that are extended.
 
 A difference cover D of period v has for any two places i, j a shift d < v with both i + d and j + d in D (modulo v). So any two equal spans of
-``least`` characters hold an equal window of least - v + 1 characters that starts at a place of D in both texts. Only
-those places, about sqrt(1.5 / v) of all, are hashed and shuffled. A text's window starts of ``least`` characters around anchors
-that another text has too are then compared themselves, each start with all texts at once by a 128-bit fingerprint, so
-no pair of texts is ever formed and a passage in a third of all texts is only a frequent key, combined before the shuffle.
-Texts that are equal as a whole are one class and are compared once.
+``least`` characters hold an equal window of w = least - v + 1 characters that starts at a place of D in both texts. Only
+these places are hashed and shuffled (exchange.py). A shared anchor is then extended by v - 1 characters to both sides, or to
+the text's end: if another text has the whole hull too, all spans around the anchor are shared, and a passage of any length is
+settled by its anchors alone. Where a hull is not shared, at the ends of passages, the starts of ``least`` characters are
+compared one by one, and with them those of the first text with each shared hull, which stands for all that have it; each
+start with all texts at once by a 128-bit fingerprint. So no pair of texts is ever formed. Texts that are equal as a whole
+are one class, found before anything is hashed.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+from itertools import product
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arborseq.common import cut, pick
+from arborseq.llm.exchange import in_several
 
 #: Characters that are hashed at a time.
 SEGMENT = 1 << 20
+#: Characters of the texts of one chunk.
+CHUNK = 1 << 24
 _MASK = (1 << 64) - 1
 
 
-def cover(most: int) -> tuple[int, list[int]]:
-    """(v, D) with the largest v <= most of the form 24 r^2 + 36 r + 13 (Colbourn and Ling); 6 r + 4 places."""
-    r = 0
-    while 24 * (r + 1) ** 2 + 36 * (r + 1) + 13 <= most:
-        r += 1
-    steps = [1] * r + [r + 1] + [2 * r + 1] * r + [4 * r + 3] * (2 * r + 1) + [2 * r + 2] * (r + 1) + [1] * r
-    v = 24 * r * r + 36 * r + 13
-    return (v, [0, *np.cumsum(steps).tolist()]) if most >= v else (1, [0])
+@lru_cache
+def cover(most: int) -> tuple[int, tuple[int, ...]]:
+    """(v, D) of the largest v = q^2 + q + 1 <= most with a prime q: the q + 1 zeros of a linear recurrence of order 3 modulo q, in
+    which each difference occurs once; (1, (0,)) if there is none."""
+    for q in range(most, 1, -1):
+        v = q * q + q + 1
+        if v > most or any(q % k == 0 for k in range(2, int(q**0.5) + 1)):
+            continue
+        for a, b, c in product(range(q), range(q), range(1, q)):
+            x, zeros = [0, 0, 1], []
+            for i in range(v):
+                if x[0] == 0:
+                    zeros.append(i)
+                x = [x[1], x[2], (a * x[2] + b * x[1] + c * x[0]) % q]
+            if len(zeros) == q + 1 and len({(i - j) % v for i in zeros for j in zeros}) == v:
+                return v, tuple(zeros)
+    return 1, (0,)
 
 
 def _mixed(x: np.ndarray, seed: int) -> np.ndarray:
@@ -40,124 +57,183 @@ def _mixed(x: np.ndarray, seed: int) -> np.ndarray:
 
 
 class Roll:
-    """Hashes of all windows of w characters: differences of prefix sums of mixed characters times powers of an odd base."""
+    """Hashes of windows of at most w characters: differences of prefix sums of mixed characters times powers of an odd base."""
 
-    def __init__(self, w: int, seed: int):
-        self.w, self.seed = w, seed
+    def __init__(self, w: int, seed: int, segment: int = SEGMENT):
+        self.w, self.seed, self.segment = w, seed, segment
         base = (0x9E3779B97F4A7C15 * (2 * seed + 1)) & _MASK | 1
-        n = SEGMENT + w + 1
+        n = segment + w + 1
         self.up = np.cumprod(np.append(np.uint64(1), np.full(n, base, np.uint64)))
         self.down = np.cumprod(np.append(np.uint64(1), np.full(n, pow(base, -1, 1 << 64), np.uint64)))
 
-    def __call__(self, codes: np.ndarray) -> np.ndarray:
-        n = len(codes) - self.w + 1
-        if n <= 0:
-            return np.zeros(0, np.int64)
+    def __call__(self, codes: np.ndarray, at: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of codes[at:end]."""
         sums = np.zeros(len(codes) + 1, np.uint64)
         np.cumsum(_mixed(codes.astype(np.uint64), self.seed) * self.up[: len(codes)], out=sums[1:])
-        return _mixed((sums[self.w :] - sums[:n]) * self.down[:n], self.seed).view(np.int64)
+        return _mixed((sums[end] - sums[at]) * self.down[at], self.seed)
 
+    def of(self, texts: list[np.ndarray], places: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Hashes of the windows (starts ascending, ends) of each text, in order."""
+        out, group, held = [np.zeros(0, np.uint64)], [], 0
 
-def _segments(texts: list[str], w: int):
-    """(number of the text, start, codes) of pieces that overlap by w - 1 characters; short texts come joined: (numbers, starts, codes)."""
-    group: list[tuple[int, np.ndarray]] = []
-    held = 0
-    for i, t in enumerate(texts):
-        codes = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
-        if len(codes) < w:
-            continue
-        if len(codes) > SEGMENT // 4:
-            for s in range(0, len(codes) - w + 1, SEGMENT):
-                yield [i], [s], codes[s : s + SEGMENT + w - 1], [len(codes[s : s + SEGMENT + w - 1])]
-            continue
-        group.append((i, codes))
-        held += len(codes)
-        if held > SEGMENT // 2:
-            yield [g[0] for g in group], [0] * len(group), np.concatenate([g[1] for g in group]), [len(g[1]) for g in group]
-            group, held = [], 0
-    if group:
-        yield [g[0] for g in group], [0] * len(group), np.concatenate([g[1] for g in group]), [len(g[1]) for g in group]
-
-
-def _windows(texts: list[str], w: int):
-    """(text, place in it, index of the window) of all windows within one text, and the codes they index."""
-    for which, starts, codes, sizes in _segments(texts, w):
-        size = np.array(sizes)
-        at = np.cumsum(size) - size
-        row = np.repeat(np.arange(len(size)), size - w + 1)
-        inner = np.arange(len(row)) - np.repeat(np.cumsum(size - w + 1) - (size - w + 1), size - w + 1)
-        yield np.array(which)[row], np.array(starts)[row] + inner, at[row] + inner, codes
-
-
-def _anchors(least: int):
-    v, places = cover(least // 2)
-    inside = np.zeros(v, bool)
-    inside[places] = True
-    schema = pa.schema([("h", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int64())])
+        def flush():
+            if group:
+                start = np.cumsum([0] + [len(c) for c, _, _ in group])
+                at, end = (np.concatenate([g[k] + s for g, s in zip(group, start)]) for k in (1, 2))
+                out.append(self(np.concatenate([g[0] for g in group]), at, end))
+                group.clear()
+
+        for codes, (at, end) in zip(texts, places):
+            if not len(at):
+                continue
+            if held + len(codes) > self.segment:
+                flush()
+                held = 0
+            if len(codes) <= self.segment:
+                group.append((codes, at, end))
+                held += len(codes)
+                continue
+            for s in range(0, len(codes), self.segment):
+                lo, hi = np.searchsorted(at, [s, s + self.segment])
+                if hi > lo:
+                    out.append(self(codes[s : s + self.segment + self.w - 1], at[lo:hi] - s, end[lo:hi] - s))
+        flush()
+        return np.concatenate(out)
+
+
+def _codes(t: str) -> np.ndarray:
+    return np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _ints(lists: pa.Array, i: int) -> np.ndarray:
+    return np.unique(lists[i].values.to_numpy(zero_copy_only=False)).astype(np.int64) if lists[i].is_valid else np.zeros(0, np.int64)
+
+
+class Cover:
+    """The sizes that belong to spans of ``least`` characters."""
+
+    def __init__(self, least: int, chunk: int, segment: int):
+        self.least, self.chunk, self.segment = least, chunk, segment
+        self.v, self.inside = cover(least * 2 // 7)
+        self.w = least - self.v + 1
+
+    def hull(self, anchors: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Start and end of the hulls in a text of n characters."""
+        return np.maximum(anchors - self.v + 1, 0), np.minimum(anchors + self.w + self.v - 1, n)
+
+
+def _chunks(c: Cover, find, *rolls: tuple[int, int]):
+    """Chunks of texts for in_several; columns of the batches: key, text, ... find: (codes, batch, row) -> places, windows' starts (ascending) and ends, salt."""
 
     def run(batches):
-        roll = Roll(least - v + 1, 1)
+        made = [Roll(*r, c.segment) for r in rolls]
+        keys, texts, found, held = [], [], [], 0
+
+        def chunk():
+            doc = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
+            place, salt = (np.concatenate([f[k] for f in found]) for k in (0, 3))
+            hashes = [r.of(texts, [f[1:3] for f in found]) for r in made]
+            if salt.any():
+                hashes = [_mixed(h + salt.astype(np.uint64), r.seed) for h, r in zip(hashes, made)]
+            return pa.concat_arrays(keys), doc, place, hashes[0], hashes[1] if len(hashes) > 1 else None
+
         for b in batches:
-            ids = b.column(0).to_numpy()
-            for text, pos, index, codes in _windows(b.column(1).to_pylist(), roll.w):
-                keep = inside[pos % v]
-                h = roll(codes)[index[keep]]
-                yield from _batches([h, ids[text[keep]], pos[keep]], schema)
+            keys.append(b.column(0))
+            for row in range(b.num_rows):
+                codes = _codes(b.column(1)[row].as_py())
+                got = find(codes, b, row)
+                texts.append(codes if len(got[0]) else codes[:0])
+                found.append(got)
+                held += len(texts[-1])
+            if held > c.chunk:
+                yield chunk()
+                keys, texts, found, held = [], [], [], 0
+        if keys:
+            yield chunk()
 
     return run
 
 
-def _batches(columns: list[np.ndarray], schema: pa.Schema, rows: int = 100_000):
-    for k in range(0, len(columns[0]), rows):
-        yield pa.RecordBatch.from_arrays([pa.array(c[k : k + rows]) for c in columns], schema=schema)
+def _anchors(c: Cover):
+    held = np.zeros(0, np.int64)
+
+    def find(codes, b, row):
+        nonlocal held
+        n = len(codes) - c.w + 1
+        if not len(held) or held[-1] < n:
+            held = (np.arange(0, max(2 * n, 1 << 16), c.v)[:, None] + np.array(c.inside)).ravel()
+        at = held[: np.searchsorted(held, n)]
+        return at, at, at + c.w, np.zeros(len(at), np.int64)
+
+    return _chunks(c, find, (c.w, 1))
+
+
+def _hulls(c: Cover):
+    """The hulls of the anchors of the third column. The salt tells hulls apart that end with the text at unlike distances."""
+    def find(codes, b, row):
+        at = _ints(b.column(2), row)
+        lo, hi = c.hull(at, len(codes))
+        return at, lo, hi, (at - lo) * c.v + hi - at - c.w
+
+    size = c.least + c.v - 1
+    return _chunks(c, find, (size, 2), (size, 3))
+
+
+def _starts(c: Cover):
+    """The starts of spans around the anchors of the third column that are not in the fourth (with a shared hull) or are in the fifth (the first with it)."""
+    def find(codes, b, row):
+        n = len(codes) - c.least + 1
+        settled = _ints(b.column(3), row)
+        anchors = np.union1d(np.setdiff1d(_ints(b.column(2), row), settled, True), _ints(b.column(4), row))
+        near = np.zeros(n + 1, np.int64)
+        np.add.at(near, np.clip(anchors - c.v + 1, 0, n), 1)
+        np.add.at(near, np.clip(anchors + 1, 0, n), -1)
+        at = np.flatnonzero(np.cumsum(near)[:-1] > 0)
+        return at, at, at + c.least, np.zeros(len(at), np.int64)
 
+    return _chunks(c, find, (c.least, 2), (c.least, 3))
 
-def _starts(least: int):
-    """Fingerprints of the windows of ``least`` characters that hold one of the anchors given with the text."""
-    v, _ = cover(least // 2)
-    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int64())])
 
+def _covered(c: Cover):
+    """doc_id and characters in the union of spans: columns doc_id, length, starts, anchors with a shared hull."""
     def run(batches):
-        roll1, roll2 = Roll(least, 2), Roll(least, 3)
         for b in batches:
-            ids = b.column(0).to_numpy()
-            lists = b.column(2)
-            offsets, values = np.asarray(lists.offsets), lists.flatten().to_numpy()
-            offsets = offsets - offsets[0]
-            for text, pos, index, codes in _windows(b.column(1).to_pylist(), least):
-                # a start p is of use if an anchor lies in p ... p + v - 1
-                order = np.arange(b.num_rows)
-                key = np.sort(np.repeat(order, np.diff(offsets)) * (1 << 40) + values)
-                want = text.astype(np.int64) * (1 << 40) + pos
-                nxt = np.searchsorted(key, want)
-                keep = (nxt < len(key)) & (key[np.minimum(nxt, len(key) - 1)] < want + v)
-                yield from _batches([roll1(codes)[index[keep]], roll2(codes)[index[keep]], ids[text[keep]], pos[keep]], schema)
+            sums = []
+            for row in range(b.num_rows):
+                starts = _ints(b.column(2), row)
+                lo, hi = c.hull(_ints(b.column(3), row), b.column(1)[row].as_py())
+                long = hi - lo >= c.least
+                lo, hi = np.concatenate([starts, lo[long]]), np.concatenate([starts + c.least, hi[long]])
+                order = np.argsort(lo, kind="stable")
+                lo, hi = lo[order], np.maximum.accumulate(hi[order])
+                sums.append(int((hi - np.maximum(lo, np.append(0, hi[:-1]))).clip(0).sum()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sums, pa.int64())], ["doc_id", "shared_chars"])
 
     return run
 
 
-def _in_several(rows: DataFrame, *key: str) -> DataFrame:
-    """The rows whose key occurs with several doc_ids."""
-    shared = rows.groupBy(*key).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where(F.col("lo") < F.col("hi"))
-    return rows.join(shared.select(*key), list(key), "left_semi")
+def _per_key(answers: DataFrame, key: str, places: str, *firsts: str) -> DataFrame:
+    join = lambda c, name: F.flatten(F.collect_list(c)).alias(name)
+    return answers.groupBy(F.col("key").alias(key)).agg(join("places", places), *(join("firsts", f) for f in firsts))
 
 
-def shared_spans(docs: DataFrame, least: int = 240) -> DataFrame:
+def shared_spans(docs: DataFrame, least: int = 240, chunk: int = CHUNK, segment: int = SEGMENT) -> DataFrame:
     """``doc_id, shared_chars`` of the texts with a span of ``least`` code points or more that is in the text of another doc_id too.
 
     shared_chars: characters in any such span, each once. Null and shorter texts and null ids give none; rows with equal doc_id and
     text count once (doc_id is unique otherwise). Spans are told apart by 128-bit fingerprints, whole texts by MD5. Empty tables give no rows.
     """
+    c = Cover(least, chunk, segment)
     texts = pick(docs, doc_id="doc_id", text="text").where(F.col("doc_id").isNotNull() & (F.length("text") >= least))
-    members = cut(texts.select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.length("text").alias("n")))
-    classes = members.groupBy("text_md5").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-    copied = members.join(classes.where("lo < hi"), "text_md5", "left_semi").select("doc_id", F.col("n").cast("bigint").alias("shared_chars")).distinct()
-    one_each = texts.join(classes.select(F.col("lo").alias("doc_id")), "doc_id", "left_semi")
-    anchors = one_each.mapInArrow(_anchors(least), "h bigint, doc_id bigint, pos bigint")
-    places = cut(_in_several(anchors, "h").groupBy("doc_id").agg(F.collect_set("pos").alias("places")))
-    starts = texts.join(places, "doc_id").mapInArrow(_starts(least), "h1 bigint, h2 bigint, doc_id bigint, pos bigint")
-    found = _in_several(starts, "h1", "h2").select("doc_id", "pos").distinct()
-    step = F.lead("pos").over(Window.partitionBy("doc_id").orderBy("pos")) - F.col("pos")
-    parts = found.select("doc_id", F.least(F.lit(least), F.coalesce(step, F.lit(least))).alias("own"))
-    partly = parts.groupBy("doc_id").agg(F.sum("own").cast("bigint").alias("shared_chars"))
+    texts = texts.select(F.col("doc_id").cast("bigint"), F.unhex(F.md5(F.col("text").cast("binary"))).alias("text_md5"), "text")
+    classes = texts.groupBy("text_md5").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.first("text").alias("text"))
+    anchors = in_several(classes.select("text_md5", "text"), _anchors(c), "binary")
+    held = cut(classes.join(_per_key(anchors, "text_md5", "anchors"), "text_md5").select("lo", "text", "anchors", F.length("text").alias("n")))
+    hulls = cut(_per_key(in_several(held, _hulls(c), "bigint", True), "lo", "settled", "firsts"))
+    starts = in_several(held.join(hulls, "lo", "left").select("lo", "text", "anchors", "settled", "firsts"), _starts(c), "bigint")
+    both = _per_key(starts, "lo", "starts").join(hulls, "lo", "full").join(held.select("lo", "n"), "lo")
+    partly = both.select("lo", "n", "starts", "settled").mapInArrow(_covered(c), "doc_id bigint, shared_chars bigint").where("shared_chars > 0")
+    members = texts.select("doc_id", "text_md5", F.length("text").cast("bigint").alias("shared_chars"))
+    several = members.groupBy("text_md5").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
+    copied = members.join(several, "text_md5", "left_semi").select("doc_id", "shared_chars").distinct()
     return partly.join(copied.select("doc_id"), "doc_id", "left_anti").unionByName(copied)

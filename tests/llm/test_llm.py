@@ -6,6 +6,7 @@ import pytest
 import regex
 
 from arborseq.llm import heavy, leaks, pairs, patterns, spans, terms, tokens
+from arborseq.llm.exchange import in_several
 
 SEQ = "seq_id long, items array<string>"
 
@@ -207,19 +208,51 @@ def covered(texts, least):
     return out
 
 
-@pytest.mark.parametrize("segment", [None, 300])
-def test_spans(spark, monkeypatch, segment):
-    if segment:
-        monkeypatch.setattr(spans, "SEGMENT", segment)
-    rnd = random.Random(6)
+@pytest.mark.parametrize("least, chunk, segment", [(40, spans.CHUNK, spans.SEGMENT), (40, 500, 90), (12, 300, 50), (3, 200, 50)])
+def test_spans(spark, least, chunk, segment):
+    rnd = random.Random(least + chunk)
     text = lambda n: "".join(rnd.choice("ab é\n日") for _ in range(n))
     shared = [text(rnd.randrange(30, 120)) for _ in range(12)]
     texts = [(k, text(rnd.randrange(60)) + "".join(rnd.choice(shared)[rnd.randrange(9) :] for _ in range(rnd.randrange(4))) + text(rnd.randrange(80))) for k in range(80)]
     texts += [(100, texts[3][1]), (101, texts[3][1]), (102, None), (103, ""), (104, "x" * 200), (105, "x" * 90)]
     df = spark.createDataFrame([(i, t, 1) for i, t in texts], "doc_id long, text string, pos long").repartition(4)
-    got = {r.doc_id: r.shared_chars for r in spans.shared_spans(df, 40).collect()}
-    assert got == covered(texts, 40)
-    assert spans.shared_spans(df.limit(0), 40).count() == 0
+    got = {r.doc_id: r.shared_chars for r in spans.shared_spans(df, least, chunk, segment).collect()}
+    assert got == covered(texts, least)
+    assert spans.shared_spans(df.limit(0), least).count() == 0
+
+
+def test_spans_whose_ends_differ_in_every_text(spark):
+    """A closing that all texts have after unlike openings: no two hulls at its start are equal."""
+    rnd = random.Random(8)
+    text = lambda n: "".join(rnd.choice("abcdefgh") for _ in range(n))
+    closing, middle = text(45), text(70)
+    texts = [(k, text(30 + k % 7) + closing[k % 3 :]) for k in range(60)] + [(k, text(25) + middle[: 41 + k % 9] + text(25)) for k in range(60, 110)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(6)
+    for chunk in (4_000_000, 400):
+        assert {r.doc_id: r.shared_chars for r in spans.shared_spans(df, 40, chunk).collect()} == covered(texts, 40)
+    assert len(covered(texts, 40)) == 110
+
+
+def test_in_several(spark):
+    rnd = random.Random(9)
+    rows = [(k, [rnd.randrange(40) if rnd.random() < 0.5 else rnd.randrange(10**6) for _ in range(rnd.randrange(30))]) for k in range(90)]
+
+    def places(batches):
+        for b in batches:
+            at, h = np.asarray(b.column(1).offsets), b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.uint64)
+            doc = np.repeat(np.arange(b.num_rows), np.diff(at))
+            yield b.column(0), doc, np.arange(len(h)) - at[doc], h << np.uint64(40), h * np.uint64(7)
+
+    where = {}
+    for k, hs in rows:
+        for h in hs:
+            where.setdefault(h, set()).add(k)
+    df = spark.createDataFrame(rows, "key long, hs array<long>").repartition(5)
+    for step in (4_000_000, 20):
+        out = in_several(df, places, "bigint", True, step).collect()
+        got, first = {(r.key, p) for r in out for p in r.places or []}, {(r.key, p) for r in out for p in r.firsts or []}
+        assert got == {(k, p) for k, hs in rows for p, h in enumerate(hs) if len(where[h]) > 1}
+        assert first == {(k, p) for k, hs in rows for p, h in enumerate(hs) if len(where[h]) > 1 and min(where[h]) == k}
 
 
 @pytest.mark.parametrize("most", [5, 13, 80, 200, 600])
