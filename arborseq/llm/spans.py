@@ -27,6 +27,8 @@ from arborseq.llm.exchange import in_several
 SEGMENT = 1 << 20
 #: Characters of the texts of one chunk.
 CHUNK = 1 << 24
+#: Leading bits of an anchor's hash that are sent; hulls and spans are compared by 128 bits, so a chance match costs work only.
+ANCHOR_BITS = 48
 _MASK = (1 << 64) - 1
 
 
@@ -122,8 +124,8 @@ class Cover:
         return np.maximum(anchors - self.v + 1, 0), np.minimum(anchors + self.w + self.v - 1, n)
 
 
-def _chunks(c: Cover, find, *rolls: tuple[int, int]):
-    """Chunks of texts for in_several; columns of the batches: key, text, ... find: (codes, batch, row) -> places, windows' starts (ascending) and ends, salt."""
+def _chunks(c: Cover, find, *rolls: tuple[int, int], bits: int = 64):
+    """Chunks of texts for in_several; the batches' first column is the key. find: (codes, batch, row) -> places, windows' starts (ascending) and ends, salt."""
 
     def run(batches):
         made = [Roll(*r, c.segment) for r in rolls]
@@ -135,12 +137,14 @@ def _chunks(c: Cover, find, *rolls: tuple[int, int]):
             hashes = [r.of(texts, [f[1:3] for f in found]) for r in made]
             if salt.any():
                 hashes = [_mixed(h + salt.astype(np.uint64), r.seed) for h, r in zip(hashes, made)]
+            hashes[0] &= np.uint64(_MASK ^ ((1 << 64 - bits) - 1))
             return pa.concat_arrays(keys), doc, place, hashes[0], hashes[1] if len(hashes) > 1 else None
 
         for b in batches:
             keys.append(b.column(0))
+            texts_of = b.column("text")
             for row in range(b.num_rows):
-                codes = _codes(b.column(1)[row].as_py())
+                codes = _codes(texts_of[row].as_py())
                 got = find(codes, b, row)
                 texts.append(codes if len(got[0]) else codes[:0])
                 found.append(got)
@@ -165,13 +169,13 @@ def _anchors(c: Cover):
         at = held[: np.searchsorted(held, n)]
         return at, at, at + c.w, np.zeros(len(at), np.int64)
 
-    return _chunks(c, find, (c.w, 1))
+    return _chunks(c, find, (c.w, 1), bits=ANCHOR_BITS)
 
 
 def _hulls(c: Cover):
-    """The hulls of the anchors of the third column. The salt tells hulls apart that end with the text at unlike distances."""
+    """The hulls of the anchors. The salt tells hulls apart that end with the text at unlike distances."""
     def find(codes, b, row):
-        at = _ints(b.column(2), row)
+        at = _ints(b.column("anchors"), row)
         lo, hi = c.hull(at, len(codes))
         return at, lo, hi, (at - lo) * c.v + hi - at - c.w
 
@@ -180,11 +184,11 @@ def _hulls(c: Cover):
 
 
 def _starts(c: Cover):
-    """The starts of spans around the anchors of the third column that are not in the fourth (with a shared hull) or are in the fifth (the first with it)."""
+    """The starts of spans around the anchors that have no shared hull or are the first with it."""
     def find(codes, b, row):
         n = len(codes) - c.least + 1
-        settled = _ints(b.column(3), row)
-        anchors = np.union1d(np.setdiff1d(_ints(b.column(2), row), settled, True), _ints(b.column(4), row))
+        settled = _ints(b.column("settled"), row)
+        anchors = np.union1d(np.setdiff1d(_ints(b.column("anchors"), row), settled, True), _ints(b.column("firsts"), row))
         near = np.zeros(n + 1, np.int64)
         np.add.at(near, np.clip(anchors - c.v + 1, 0, n), 1)
         np.add.at(near, np.clip(anchors + 1, 0, n), -1)
@@ -195,13 +199,13 @@ def _starts(c: Cover):
 
 
 def _covered(c: Cover):
-    """doc_id and characters in the union of spans: columns doc_id, length, starts, anchors with a shared hull."""
+    """doc_id and characters in the union of the spans at the starts and around the anchors with a shared hull."""
     def run(batches):
         for b in batches:
             sums = []
             for row in range(b.num_rows):
-                starts = _ints(b.column(2), row)
-                lo, hi = c.hull(_ints(b.column(3), row), b.column(1)[row].as_py())
+                starts = _ints(b.column("starts"), row)
+                lo, hi = c.hull(_ints(b.column("settled"), row), b.column("n")[row].as_py())
                 long = hi - lo >= c.least
                 lo, hi = np.concatenate([starts, lo[long]]), np.concatenate([starts + c.least, hi[long]])
                 order = np.argsort(lo, kind="stable")
@@ -225,9 +229,10 @@ def shared_spans(docs: DataFrame, least: int = 240, chunk: int = CHUNK, segment:
     """
     c = Cover(least, chunk, segment)
     texts = pick(docs, doc_id="doc_id", text="text").where(F.col("doc_id").isNotNull() & (F.length("text") >= least))
-    texts = texts.select(F.col("doc_id").cast("bigint"), F.unhex(F.md5(F.col("text").cast("binary"))).alias("text_md5"), "text")
+    texts = texts.select(F.col("doc_id").cast("bigint"), F.coalesce(F.unhex(F.md5(F.col("text").cast("binary"))), F.lit(b"")).alias("text_md5"), "text")
     classes = texts.groupBy("text_md5").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.first("text").alias("text"))
-    anchors = in_several(classes.select("text_md5", "text"), _anchors(c), "binary")
+    # the columns of the join below in their order, so that both read one shuffle of the texts
+    anchors = in_several(classes.select("text_md5", "lo", "text"), _anchors(c), "binary")
     held = cut(classes.join(_per_key(anchors, "text_md5", "anchors"), "text_md5").select("lo", "text", "anchors", F.length("text").alias("n")))
     hulls = cut(_per_key(in_several(held, _hulls(c), "bigint", True), "lo", "settled", "firsts"))
     starts = in_several(held.join(hulls, "lo", "left").select("lo", "text", "anchors", "settled", "firsts"), _starts(c), "bigint")
