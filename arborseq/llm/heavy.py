@@ -3,8 +3,9 @@
 A summary holds at most ``counters`` items with an upper bound of their count, the error in it, and a floor that bounds the count of every item
 that it doesn't hold. An Arrow batch's exact counts are a summary with floor 0, and all merges are of one kind: bounds
 of the items add up, with the floor standing in for a missing item, and the greatest ``counters`` are kept. The
-candidates' events are then counted exactly. If the final floor could hide an item above the threshold, the
-summaries are made again with more counters; so the answer doesn't depend on their number.
+candidates' events are then counted exactly. The floor is at most rows / counters, far below the threshold; should rows delivered
+again many times lift it so that it could hide an item, the summaries are made again with more counters. So the answer doesn't
+depend on their number.
 """
 
 from __future__ import annotations
@@ -90,7 +91,7 @@ def heavy_events(events: DataFrame, per: int = 250, counters: int = COUNTERS) ->
     """``item, n_events, bound, error`` of the items with at least 1 / per of all events (see operators/events.py).
 
     bound, error: of the item's delivered rows, from the summary. Rows delivered again count once in n_events. Ties at the threshold
-    are all kept; nulls are no items; empty tables give no rows.
+    are all kept; unlike items at one position are events of their own; nulls are no items; empty tables give no rows.
     """
     spark = events.sparkSession
     ev = pick(events, seq_id="seq_id", pos="pos", item="item").where(F.col("item").isNotNull())
@@ -104,10 +105,11 @@ def heavy_events(events: DataFrame, per: int = 250, counters: int = COUNTERS) ->
         candidates = top[top["bound"] > floor] if floor else top
         known = F.broadcast(spark.createDataFrame(candidates[["item", "bound", "error"]]))  # at most ``counters`` rows
         found = ev.join(known.select("item", F.lit(True).alias("known")), "item", "left")
+        # other items are told apart by a hash only, for the number of all events
         words = found.select(
-            F.when(F.col("known"), F.col("item")).alias("item"), "seq_id", F.coalesce(F.shiftright(pos, 6), F.lit(-1 << 57)).alias("word"),
+            F.when(F.col("known"), F.col("item")).alias("item"), F.when(F.col("known").isNull(), F.xxhash64("item")).alias("other"), "seq_id", F.coalesce(F.shiftright(pos, 6), F.lit(-1 << 57)).alias("word"),
             F.expr("shiftleft(1L, cast(coalesce(cast(pos as bigint), 0) & 63 as int))").alias("bit"),
-        ).groupBy("seq_id", "item", "word").agg(F.bit_or("bit").alias("bits"))
+        ).groupBy("seq_id", "item", "other", "word").agg(F.bit_or("bit").alias("bits"))
         counts = words.groupBy("item").agg(F.sum(F.bit_count("bits")).cast("bigint").alias("n_events")).toPandas()
         total = int(counts["n_events"].sum())
         if floor * per >= total and len(top) >= counters:

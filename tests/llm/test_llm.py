@@ -126,6 +126,15 @@ def test_heavy(spark, counters, monkeypatch):
     assert heavy.heavy_events(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("counters", [10_000, 64])
+def test_heavy_with_other_items_at_one_position(spark, counters):
+    """1000 positions with two rare items each: 60 of 2060 events are no twentieth, of 1060 they would be."""
+    rows = [(k, 0, "h") for k in range(60)] + [(k, 1, f"x{k}{side}") for k in range(1000) for side in "ab"]
+    df = spark.createDataFrame(rows, "seq_id long, pos int, item string").repartition(4)
+    assert heavy.heavy_events(df, per=20, counters=counters).count() == 0
+    assert [(r.item, r.n_events) for r in heavy.heavy_events(df, per=35, counters=counters).collect()] == [("h", 60)]
+
+
 # ---- token ids
 
 
