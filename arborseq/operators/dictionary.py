@@ -6,11 +6,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from arborseq.common import cut, is_small, maybe_broadcast, pick
+from arborseq.functions.lookup import Lookup
 
 #: Rows of a table that goes to each worker as a lookup; a larger one is joined.
 LOOKUP = 2_000_000
@@ -23,17 +24,13 @@ def weighted(sequences: DataFrame) -> DataFrame:
     return rows.select(F.monotonically_increasing_id().alias("seq"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.col("weight").cast("bigint"))
 
 
-def _lookup(values: pa.Array, keys: pa.Array) -> np.ndarray:
-    return pc.index_in(values.cast(pa.string()), value_set=keys).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-
-
-def _closure_arrays(t: pd.DataFrame) -> tuple[pa.Array, np.ndarray, np.ndarray, list[str]]:
+def _closure_arrays(t: pd.DataFrame) -> tuple[list[str], np.ndarray, np.ndarray, list[str]]:
     """(items, offsets, indexes of their ancestors, names of these) of a small closure."""
     t = t.sort_values("item", kind="stable")
     names = sorted(set(t["ancestor"]))
     index = {x: i for i, x in enumerate(names)}
     items, many = np.unique(t["item"].to_numpy(str), return_counts=True) if len(t) else (np.array([], str), np.array([], int))
-    return pa.array(items.tolist(), pa.string()), np.append(0, np.cumsum(many)), np.array([index[x] for x in t["ancestor"]], np.int64), names
+    return items.tolist(), np.append(0, np.cumsum(many)), np.array([index[x] for x in t["ancestor"]], np.int64), names
 
 
 def flist(sequences: DataFrame, chain: DataFrame | None = None, here: pd.DataFrame | None = None) -> DataFrame:
@@ -51,7 +48,7 @@ def flist(sequences: DataFrame, chain: DataFrame | None = None, here: pd.DataFra
 
         def count(batches):
             keys, at, flat, names = sent.value
-            names = np.array(names, object)
+            names, lookup = np.array(names, object), Lookup(keys)
             for b in batches:
                 lists, weight = b.column(0), b.column(1).to_numpy(zero_copy_only=False)
                 offsets = np.asarray(lists.offsets).astype(np.int64)
@@ -59,7 +56,7 @@ def flist(sequences: DataFrame, chain: DataFrame | None = None, here: pd.DataFra
                 values = lists.flatten()
                 there = pc.is_valid(values).to_numpy(zero_copy_only=False)
                 values, row = values.filter(pa.array(there)), row[there]
-                known = _lookup(values, keys)
+                known = lookup(values)
                 has = known >= 0
                 # items that the hierarchy doesn't have get numbers of their own behind the names
                 own = values.filter(pa.array(~has)).dictionary_encode()
@@ -106,13 +103,13 @@ def dictionary(counts: DataFrame, edges: DataFrame, chain: DataFrame) -> DataFra
 
     The ranks come from a range-partitioned sort and the sizes of its partitions, not from one task.
     """
-    ranked = _ranked(counts)
+    ids = ranked(counts.select("item", "cf", "df"), F.col("cf").desc(), F.col("item")).withColumnRenamed("rank", "tid").withColumn("tid", F.col("tid").cast("int"))
     up = chain.where("depth > 0").join(counts.select("item", F.col("cf").alias("own")), "item")
-    above = ranked.select(F.col("item").alias("ancestor"), F.col("cf").alias("a_cf"), F.col("tid").alias("a_tid"))
+    above = ids.select(F.col("item").alias("ancestor"), F.col("cf").alias("a_cf"), F.col("tid").alias("a_tid"))
     up = up.join(above, "ancestor").where(F.col("a_cf") > F.col("own"))
     parent = up.groupBy("item").agg(F.min_by("a_tid", "depth").alias("parent_tid"))
     red = redundant_ancestors(counts, edges).withColumn("redundant", F.lit(True))
-    out = ranked.join(parent, "item", "left").join(red, "item", "left")
+    out = ids.join(parent, "item", "left").join(red, "item", "left")
     return out.select(
         "item", "cf", "df", "tid", F.coalesce("parent_tid", F.lit(0)).cast("int").alias("parent_tid"), F.coalesce("redundant", F.lit(False)).alias("redundant")
     )
@@ -133,14 +130,14 @@ def dictionary_here(counts: pd.DataFrame, edges: pd.DataFrame, chain: pd.DataFra
     return d
 
 
-def _ranked(counts: DataFrame) -> DataFrame:
-    sorted_rows = cut(
-        counts.select("item", "cf", "df").orderBy(F.col("cf").desc(), "item").withColumn("part", F.spark_partition_id())
-    )
-    per_part = sorted_rows.groupBy("part").count()  # one row per partition of the sort
-    before = per_part.select("part", (F.sum("count").over(Window.orderBy("part")) - F.col("count")).alias("before"))
-    rank = F.row_number().over(Window.partitionBy("part").orderBy(F.col("cf").desc(), "item"))
-    return sorted_rows.withColumn("rank", rank).join(F.broadcast(before), "part").select("item", "cf", "df", (F.col("rank") + F.col("before")).cast("int").alias("tid"))
+def ranked(rows: DataFrame, *order: str | Column) -> DataFrame:
+    """The rows with ``rank``, 1 for the first in that order (ties in any), from a range-partitioned sort and the sizes of its partitions."""
+    sorted_rows = cut(rows.orderBy(*order).withColumn("__part", F.spark_partition_id()))
+    per_part = sorted_rows.groupBy("__part").count()  # one row per partition of the sort
+    before = per_part.select("__part", (F.sum("count").over(Window.orderBy("__part")) - F.col("count")).alias("__before"))
+    rank = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    out = sorted_rows.withColumn("rank", rank).join(F.broadcast(before), "__part")
+    return out.withColumn("rank", F.col("rank") + F.col("__before")).drop("__part", "__before")
 
 
 def encode(sequences: DataFrame, ids: DataFrame, here: pd.DataFrame | None = None) -> DataFrame:
@@ -164,10 +161,10 @@ def _encode(rows: DataFrame, ids: DataFrame, here: pd.DataFrame | None = None) -
         sent = rows.sparkSession.sparkContext.broadcast((got["item"].tolist(), got["tid"].to_numpy(np.int32)))
 
         def run(batches):
-            words, tids = pa.array(sent.value[0], pa.string()), np.append(sent.value[1], 0).astype(np.int32)
+            lookup, tids = Lookup(sent.value[0]), np.append(sent.value[1], 0).astype(np.int32)
             for b in batches:
                 lists = b.column(1)
-                found = tids[_lookup(lists.flatten(), words)]  # -1 is the last: 0
+                found = tids[lookup(lists.flatten())]  # -1 is the last: 0
                 offsets = np.asarray(lists.offsets).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets - offsets[0]), pa.array(found)), b.column(2)], ["seq", "tids", "weight"])
 
