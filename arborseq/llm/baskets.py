@@ -6,24 +6,25 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborseq.common import cut, maybe_broadcast, pick
+from arborseq.common import cut, is_small, maybe_broadcast, pick
+from arborseq.functions.lookup import Lookup
+from arborseq.operators.dictionary import ranked
 
-#: Items that may be held as a dictionary by the driver and each worker. With a least count relative to the number of sequences
-#: there are at most (mean distinct items of a sequence) / (relative least count) of them, whatever the corpus's size.
-DICTIONARY = 1_000_000
+#: Common items (of 48 MB at most) that go to the workers as a lookup; more are joined. The codes and all that follows are the same.
+LOOKUP = 500_000
 
 
 @dataclass
 class Encoded:
-    """rows: ``seq_id, codes, multi``, distinct; codes: 1-based index into items, 0 for any other item or null. multi: another
-    row has the same seq_id. n: distinct seq_id. items: in code point order."""
+    """rows: ``seq_id, codes, multi``, distinct; codes: tid, 0 for any other item or null. multi: another row has the same
+    seq_id. n: distinct seq_id. ids: ``tid, item``, 1 to n_items in code point order."""
 
     rows: DataFrame
-    items: list[str]
+    ids: DataFrame
+    n_items: int
     n: int
 
 
@@ -32,9 +33,9 @@ def n_sequences(seqs: DataFrame) -> int:
 
 
 def common_items(seqs: DataFrame, least: int) -> DataFrame:
-    """``item, n``: non-null items in at least so many rows. Repeated rows count anew, so it holds all items of so many sequences."""
+    """``item``: non-null items in at least so many rows. Repeated rows count anew, so it holds all items of so many sequences."""
     one = seqs.select(F.explode(F.array_distinct("items")).alias("item")).where(F.col("item").isNotNull())
-    return one.groupBy("item").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    return one.groupBy("item").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("item")
 
 
 def clean(sequences: DataFrame) -> DataFrame:
@@ -43,51 +44,84 @@ def clean(sequences: DataFrame) -> DataFrame:
     return seqs.select("seq_id", F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
-def encode(seqs: DataFrame, least: int, ordered: bool, n: int) -> Encoded | None:
-    """None if there are too many common items for a dictionary.
+def _shaped(found: np.ndarray, at: np.ndarray, ordered: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(whether a row is of use, sizes of the rows of use, their codes) of rows of codes at these offsets; see encode."""
+    n = len(at) - 1
+    row = np.repeat(np.arange(n), np.diff(at))
+    if ordered:
+        hit = np.flatnonzero(found)
+        first = np.full(n, len(found), np.int64)
+        last = np.full(n, -1, np.int64)
+        np.minimum.at(first, row[hit], hit)
+        np.maximum.at(last, row[hit], hit)
+        place = np.arange(len(found))
+        keep = (place >= first[row]) & (place <= last[row])
+        row, code = row[keep], found[keep]
+        real = np.bincount(row[code > 0], minlength=n)
+    else:
+        packed = np.unique((row[found > 0].astype(np.int64) << 32) | found[found > 0])
+        row, code = packed >> 32, packed & 0xFFFFFFFF
+        real = np.bincount(row, minlength=n)
+    good = real >= (2 if ordered else 1)
+    return good, np.bincount(row, minlength=n)[good], code[good[row]].astype(np.int32)
+
+
+def _looked_up(seqs: DataFrame, words: list[str], ordered: bool) -> DataFrame:
+    sent = seqs.sparkSession.sparkContext.broadcast(words)
 
-    ordered: positions are kept (blanks at both ends are not), and rows with two occurrences of common items at least;
-    else codes are the distinct common items, sorted, of the rows that hold any.
-    """
-    common = common_items(seqs, least)
-    found = common.select("item").limit(DICTIONARY + 1).collect()
-    if len(found) > DICTIONARY:
-        return None
-    items = sorted(r.item for r in found)
-    if not items:
-        return Encoded(seqs.sparkSession.createDataFrame([], "seq_id bigint, codes array<int>, multi boolean"), [], n)
-    known = seqs.sparkSession.sparkContext.broadcast(items)
+    def run(batches):
+        lookup = Lookup(sent.value)
+        for b in batches:
+            at = np.asarray(b.column(1).offsets)
+            good, size, code = _shaped(lookup(b.column(1).flatten()) + 1, at - at[0], ordered)
+            codes = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), pa.array(code))
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(good)), codes], ["seq_id", "codes"])
+
+    return seqs.mapInArrow(run, "seq_id bigint, codes array<int>")
+
+
+def _joined(seqs: DataFrame, ids: DataFrame, ordered: bool) -> DataFrame:
+    """The same by a join with ``tid, item``; only common items are gathered again, a sequence at a time."""
+    rows = cut(seqs.where(F.size("items") > 0).withColumn("row", F.monotonically_increasing_id()))
+    one = rows.select("row", "seq_id", F.posexplode("items").alias("pos", "item")).where(F.col("item").isNotNull())
+    found = one.join(ids, "item").groupBy("row", "seq_id").agg(F.collect_list(F.struct("pos", "tid")).alias("x"))
 
     def run(batches):
-        words = pa.array(known.value, pa.string())
         for b in batches:
-            lists = b.column(1)
-            at = np.asarray(lists.offsets) - lists.offsets[0].as_py()
-            found = pc.index_in(lists.flatten().cast(pa.string()), value_set=words).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int32) + 1
+            at = np.asarray(b.column(1).offsets).astype(np.int64)
+            x = b.column(1).flatten()
+            pos, tid = (x.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
             row = np.repeat(np.arange(b.num_rows), np.diff(at))
-            if ordered:
-                hit = np.flatnonzero(found)
-                first = np.full(b.num_rows, len(found), np.int64)
-                last = np.full(b.num_rows, -1, np.int64)
-                np.minimum.at(first, row[hit], hit)
-                np.maximum.at(last, row[hit], hit)
-                place = np.arange(len(found))
-                keep = (place >= first[row]) & (place <= last[row])
-                row, code = row[keep], found[keep]
-                real = np.bincount(row[code > 0], minlength=b.num_rows)
-            else:
-                packed = np.unique((row[found > 0].astype(np.int64) << 32) | found[found > 0])
-                row, code = packed >> 32, (packed & 0xFFFFFFFF).astype(np.int32)
-                real = np.bincount(row, minlength=b.num_rows)
-            good = real >= (2 if ordered else 1)
-            size = np.bincount(row, minlength=b.num_rows)[good]
-            code = code[good[row]]
+            size = np.zeros(b.num_rows, np.int64)
+            np.maximum.at(size, row, pos + 1)
+            start = np.append(0, np.cumsum(size))
+            flat = np.zeros(start[-1], np.int64)
+            flat[start[row] + pos] = tid
+            good, size, code = _shaped(flat, start, ordered)
             codes = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), pa.array(code))
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(good)), codes], ["seq_id", "codes"])
 
-    rows = cut(seqs.mapInArrow(run, "seq_id bigint, codes array<int>").distinct())
-    again = rows.groupBy("seq_id").count().where(F.col("count") > 1).select("seq_id", F.lit(True).alias("again"))
-    if again.limit(1).count() == 0:
-        return Encoded(rows.withColumn("multi", F.lit(False)), items, n)
+    return found.select("seq_id", "x").mapInArrow(run, "seq_id bigint, codes array<int>")
+
+
+def encode(seqs: DataFrame, least: int, ordered: bool, n: int) -> Encoded:
+    """Codes of the items in ``least`` rows at least.
+
+    ordered: positions are kept (blanks at both ends are not), and rows with two occurrences of common items at least;
+    else codes are the distinct common items, sorted, of the rows that hold any.
+    """
+    spark = seqs.sparkSession
+    common = cut(common_items(seqs, least))
+    if is_small(common, LOOKUP):
+        items = sorted(r.item for r in common.collect())
+        ids = spark.createDataFrame([(i + 1, x) for i, x in enumerate(items)], "tid int, item string")
+        n_items, rows = len(items), _looked_up(seqs, items, ordered)
+    else:
+        ids = cut(ranked(common, F.col("item")).select(F.col("rank").cast("int").alias("tid"), "item"))
+        n_items, rows = ids.count(), _joined(seqs, ids, ordered)
+    rows = cut(rows.distinct())
+    again = cut(rows.groupBy("seq_id").count().where(F.col("count") > 1).select("seq_id", F.lit(True).alias("again")))
+    if again.isEmpty():
+        return Encoded(rows.withColumn("multi", F.lit(False)), ids, n_items, n)
     rows = rows.join(maybe_broadcast(again), "seq_id", "left")
-    return Encoded(cut(rows.select("seq_id", "codes", F.col("again").isNotNull().alias("multi"))), items, n)
+    return Encoded(cut(rows.select("seq_id", "codes", F.col("again").isNotNull().alias("multi"))), ids, n_items, n)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborseq.common import maybe_broadcast, width
+from arborseq.common import cut, maybe_broadcast, width
 from arborseq.llm.baskets import clean, encode, n_sequences
 
 #: Pair codes that a task sorts into one run.
@@ -93,39 +93,23 @@ def items_together(sequences: DataFrame, least: int = 8, per_n: int | None = 500
     n_..: distinct non-null seq_id holding the item or both in any of its rows; n: N, all distinct seq_id. odds_ratio:
     with 0.5 added to each of the four cells. Nulls are no items; repeated items and rows count once; empty tables give no rows.
     """
-    spark = sequences.sparkSession
     seqs = clean(sequences)
     n = n_sequences(seqs)
     least = max(1, least, -(-n // per_n) if per_n else 1)
     enc = encode(seqs, least, False, n)
-    if enc is None:
-        return _with_odds(_as_tables(seqs, least), n)
     rows = enc.rows.where(~F.col("multi")).select("codes")
     several = enc.rows.where("multi")
-    if several.limit(1).count():
+    if not several.isEmpty():
         several = several.select("seq_id", F.explode("codes").alias("c")).groupBy("seq_id").agg(F.sort_array(F.collect_set("c")).alias("codes"))
-        rows = rows.unionByName(several.select("codes"))
-    n_item = rows.select(F.explode("codes").alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n_item"))
-    ids = spark.createDataFrame([(i + 1, x) for i, x in enumerate(enc.items)], "code bigint, item string")
-    items = maybe_broadcast(n_item.join(ids, "code").select("code", "item", "n_item"))
+        rows = cut(rows.unionByName(several.select("codes")))
+    n_item = rows.select(F.explode("codes").alias("tid")).groupBy("tid").agg(F.count(F.lit(1)).alias("n_item"))
+    items = maybe_broadcast(cut(n_item.join(enc.ids, "tid").select("tid", "item", "n_item")))
     pairs = _sorted_counts(rows).where(F.col("n_ab") >= least)
-    pairs = pairs.select(F.shiftright("code", 32).alias("a"), F.col("code").bitwiseAND(0xFFFFFFFF).alias("b"), "n_ab")
+    pairs = pairs.select(F.shiftright("code", 32).cast("int").alias("a"), F.col("code").bitwiseAND(0xFFFFFFFF).cast("int").alias("b"), "n_ab")
     named = pairs.join(items.toDF("a", "item_a", "n_a"), "a").join(items.toDF("b", "item_b", "n_b"), "b")
     return _with_odds(named.select("item_a", "item_b", "n_ab", "n_a", "n_b"), n)
 
 
-def _as_tables(seqs: DataFrame, least: int) -> DataFrame:
-    """The same counts by grouping item pairs, when the common items are too many for a dictionary."""
-    one = seqs.select("seq_id", F.explode("items").alias("item")).where(F.col("item").isNotNull()).distinct()
-    n_item = one.groupBy("item").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    one = one.join(n_item.select("item"), "item", "left_semi")
-    sets = one.groupBy("seq_id").agg(F.sort_array(F.collect_list("item")).alias("s"))
-    tail = F.transform("s", lambda x, i: F.struct(x.alias("item_a"), F.slice("s", i + 2, F.size("s")).alias("rest")))
-    pairs = sets.select(F.explode(tail).alias("t")).select("t.item_a", F.explode("t.rest").alias("item_b"))
-    pairs = pairs.groupBy("item_a", "item_b").agg(F.count(F.lit(1)).alias("n_ab")).where(F.col("n_ab") >= least)
-    return pairs.join(n_item.toDF("item_a", "n_a"), "item_a").join(n_item.toDF("item_b", "n_b"), "item_b")
-
-
 def _with_odds(pairs: DataFrame, n: int) -> DataFrame:
     ab, a, b, total = (F.col(c).cast("double") for c in ("n_ab", "n_a", "n_b", "n"))
     pairs = pairs.withColumn("n", F.lit(n).cast("bigint"))

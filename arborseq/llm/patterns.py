@@ -3,22 +3,29 @@
 For each batch of sequences a table holds each item's last position per sequence, latest first. An item extends an
 embedding of a frequent prefix when its last position exceeds the embedding's end, so the extensions are the head of that
 table; with a bound on the gap the item's next positions are then looked up and held against the bound. All embeddings of a batch are
-flat arrays. Partial counts per task are summed by the shuffle; the frequent patterns of a level, of which
-there are at most (mean embeddings of a sequence) / (relative support), go to the workers for the next.
+flat arrays. Partial counts per task are summed by the shuffle. The frequent patterns of a level, of which
+there are at most (mean embeddings of a sequence) / (relative support), go to the workers for the next; where they are
+too many, the extensions are joined with them instead. The sequences' embeddings of frequent patterns are kept from level
+to level while they are few, so that sequences without any drop out and nothing is grown twice; else they are grown again.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arborseq.common import cut
-from arborseq.llm.baskets import clean, encode, n_sequences
+from arborseq.llm.baskets import Encoded, clean, encode, n_sequences
+from arborseq.operators.dictionary import decode, ranked
 
-#: Patterns of one level that the driver and the workers may hold; beyond, the levels are joined as tables.
-HELD = 4_000_000
+#: Patterns of one level that the driver and the workers may hold; more are joined.
+HELD = 1_000_000
+#: Embeddings are kept if there are at most so many for each element of the sequences.
+KEPT = 2
 #: Rows of one step's arrays.
 STEP = 2_000_000
 
@@ -80,41 +87,110 @@ class _Batch:
             lo = hi
 
 
-def _count_level(levels, pairs, n_items, gap):
-    """Counts the patterns one longer than the last of levels (sorted code arrays: index of the prefix * n_items + item)."""
+def _known(code: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(whether it is in the sorted known, where)."""
+    if not len(known):
+        return np.zeros(len(code), bool), np.zeros(len(code), np.int64)
+    at = np.minimum(np.searchsorted(known, code), len(known) - 1)
+    return known[at] == code, at
+
+
+class _Grown:
+    """The embeddings of a batch of rows ``seq_id, codes, multi[, pids, ends]``: of single items, or those kept."""
+
+    def __init__(self, rb: pa.RecordBatch, n_items: int, gap: int | None):
+        at = np.asarray(rb.column("codes").offsets).astype(np.int64)
+        self.b = b = _Batch(at - at[0], rb.column("codes").flatten().to_numpy(zero_copy_only=False), n_items, gap)
+        self.n_items = n_items
+        if "pids" in rb.schema.names:
+            at = np.asarray(rb.column("pids").offsets)
+            self.row = np.repeat(np.arange(rb.num_rows), np.diff(at))
+            self.pid, self.end = (rb.column(c).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("pids", "ends"))
+        else:
+            self.row, self.pid, self.end = b.row, b.item, b.pos
+
+    def extensions(self):
+        """(row, code of the longer pattern, item, end)."""
+        for which, item, pos in self.b.extend(self.row, self.pid, self.end):
+            yield self.row[which], self.pid[which] * self.n_items + item, item, pos, which
+
+    def advance(self, known: np.ndarray) -> None:
+        """To the embeddings one longer whose codes are in known; pid: their places there."""
+        keys, size = [np.zeros(0, np.int64)], max(1, len(known))
+        for row, code, _, pos, _ in self.extensions():
+            good, new = _known(code, known)
+            keys.append(_unique((row[good] * size + new[good]) * self.b.wide + pos[good]))
+        key, self.end = np.divmod(_unique(np.concatenate(keys)), self.b.wide)
+        self.row, self.pid = np.divmod(key, size)
+
+
+def _lists(row: np.ndarray, n: int, *values: np.ndarray) -> tuple[pa.Array, list[pa.Array]]:
+    """(rows with any, lists of the values of these)."""
+    size = np.bincount(row, minlength=n)
+    at = pa.array(np.append(0, np.cumsum(size[size > 0])).astype(np.int32))
+    return pa.array(size > 0), [pa.ListArray.from_arrays(at, pa.array(v)) for v in values]
+
+
+_STATE = "seq_id bigint, codes array<int>, multi boolean, pids array<bigint>, ends array<int>"
+
+
+def _state(levels, n_items: int, gap: int | None):
+    """The rows with their embeddings after the levels given (sorted codes each), without the rows that have none."""
 
     def run(batches):
-        lv, ok = levels.value, pairs.value
-        total: dict[int, int] = {}
-        codes_seen, counts_seen, held = [], [], 0
+        for rb in batches:
+            g = _Grown(rb, n_items, gap)
+            for known in levels.value:
+                g.advance(known)
+            has, (pids, ends) = _lists(g.row, rb.num_rows, g.pid, g.end.astype(np.int32))
+            rows = rb.select(["seq_id", "codes", "multi"]).filter(has)
+            yield pa.RecordBatch.from_arrays([*rows.columns, pids, ends], ["seq_id", "codes", "multi", "pids", "ends"])
+
+    return run
+
+
+def _extended(n_items: int, gap: int | None):
+    """``row, code, end`` of all extensions, for a join with a level's table."""
+
+    def run(batches):
+        for rb in batches:
+            g = _Grown(rb, n_items, gap)
+            ids = rb.column("row").to_numpy()
+            for row, code, _, pos, _ in g.extensions():
+                for k in range(0, len(row), 100_000):
+                    part = slice(k, k + 100_000)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[row[part]]), pa.array(code[part]), pa.array(pos[part].astype(np.int32))], ["row", "code", "end"])
+
+    return run
+
+
+def _counts(levels, near, n_items: int, gap: int | None):
+    """``seq_id, code, n``: counts of the patterns one longer than those after the levels; rows of a seq_id with several are told one by one.
+
+    near: (last item of each pattern, sorted codes of the frequent pairs), or None: only pairs that are frequent are extended to.
+    """
+
+    def run(batches):
+        last, pairs = near.value or (None, None)
         out = pa.schema([("seq_id", pa.int64()), ("code", pa.int64()), ("n", pa.int64())])
+        codes_seen, counts_seen, held = [], [], 0
         for rb in batches:
-            at = np.asarray(rb.column(1).offsets).astype(np.int64)
-            codes = rb.column(1).flatten().to_numpy(zero_copy_only=False)
-            b = _Batch(at - at[0], codes, n_items, gap)
-            row, pid, end = b.row, b.item, b.pos
-            for depth, known in enumerate(lv[1:] + [None], start=2):
-                keys, size = [], len(known) if known is not None else len(lv[-1]) * n_items
-                for which, item, pos in b.extend(row, pid, end):
-                    code = pid[which] * n_items + item
-                    if known is None:
-                        if ok is not None:
-                            good = ok[(lv[-1][pid[which]] % n_items), item]
-                            which, code = which[good], code[good]
-                        keys.append(_unique(row[which] * size + code))
-                    else:
-                        new = np.searchsorted(known, code)
-                        good = (new < len(known)) & (known[np.minimum(new, len(known) - 1)] == code)
-                        keys.append(_unique((row[which[good]] * size + new[good]) * b.wide + pos[good]))
-                key = _unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
-                if known is None:
-                    break
-                key, end = np.divmod(key, b.wide)
-                row, pid = np.divmod(key, size)
-            row, code = np.divmod(key, size)
-            multi = rb.column(2).to_numpy(zero_copy_only=False)[row]
+            g = _Grown(rb, n_items, gap)
+            for known in levels.value:
+                g.advance(known)
+            rows_codes = [np.zeros((2, 0), np.int64)]
+            for row, code, item, _, which in g.extensions():
+                if last is not None:
+                    good, _ = _known(last[g.pid[which]] * n_items + item, pairs)
+                    row, code = row[good], code[good]
+                order = np.lexsort((code, row))
+                row, code = row[order], code[order]
+                new = np.append(True, (row[1:] != row[:-1]) | (code[1:] != code[:-1])) if len(row) else np.zeros(0, bool)
+                rows_codes.append(np.stack([row[new], code[new]]))
+            row, code = rows_codes[1] if len(rows_codes) == 2 else np.unique(np.concatenate(rows_codes, axis=1), axis=1)
+            multi = rb.column("multi").to_numpy(zero_copy_only=False)[row]
             if multi.any():
-                ids = rb.column(0).to_numpy(zero_copy_only=False)[row[multi]]
+                ids = rb.column("seq_id").to_numpy(zero_copy_only=False)[row[multi]]
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(code[multi]), pa.array(np.ones(len(ids), np.int64))], schema=out)
             c, n = np.unique(code[~multi], return_counts=True)
             codes_seen.append(c)
@@ -144,6 +220,83 @@ def _emit(codes, counts, schema):
         yield pa.RecordBatch.from_arrays([pa.nulls(len(c), pa.int64()), pa.array(c), pa.array(counts[k : k + 50_000])], schema=schema)
 
 
+def _arrow(ids: np.ndarray, **columns: np.ndarray) -> pa.Table:
+    """The columns, and ids with each row as a list."""
+    at = pa.array((np.arange(len(ids) + 1) * ids.shape[1]).astype(np.int32))
+    lists = pa.ListArray.from_arrays(at, pa.array(ids.astype(np.int32).ravel()))
+    return pa.table({**{k: pa.array(v, pa.int64()) for k, v in columns.items()}, "ids": lists})
+
+
+class _Levels:
+    """The search, a level at a time: rows with the embeddings kept last, and the frequent patterns of the levels since."""
+
+    def __init__(self, enc: Encoded, least: int, gap: int | None, held: int):
+        self.enc, self.least, self.gap, self.held = enc, least, gap, held
+        self.spark, self.m = enc.rows.sparkSession, enc.n_items
+        self.rows, self.since = enc.rows, []
+        self.elements, self.multi = enc.rows.agg(F.coalesce(F.sum(F.size("codes")), F.lit(0)), F.coalesce(F.max("multi"), F.lit(False))).first()
+        #: the newest level by pid: tids of each pattern here, or ``pid, ids`` as a table; codes of the frequent pairs, if held
+        self.ids: np.ndarray | None = np.arange(1, self.m + 1)[:, None] if self.m <= held else None
+        self.table: DataFrame | None = None if self.m <= held else enc.ids.select((F.col("tid") - 1).cast("bigint").alias("pid"), F.array("tid").alias("ids"))
+        self.pairs: np.ndarray | None = None
+
+    def frequent(self) -> DataFrame:
+        """``code, n`` of the frequent patterns one longer than the newest level's: code: pid of the prefix * items + item."""
+        sc = self.spark.sparkContext
+        near = None if self.ids is None or self.pairs is None else (self.ids[:, -1].astype(np.int64) - 1, self.pairs)
+        run = _counts(sc.broadcast(self.since), sc.broadcast(near), self.m, self.gap)
+        counts = self.rows.mapInArrow(run, "seq_id bigint, code bigint, n bigint")
+        if self.multi:
+            counts = cut(counts)
+            counts = counts.where("seq_id is null").unionByName(counts.where("seq_id is not null").distinct())
+        return counts.groupBy("code").agg(F.sum("n").alias("n")).where(F.col("n") >= self.least)
+
+    def step(self) -> DataFrame | pa.Table | None:
+        """``ids, n`` of the next level, None if it is empty."""
+        found = self.frequent()
+        some = found.limit(self.held + 1).toPandas()
+        if some.empty:
+            return None
+        up, item = F.expr(f"code div {self.m}L"), F.pmod("code", F.lit(self.m)).cast("int") + 1
+        small = len(some) <= self.held
+        if small:
+            some = some.sort_values("code", ignore_index=True)
+            codes = some["code"].to_numpy(np.int64)
+            self.since.append(codes)
+            if self.ids is not None:
+                if self.ids.shape[1] == 1:
+                    self.pairs = codes
+                self.ids = np.column_stack([self.ids[codes // self.m], codes % self.m + 1])
+            if int(some["n"].sum()) <= KEPT * self.elements:
+                self.rows = cut(self.rows.mapInArrow(_state(self.spark.sparkContext.broadcast(self.since), self.m, self.gap), _STATE))
+                self.since = []
+            if self.ids is not None:
+                return _arrow(self.ids, n=some["n"].to_numpy())
+            level = self.spark.createDataFrame(some.assign(pid=np.arange(len(some))), "code bigint, n bigint, pid bigint")
+        else:
+            level = cut(ranked(found, F.col("code")).select("code", "n", (F.col("rank") - 1).cast("bigint").alias("pid")))
+            self.join(level.select("code", "pid"))
+        if self.ids is not None:
+            self.ids, self.table = None, self.spark.createDataFrame(_arrow(self.ids, pid=np.arange(len(self.ids))))
+        before = self.table.toDF("up", "up_ids")
+        self.table = cut(level.join(before, up == F.col("up")).select("pid", F.concat("up_ids", F.array(item)).alias("ids"), "n"))
+        out = self.table.select("ids", "n")
+        self.table = self.table.select("pid", "ids")
+        return out
+
+    def join(self, level: DataFrame) -> None:
+        """The rows' embeddings of the level's patterns, by a join of all extensions with ``code, pid``."""
+        rows = self.rows
+        if self.since:
+            rows = rows.mapInArrow(_state(self.spark.sparkContext.broadcast(self.since), self.m, self.gap), _STATE)
+        rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))
+        grown = rows.mapInArrow(_extended(self.m, self.gap), "row bigint, code bigint, end int").distinct()
+        own = grown.join(level, "code").groupBy("row").agg(F.collect_list(F.struct("pid", "end")).alias("x"))
+        kept = rows.select("row", "seq_id", "codes", "multi").join(own, "row")
+        self.rows = cut(kept.select("seq_id", "codes", "multi", F.col("x.pid").alias("pids"), F.col("x.end").alias("ends")))
+        self.since = []
+
+
 def frequent_subsequences(
     sequences: DataFrame, per_n: int = 200, max_gap: int | None = 2, max_length: int = 5, min_support: int | None = None, held: int = HELD
 ) -> DataFrame:
@@ -161,63 +314,17 @@ def frequent_subsequences(
     if n == 0 or max_length < 2:
         return empty
     enc = encode(seqs, least, True, n)
-    if enc is None:
-        return _as_tables(seqs, least, max_gap, max_length)
-    m = len(enc.items)
-    if m == 0:
+    if enc.n_items == 0:
         return empty
-    levels = [np.arange(m, dtype=np.int64)]
-    pairs: np.ndarray | None = None
-    found: list[tuple[list[int], int]] = []
-    lists: list[tuple[int, ...]] = [(i,) for i in range(m)]
-    has_multi = enc.rows.where("multi").limit(1).count() > 0
-    for length in range(2, max_length + 1):
-        sent = spark.sparkContext.broadcast(levels)
-        near = spark.sparkContext.broadcast(pairs)
-        counts = enc.rows.mapInArrow(_count_level(sent, near, m, max_gap), "seq_id bigint, code bigint, n bigint")
-        if has_multi:
-            counts = cut(counts)
-            counts = counts.where("seq_id is null").unionByName(counts.where("seq_id is not null").distinct())
-        good = counts.groupBy("code").agg(F.sum("n").alias("n")).where(F.col("n") >= least).limit(held + 1).toPandas()
-        sent.unpersist()
-        near.unpersist()
-        if len(good) > held:
-            return _as_tables(seqs, least, max_gap, max_length)
-        if good.empty:
-            break
-        good = good.sort_values("code")
-        code = good["code"].to_numpy(np.int64)
-        lists = [(*lists[c // m], int(c % m)) for c in code.tolist()]
-        found += zip(lists, good["n"].tolist())
-        levels.append(code)
-        if length == 2 and m <= 20_000:
-            pairs = np.zeros((m, m), bool)
-            pairs[code // m, code % m] = True
-    rows = [([enc.items[i] for i in p], int(k)) for p, k in found]
-    return spark.createDataFrame(rows, "pattern array<string>, frequency bigint") if rows else empty
-
-
-def _as_tables(seqs: DataFrame, least: int, max_gap: int | None, max_length: int) -> DataFrame:
-    """The same by joins, level by level, when the patterns of a level are too many to be held."""
-    # alternatives of one seq_id stay apart: a row is told by its seq_id and a hash of its items
-    alt = seqs.distinct().select("seq_id", F.xxhash64("items").alias("alt"), F.posexplode("items").alias("pos", "item"))
-    occ = _common_only(alt.where(F.col("item").isNotNull()), least)
-    state = occ.select("seq_id", "alt", F.col("pos").alias("end"), F.array("item").alias("pattern"))
-    nxt = occ.select("seq_id", "alt", F.col("pos").alias("p"), "item")
-    out = None
+    search = _Levels(enc, least, max_gap, held)
+    here, tables = [], []
     for _ in range(2, max_length + 1):
-        near = (F.col("p") > F.col("end")) & (F.lit(True) if max_gap is None else F.col("p") <= F.col("end") + F.lit(max_gap + 1))
-        grown = state.join(nxt, ["seq_id", "alt"]).where(near).select(
-            "seq_id", "alt", F.col("p").alias("end"), F.concat("pattern", F.array("item")).alias("pattern")
-        ).distinct()
-        grown = cut(grown)
-        good = cut(grown.select("seq_id", "pattern").distinct().groupBy("pattern").agg(F.count(F.lit(1)).alias("frequency")).where(F.col("frequency") >= least))
-        out = good if out is None else out.unionByName(good)
-        state = grown.join(good.select("pattern"), "pattern", "left_semi")
-    return out
-
-
-def _common_only(occ: DataFrame, least: int) -> DataFrame:
-    """Occurrences of items in at least so many sequences, written once."""
-    good = occ.select("seq_id", "item").distinct().groupBy("item").count().where(F.col("count") >= least).select("item")
-    return cut(occ.join(good, "item", "left_semi"))
+        if (level := search.step()) is None:
+            break
+        (here if isinstance(level, pa.Table) else tables).append(level)
+    if here:
+        tables.append(spark.createDataFrame(pa.concat_tables(here)))
+    if not tables:
+        return empty
+    out = reduce(DataFrame.unionByName, tables)
+    return decode(out.select("ids", F.col("n").alias("frequency")), enc.ids, "ids").select("pattern", "frequency")

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 import regex
 
+from arborseq.llm import baskets as B
 from arborseq.llm import heavy, leaks, pairs, patterns, spans, terms, tokens
 from arborseq.llm.exchange import in_several
 
@@ -35,12 +36,16 @@ def sequences(seed, n=60):
 
 
 @pytest.mark.parametrize("gap, longest", [(2, 4), (0, 3), (None, 3)])
-def test_subsequences(spark, gap, longest):
+def test_subsequences(spark, gap, longest, monkeypatch):
     rows = sequences(1)
     df = spark.createDataFrame([(s, i, 1) for s, i in rows], SEQ + ", code long").repartition(3)
-    for kw in ({}, {"held": 2}):
-        got = patterns.frequent_subsequences(df, max_gap=gap, max_length=longest, min_support=6, **kw).collect()
-        assert {tuple(r.pattern): r.frequency for r in got} == subsequences(rows, 6, gap, longest)
+    want = subsequences(rows, 6, gap, longest)
+    # held = 1: all levels are joined; 5: the first only held in part
+    for held, kept, lookup in ((patterns.HELD, 2, B.LOOKUP), (patterns.HELD, 0, B.LOOKUP), (1, 2, 0), (5, 2, B.LOOKUP), (40, 0, 0)):
+        monkeypatch.setattr(patterns, "KEPT", kept)
+        monkeypatch.setattr(B, "LOOKUP", lookup)
+        got = patterns.frequent_subsequences(df, max_gap=gap, max_length=longest, min_support=6, held=held).collect()
+        assert {tuple(r.pattern): r.frequency for r in got} == want and len(got) == len(want)
 
 
 def test_relative_support_and_edges(spark):
@@ -81,9 +86,7 @@ def test_pairs(spark, monkeypatch):
     assert abs(r.lift - r.n_ab * r.n / (r.n_a * r.n_b)) < 1e-9
     assert abs(r.odds_ratio - (r.n_ab + 0.5) * (r.n - r.n_a - r.n_b + r.n_ab + 0.5) / ((r.n_a - r.n_ab + 0.5) * (r.n_b - r.n_ab + 0.5))) < 1e-9
     assert {(r.item_a, r.item_b) for r in pairs.at_least_times_chance(got, 3).collect()} == {(a, b) for a, b, ab, x, y, n in want if ab * n >= 3 * x * y}
-    import arborseq.llm.baskets as B
-
-    monkeypatch.setattr(B, "DICTIONARY", 0)
+    monkeypatch.setattr(B, "LOOKUP", 0)
     assert {tuple(r)[:6] for r in pairs.items_together(df, 2, None).collect()} == want
     assert pairs.items_together(df.limit(0)).count() == 0
 
