@@ -31,7 +31,8 @@ STEP = 2_000_000
 
 
 def _unique(x: np.ndarray) -> np.ndarray:
-    return np.unique(x) if len(x) else x
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
 
 
 class _Batch:
@@ -95,6 +96,18 @@ def _known(code: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return known[at] == code, at
 
 
+def _distinct(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct (row, code) of the parts."""
+    if not (parts := [p for p in parts if len(p[0])]):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    size, rows = max(int(c.max()) for _, c in parts) + 1, max(int(r.max()) for r, _ in parts) + 1
+    if size * rows < 1 << 62:
+        keys = [_unique(r * size + c) for r, c in parts]
+        return np.divmod(keys[0] if len(keys) == 1 else _unique(np.concatenate(keys)), size)
+    row, code = np.unique(np.concatenate([np.stack(p) for p in parts], axis=1), axis=1)
+    return row, code
+
+
 class _Grown:
     """The embeddings of a batch of rows ``seq_id, codes, multi[, pids, ends]``: of single items, or those kept."""
 
@@ -178,16 +191,13 @@ def _counts(levels, near, n_items: int, gap: int | None):
             g = _Grown(rb, n_items, gap)
             for known in levels.value:
                 g.advance(known)
-            rows_codes = [np.zeros((2, 0), np.int64)]
+            found = []
             for row, code, item, _, which in g.extensions():
                 if last is not None:
                     good, _ = _known(last[g.pid[which]] * n_items + item, pairs)
                     row, code = row[good], code[good]
-                order = np.lexsort((code, row))
-                row, code = row[order], code[order]
-                new = np.append(True, (row[1:] != row[:-1]) | (code[1:] != code[:-1])) if len(row) else np.zeros(0, bool)
-                rows_codes.append(np.stack([row[new], code[new]]))
-            row, code = rows_codes[1] if len(rows_codes) == 2 else np.unique(np.concatenate(rows_codes, axis=1), axis=1)
+                found.append((row, code))
+            row, code = _distinct(found)
             multi = rb.column("multi").to_numpy(zero_copy_only=False)[row]
             if multi.any():
                 ids = rb.column("seq_id").to_numpy(zero_copy_only=False)[row[multi]]
