@@ -204,6 +204,54 @@ def test_leaks_with_edits(spark):
     assert {(r.doc_id, r.edits) for r in leaks.leaked(docs, qs, words=13, edits=2).collect()} == {(1, 1), (2, 1), (3, 2)}
 
 
+def fewest_edits(passage, line):
+    """Least edits of the passage against any part of the line."""
+    cost = [0] * (len(line) + 1)
+    for i, p in enumerate(passage, 1):
+        new = [i]
+        for j, c in enumerate(line, 1):
+            new.append(min(cost[j - 1] + (p != c), cost[j] + 1, new[j - 1] + 1))
+        cost = new
+    return min(cost)
+
+
+@pytest.mark.parametrize("edits", range(4))
+@pytest.mark.parametrize("block", [100, 3])
+def test_leaks_against_brute_force(spark, edits, block, monkeypatch):
+    monkeypatch.setattr(leaks, "FILTERS", 2)
+    rnd = random.Random(edits)
+    words, split = ["ab", "cde", "x", "straße", "tray", "of", "née"], regex.compile(r"[^\p{L}\p{N}]+")
+    questions = [(k, " ".join(rnd.choice(words) for _ in range(rnd.randrange(3, 8)))) for k in range(12)]
+
+    def damaged(s):
+        for _ in range(rnd.randrange(5)):
+            at = rnd.randrange(len(s))
+            s = s[:at] + rnd.choice(["", "a", "zz", " "]) + s[at + rnd.randrange(2) :]
+        return s
+
+    texts = [rnd.choice(words) * rnd.randrange(3) + " " + damaged(rnd.choice(questions)[1]) + " " + rnd.choice(words) for _ in range(50)] + ["", None]
+    want = {}
+    for i, t in enumerate(texts):
+        for k, q in questions:
+            line, asked = leaks.word_line(t or "", split), leaks.word_line(q, split)
+            best = min((fewest_edits(asked[a:b], line) for a, b in leaks._passages(asked, 4)), default=99)
+            if best <= edits and t is not None:
+                want[i, k] = best
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = leaks.leaked(docs, spark.createDataFrame(questions, "item_id long, text string"), 4, edits, block).collect()
+    assert {(r.doc_id, r.item_id): r.edits for r in got} == want and want
+
+
+@pytest.mark.parametrize("edits", [1, 8, 10, 15])
+def test_leaks_of_short_words(spark, edits):
+    q = "a b c d e f g h i j"
+    docs = spark.createDataFrame([(1, q), (2, "a b c q d e f h i j"), (3, "ä")], "doc_id long, text string")
+    got = {r.doc_id: r.edits for r in leaks.leaked(docs, spark.createDataFrame([(7, q)], "item_id long, text string"), 10, edits).collect()}
+    assert got == {1: 0, 2: 4} if edits >= 4 else got == {1: 0}
+    with pytest.raises(ValueError):
+        leaks.leaked(docs, spark.createDataFrame([(7, q)], "item_id long, text string"), 10, 21)
+
+
 # ---- shared spans
 
 
