@@ -90,14 +90,14 @@ def queries() -> dict[str, str]:
         "pattern_counts_by_length": f"SELECT len(string_split(pattern, ' '))::INT AS length, count(*) AS n_patterns FROM ({mine(w)}) GROUP BY 1",
         "pattern_text": f"SELECT pattern || chr(9) || frequency AS line FROM ({mine(w)})",
         "sequences_loaded": P3_VALID_SEQUENCES, "hierarchy_loaded": P3_VALID_HIERARCHY,
-        "p3_found": P3, "p6_found": P6, "p7_found": P7,
+        "p3_found": P3, "p3_recovered": P3_RECOVERED, "p6_found": P6, "p7_found": P7,
     }
     return out
 
 
 _FIELD = r'"(?:[^"]|"")*"|[^" \t\r]+'
-_P3_BASE = f"""WITH l AS (SELECT 'sequences' AS source, line_id, line FROM raw_sequences UNION ALL SELECT 'hierarchy', line_id, line FROM raw_hierarchy),
-split AS (SELECT *, line IS NULL OR regexp_full_match(line, '[ \\t\\r]*(?:(?:{_FIELD})(?:[ \\t\\r]+(?:{_FIELD}))*)?[ \\t\\r]*') AS fine,
+_P3_LINES = "SELECT 'sequences' AS source, line_id, line FROM raw_sequences UNION ALL SELECT 'hierarchy', line_id, line FROM raw_hierarchy"
+_P3_TAIL = f"""split AS (SELECT *, line IS NULL OR regexp_full_match(line, '[ \\t\\r]*(?:(?:{_FIELD})(?:[ \\t\\r]+(?:{_FIELD}))*)?[ \\t\\r]*') AS fine,
   coalesce(regexp_extract_all(line, '{_FIELD}'), []) AS raw FROM l),
 f AS (SELECT *, list_transform(raw, lambda x: CASE WHEN x[1] = '"' THEN replace(substr(x, 2, length(x) - 2), '""', '"') ELSE x END) AS fields FROM split),
 v AS (SELECT *, CASE WHEN source = 'sequences' THEN fields[2:] ELSE fields END AS names FROM f),
@@ -106,10 +106,19 @@ c AS (SELECT *, CASE WHEN NOT fine THEN 'quoting'
   WHEN source = 'sequences' AND NOT coalesce(regexp_full_match(fields[1], '[0-9]{{1,19}}') AND try_cast(fields[1] AS HUGEINT) BETWEEN 1 AND 9223372036854775807, false) THEN 'value'
   WHEN len(list_filter(names, lambda x: x = '' OR length(x) > 100 OR regexp_matches(x, '[\\x00-\\x1f\\x7f\\x{{FFFD}}]'))) > 0 THEN 'value' END AS reason FROM v)
 """
+_P3_BASE = f"WITH l AS ({_P3_LINES}), {_P3_TAIL}"
 P3 = _P3_BASE + "SELECT source, line_id, reason FROM c WHERE reason IS NOT NULL"
 P3_VALID_SEQUENCES = _P3_BASE + "SELECT line_id, fields[1]::BIGINT AS seq_id, fields[2:] AS items FROM c WHERE reason IS NULL AND source = 'sequences'"
 P3_VALID_HIERARCHY = _P3_BASE + "SELECT fields[1] AS item, fields[2] AS parent, line_id AS line_no FROM c WHERE reason IS NULL AND source = 'hierarchy'"
 
+P3_RECOVERED = f"""WITH t AS (SELECT line_id // 100 AS chunk, string_split(string_agg(line, chr(10) ORDER BY line_id), chr(10)) AS x FROM raw_sequences WHERE line IS NOT NULL GROUP BY 1),
+n AS (SELECT chunk, unnest(range(len(x))) AS no, unnest(x) AS line FROM t),
+l AS (SELECT 'sequences' AS source, chunk * 1000000 + no AS line_id, line FROM n WHERE NOT regexp_full_match(line, '[ \\t\\r]*')),
+{_P3_TAIL},
+w AS (SELECT *, line_id // 1000000 AS chunk, line_id % 1000000 AS no, max(CASE WHEN reason IS NULL THEN line_id ELSE -1 END) OVER (PARTITION BY line_id // 1000000 ORDER BY line_id) AS last_valid FROM c),
+b AS (SELECT *, min(CASE WHEN reason = 'quoting' THEN no END) OVER (PARTITION BY chunk, last_valid) AS broken FROM w)
+SELECT chunk, no AS line, CASE WHEN reason IS NULL THEN len(fields)::INT END AS n_fields, reason, CASE WHEN reason IS NOT NULL AND broken < no THEN broken END AS after FROM b"""
+
 P6 = f"""WITH RECURSIVE hold AS ({HOLDING_SQL}),
 down(item, root, depth, path) AS (
   SELECT item, CASE WHEN parent IS NULL THEN item ELSE parent END, CASE WHEN parent IS NULL THEN 0 ELSE 1 END, CASE WHEN parent IS NULL THEN [item] ELSE [parent, item] END

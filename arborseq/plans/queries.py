@@ -119,6 +119,14 @@ def _p3(spark, d):
     return bad.select("source", "line_id", "reason")
 
 
+def _recovered(spark, d):
+    """The lines of raw_sequences in texts of 100 lines each, parsed as texts."""
+    lines = table(spark, d, "raw_sequences").where(F.col("line").isNotNull())
+    texts = lines.groupBy(F.expr("line_id div 100").alias("part")).agg(F.array_sort(F.collect_list(F.struct("line_id", "line"))).alias("x"))
+    texts = texts.select("part", F.array_join("x.line", "\n").alias("text"))
+    return records.parse_chunks(texts, records.SEQUENCES, "part", "text").select("chunk", "line", F.size("fields").alias("n_fields"), "reason", "after")
+
+
 def queries() -> dict[str, Query]:
     s, p = WORKLOADS["order_suppliers"], WORKLOADS["order_parts"]
     sup, par = _taxonomy("order_suppliers"), _taxonomy("order_parts")
@@ -148,7 +156,7 @@ def queries() -> dict[str, Query]:
         "pattern_text": lambda spark, d: run_mine(s)(spark, d).select(F.concat("pattern", F.lit("\t"), F.col("frequency").cast("string")).alias("line")),
         "sequences_loaded": lambda spark, d: records.valid_sequences(records.parse_lines(table(spark, d, "raw_sequences"), records.SEQUENCES)),
         "hierarchy_loaded": lambda spark, d: records.valid_hierarchy(records.parse_lines(table(spark, d, "raw_hierarchy"), records.HIERARCHY)),
-        "p3_found": _p3,
+        "p3_found": _p3, "p3_recovered": _recovered,
         "p6_found": lambda spark, d: as_text(full_hierarchy(holding_rows(table(spark, d, "hierarchy")))),
         "p7_found": lambda spark, d: key_figures(table(spark, d, "sequence_items"), table(spark, d, "hierarchy")),
     }

@@ -4,9 +4,10 @@
     field  := bare | quoted                              bare := ( neither sep nor '"' )+
     quoted := '"' ( not '"' | '""' )* '"'  followed by a sep or the record's end
 
-``parse_lines`` takes one record per row. ``parse_chunks`` takes whole texts with a record per
-text line: after a broken quote it resumes at the next line start that the grammar accepts as the
-start of a record (the anchor), and gives what it left out to the faulty record.
+One parser reads a text from anchor to anchor: places where a record may start. These are the row starts of a table
+(``parse_lines``), the line starts of whole texts (``parse_chunks``) or of the splits of files (``parse_files``). A quote that is
+still open at the next anchor is broken. From there on the parser recovers: it tries each anchor, and resumes at the first at which the
+grammar itself accepts a whole record. The lines before that one are faulty by their own reasons, and name the record that broke.
 
 Each faulty record keeps the first reason that applies, with the code point where it was seen:
 ``quoting`` (it cannot be split), ``columns`` (wrong number of fields, null lines included) and
@@ -46,17 +47,16 @@ class Fault(Exception):
 
 @dataclass(frozen=True)
 class Grammar:
-    """least/most: numbers of fields. with_id: the first field is a sequence id. anchor: start of a record in a text."""
+    """least/most: numbers of fields. with_id: the first field is a sequence id."""
 
     name: str
     least: int
     most: int | None
     with_id: bool
-    anchor: str
 
 
-SEQUENCES = Grammar("sequences", 2, None, True, r'[ \t\r]*"?[0-9]{1,19}"?[ \t\r]')
-HIERARCHY = Grammar("hierarchy", 2, 2, False, r'[ \t\r]*(?:[^" \t\r\n]+|"(?:[^"\n]|"")*")[ \t\r]+\S')
+SEQUENCES = Grammar("sequences", 2, None, True)
+HIERARCHY = Grammar("hierarchy", 2, 2, False)
 
 
 class Parser:
@@ -125,93 +125,124 @@ class Parser:
                 raise Fault("value", at, "empty, too long or with a forbidden character")
 
 
-def parse_text(text: str, grammar: Grammar) -> Iterator[tuple[int, int, list[str] | Fault]]:
-    """(first line, last line, fields or fault) of each record of a text with a record per line; blank lines are skipped."""
-    parser, anchor = Parser(grammar), re.compile(grammar.anchor)
-    starts = [0, *(m.end() for m in re.finditer("\n", text))]
-    stops = [s - 1 for s in starts[1:]] + [len(text)]
-    k = 0
-    while k < len(starts):
-        first = last = k
-        if text[starts[k] : stops[k]].strip(" \t\r"):
+class Recovery:
+    """Records of a text from anchor to anchor, and whether a broken one is still to be recovered from; one text may come in several parts."""
+
+    def __init__(self, grammar: Grammar):
+        self.parser = Parser(grammar)
+        self.broken: int | None = None
+
+    def records(self, text: str, starts: list[int], stops: list[int], numbers: list[int]) -> Iterator[tuple[int, list[str] | Fault, int | None]]:
+        """(number, fields or fault, number of the broken record before it) of the text between each anchor and its stop; a fault is located from its anchor."""
+        for start, stop, number in zip(starts, stops, numbers):
+            after = self.broken
             try:
-                found: list[str] | Fault = parser.record(text, starts[k], stops[k])
+                found: list[str] | Fault = self.parser.record(text, start, stop)
+                self.broken = after = None  # a validated anchor: the text goes on from here
             except Fault as e:
-                found = e
-                if e.reason == "quoting":
-                    while last + 1 < len(starts) and not anchor.match(text, starts[last + 1], stops[last + 1]):
-                        last += 1
-            yield first, last, found
-        k = last + 1
+                found = Fault(e.reason, e.at - start, e.what)
+                if e.reason == "quoting" and after is None:
+                    self.broken = number
+            yield number, found, after
 
 
-def _line_batches(grammar: Grammar):
-    schema = pa.schema([
-        ("line_id", pa.int64()), ("fields", pa.list_(pa.string())),
-        ("reason", pa.string()), ("at", pa.int32()), ("what", pa.string()),
-    ])
+_OUT = pa.schema([
+    ("fields", pa.list_(pa.string())), ("reason", pa.string()), ("at", pa.int32()), ("what", pa.string()), ("after", pa.int64()),
+])
+_NULL = Fault("columns", 0, "null line")
 
-    def run(batches):
-        parser = Parser(grammar)
-        for b in batches:
-            fields, reason, at, what = [], [], [], []
-            for raw in b.column(1).to_pylist():
-                try:
-                    if raw is None:
-                        raise Fault("columns", 0, "null line")
-                    got, bad = parser.record(raw.decode("utf-8", "replace")), None
-                except Fault as e:
-                    got, bad = None, e
-                fields.append(got)
-                reason.append(bad and bad.reason)
-                at.append(bad and bad.at)
-                what.append(bad and bad.what)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), *(pa.array(x, t) for x, t in zip((fields, reason, at, what), schema.types[1:]))], schema=schema
-            )
-
-    return run
+
+def _columns(found: list[tuple[list[str] | Fault, int | None]]) -> list[pa.Array]:
+    faults = [x if isinstance(x, Fault) else None for x, _ in found]
+    return [
+        pa.array([None if f else x for (x, _), f in zip(found, faults)], _OUT.field("fields").type),
+        *(pa.array([f and getattr(f, c) for f in faults], _OUT.field(c).type) for c in ("reason", "at", "what")),
+        pa.array([a for _, a in found], pa.int64()),
+    ]
+
+
+def _parsed_lines(recovery: Recovery, lines: list[bytes | None], numbers: list[int]) -> list[tuple[list[str] | Fault, int | None]]:
+    """Of each line its fields or fault; the lines are one text, and their starts its anchors."""
+    texts = ["" if x is None else x.decode("utf-8", "replace") for x in lines]
+    starts, at = [], 0
+    for t in texts:
+        starts.append(at)
+        at += len(t) + 1
+    stops = [a + len(t) for a, t in zip(starts, texts)]
+    got = recovery.records("\n".join(texts), starts, stops, numbers)
+    return [(_NULL, None) if line is None else (x, after) for line, (_, x, after) in zip(lines, got)]
 
 
 def parse_lines(df: DataFrame, grammar: Grammar, id_col: str = "line_id", line_col: str = "line") -> DataFrame:
     """``line_id, fields, reason, at, what``, one row per input row: fields of a valid record, else the fault.
 
-    Rows are parsed where they lie, without a shuffle; it also runs on streams. Repeated rows give repeated rows.
+    Rows are parsed where they lie, without a shuffle: the rows of an Arrow batch as one text, with the row starts as anchors. It
+    also runs on streams. Repeated rows give repeated rows.
     """
     lines = pick(df, line_id=id_col, line=line_col).select(F.col("line_id").cast("bigint"), F.col("line").cast("binary"))
-    return lines.mapInArrow(
-        _line_batches(grammar), "line_id bigint, fields array<string>, reason string, at int, what string"
-    )
 
+    def run(batches):
+        for b in batches:
+            own = _columns(_parsed_lines(Recovery(grammar), b.column(1).to_pylist(), list(range(b.num_rows))))
+            yield pa.RecordBatch.from_arrays([b.column(0), *own[:-1]], ["line_id", *_OUT.names[:-1]])
+
+    return lines.mapInArrow(run, "line_id bigint, fields array<string>, reason string, at int, what string")
 
-def parse_chunks(df: DataFrame, grammar: Grammar, text_col: str = "value") -> DataFrame:
-    """``chunk, first_line, last_line, fields, reason, at, what`` of the records in whole texts (a null text has none).
 
-    chunk numbers the text within its partition.
+_LOCATED = "line bigint, fields array<string>, reason string, at int, what string, after bigint"
+
+
+def parse_chunks(df: DataFrame, grammar: Grammar, id_col: str, text_col: str = "value") -> DataFrame:
+    """``chunk, line, fields, reason, at, what, after`` of the lines of whole texts; chunk: the id given with the text.
+
+    line: from 0; blank lines are no records. after: the line of the broken record that the parser was still
+    recovering from; a null text has no lines.
     """
-    schema = pa.schema([
-        ("chunk", pa.int64()), ("first_line", pa.int32()), ("last_line", pa.int32()), ("fields", pa.list_(pa.string())),
-        ("reason", pa.string()), ("at", pa.int32()), ("what", pa.string()),
-    ])
+    rows = pick(df, chunk=id_col, text=text_col).select("chunk", F.col("text").cast("binary"))
+    kind = rows.schema["chunk"].dataType
 
     def run(batches):
-        n = 0
         for b in batches:
-            for raw in b.column(0).to_pylist():
-                rows = []
-                for first, last, got in parse_text((raw or b"").decode("utf-8", "replace"), grammar):
-                    bad = isinstance(got, Fault)
-                    rows.append((n, first, last, None if bad else got, *((got.reason, got.at, got.what) if bad else (None,) * 3)))
-                for k in range(0, len(rows), 10_000):
-                    part = rows[k : k + 10_000]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([r[j] for r in part], t) for j, t in enumerate(schema.types)], schema=schema
-                    )
-                n += 1
-
-    return pick(df, text=text_col).select(F.col("text").cast("binary")).mapInArrow(
-        run, "chunk bigint, first_line int, last_line int, fields array<string>, reason string, at int, what string"
-    )
+            for chunk, raw in zip(b.column(0), b.column(1).to_pylist()):
+                lines = list(enumerate((raw or b"").split(b"\n")))
+                lines = [(k, x) for k, x in lines if x.strip(b" \t\r")]
+                recovery = Recovery(grammar)
+                for lo in range(0, len(lines), 10_000):
+                    part = lines[lo : lo + 10_000]
+                    found = _parsed_lines(recovery, [x for _, x in part], [k for k, _ in part])
+                    chunks = pa.array([chunk.as_py()] * len(part), b.schema.field(0).type)
+                    yield pa.RecordBatch.from_arrays([chunks, pa.array([k for k, _ in part], pa.int64()), *_columns(found)], ["chunk", "line", *_OUT.names])
+
+    return rows.mapInArrow(run, f"chunk {kind.simpleString()}, {_LOCATED}")
+
+
+def parse_files(spark: SparkSession, path: str, grammar: Grammar) -> DataFrame:
+    """``file, block, line, fields, reason, at, what, after`` of the lines of all text files under path.
+
+    A file is cut at line ends into the reader's splits, each of which is read as one text: block is where the split starts in the file, line
+    counts its lines from 0, blank ones too, which are no records. So a fault can be found again, and no split waits for another.
+    """
+    rows = spark.read.option("recursiveFileLookup", "true").text(path)
+    rows = rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary"))
+
+    def run(batches):
+        split, recovery, line = None, Recovery(grammar), 0
+        for b in batches:
+            files, blocks, values = (b.column(k).to_pylist() for k in range(3))
+            lo = 0
+            while lo < len(files):
+                here = (files[lo], blocks[lo])
+                hi = next((k for k in range(lo, len(files)) if (files[k], blocks[k]) != here), len(files))
+                if here != split:
+                    split, recovery, line = here, Recovery(grammar), 0
+                own = [(line + k, x) for k, x in enumerate(values[lo:hi]) if x.strip(b" \t\r")]
+                found = _parsed_lines(recovery, [x for _, x in own], [k for k, _ in own])
+                located = [pa.array([v] * len(own), t) for v, t in zip(here, (pa.string(), pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*located, pa.array([k for k, _ in own], pa.int64()), *_columns(found)], ["file", "block", "line", *_OUT.names])
+                line += hi - lo
+                lo = hi
+
+    return rows.mapInArrow(run, f"file string, block bigint, {_LOCATED}")
 
 
 def valid_sequences(parsed: DataFrame) -> DataFrame:

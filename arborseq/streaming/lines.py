@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborseq.sources.records import Grammar, _line_batches
+from arborseq.sources.records import _OUT, Grammar, Recovery, _columns, _parsed_lines
 
 
 def parse_stream(spark: SparkSession, path: str, grammar: Grammar) -> DataFrame:
     """``line, fields, reason, at, what`` of each line of the text files that come into a folder."""
-    lines = spark.readStream.text(path).select(F.lit(0).cast("bigint").alias("line_id"), F.col("value").cast("binary").alias("line"))
+    lines = spark.readStream.text(path).select(F.col("value").cast("binary").alias("line"))
 
     def run(batches):
-        import pyarrow as pa
-
         for b in batches:
-            for out in _line_batches(grammar)([b]):
-                yield pa.RecordBatch.from_arrays([b.column(1).cast(pa.string()), *out.columns[1:]], ["line", *out.schema.names[1:]])
+            own = _columns(_parsed_lines(Recovery(grammar), b.column(0).to_pylist(), list(range(b.num_rows))))
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), *own[:-1]], ["line", *_OUT.names[:-1]])
 
     return lines.mapInArrow(run, "line string, fields array<string>, reason string, at int, what string")

@@ -74,11 +74,35 @@ def test_clashing_names(spark):
     assert R.parse_lines(df, R.SEQUENCES).first().fields == ["5", "a"]
 
 
+TEXT = '1 a b\n2 "open c\n  "still d\nx y\n"x y z\n3 e\n\n4 "f"g\n5 h\nno'
+WANT = [
+    (0, ["1", "a", "b"], None, None), (1, None, "quoting", None), (2, None, "quoting", 1), (3, None, "value", 1), (4, None, "quoting", 1), (5, ["3", "e"], None, None),
+    (7, None, "quoting", None), (8, ["5", "h"], None, None), (9, None, "columns", None),
+]
+
+
 def test_recovery_in_a_text(spark):
-    text = '1 a b\n2 "open c\n  "still d\n3 e\n\n4 "f"g\n5 h'
-    rows = R.parse_chunks(spark.createDataFrame([(text,), (None,)], "value string"), R.SEQUENCES).collect()
-    assert [(r.first_line, r.last_line, r.fields, r.reason) for r in rows] == [
-        (0, 0, ["1", "a", "b"], None), (1, 2, None, "quoting"), (3, 3, ["3", "e"], None), (5, 5, None, "quoting"), (6, 6, ["5", "h"], None),
+    rows = R.parse_chunks(spark.createDataFrame([("u", TEXT), ("v", TEXT), ("w", None)], "name string, value string"), R.SEQUENCES, "name").collect()
+    for chunk in "uv":
+        assert [(r.line, r.fields, r.reason, r.after) for r in rows if r.chunk == chunk] == WANT
+    assert len(rows) == 2 * len(WANT)
+    assert [r["at"] for r in rows[:3]] == [None, 2, 2]
+
+
+def test_recovery_in_files(spark, tmp_path):
+    (tmp_path / "deep").mkdir()
+    for name in ("a.txt", "deep/b.txt"):
+        (tmp_path / name).write_text(TEXT)
+    rows = R.parse_files(spark, str(tmp_path), R.SEQUENCES).collect()
+    assert {r.file.rsplit("/", 1)[1] for r in rows} == {"a.txt", "b.txt"} and {r.block for r in rows} == {0}
+    for name in ("a.txt", "b.txt"):
+        assert [(r.line, r.fields, r.reason, r.after) for r in rows if r.file.endswith(name)] == WANT
+
+
+def test_broken_quotes_do_not_swallow_valid_records(spark):
+    hierarchy = R.parse_chunks(spark.createDataFrame([(1, 'a b\n"x y z\nabc q\nq" r\nc d')], "id long, value string"), R.HIERARCHY, "id").collect()
+    assert [(r.line, r.fields, r.reason, r.after) for r in hierarchy] == [
+        (0, ["a", "b"], None, None), (1, None, "quoting", None), (2, ["abc", "q"], None, None), (3, None, "quoting", None), (4, ["c", "d"], None, None),
     ]
 
 
