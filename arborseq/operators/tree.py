@@ -1,11 +1,13 @@
 """Parent-child rows to full hierarchies, by contraction.
 
-A round places the rows of the nodes on partitions, follows in each partition the chains that stay
-there to their exit (the first node whose row lies elsewhere), keeps only the nodes that are somebody's
-exit as a smaller forest of the same form, solves that one by the same steps, and expands the fragments'
-paths with the paths of their exits. A node's row is placed by its own hash or, on a coin drawn anew each round,
-by its parent's, so that each link meets its parent's row with a fixed chance and long chains shrink at each round
-as short ones do. A forest of at most ``one_task`` nodes is solved in one task.
+A round places the rows of the nodes on partitions and follows in each partition the chains that stay there to their
+exit, the first node whose row lies elsewhere. The nodes that are somebody's exit are a smaller forest of the same form: each
+has its own exit above it, and the number of nodes that hang below it elsewhere. That forest is solved by the same steps. Then the
+partitions of the round are made again, each with the solved paths of its exits and the numbers below its nodes: paths are
+expanded, and descendants are summed up along the chains, without a row per node and ancestor.
+
+A node's row lies at its parent's place if the parent's hash of the round is the lesser, else at its own; so a third of all
+links meet in a round, and long chains shrink as short ones do. A forest of ``one_task`` nodes at most is solved in one task.
 """
 
 from __future__ import annotations
@@ -17,13 +19,17 @@ from pyspark.sql import functions as F
 
 from arborseq.common import cut, maybe_broadcast, pick, width
 
-#: Nodes of a forest that one task may solve, and that a partition of a round should hold.
-ONE_TASK = 100_000
-
-#: A parent with more children rows than this share of a task keeps its place alone: its children stay at their own.
+#: Nodes of a forest that one task solves.
+ONE_TASK = 2_000
+#: Nodes that a partition of a round should hold.
+PER_TASK = 50_000
+#: A parent with more children than this share of a partition keeps its place alone: its children stay at their own.
 HOT_SHARE = 4
+#: Names in the paths of one batch.
+NAMES = 1_000_000
 
-_FRAG = "node string, exit string, frag array<string>, loop boolean"
+_FRAG = "place int, node string, up string, frag array<string>, weight bigint, exit string, chain array<string>, loop boolean, hangs bigint"
+_SOLVED = "node string, path array<string>, loop boolean, total bigint"
 
 
 def holding_rows(hierarchy: DataFrame, item: str = "item", parent: str = "parent", line_no: str = "line_no") -> DataFrame:
@@ -33,73 +39,162 @@ def holding_rows(hierarchy: DataFrame, item: str = "item", parent: str = "parent
     return rows.groupBy("item").agg(best.alias("best")).select("item", F.col("best.parent").alias("parent"))
 
 
-def _follow(node: list, up: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pointer doubling over the rows of one task: index of the parent's row or -1, top row of the chain, whether it loops."""
-    at = {x: i for i, x in enumerate(node)}
-    n = len(node)
-    parent = np.fromiter((at.get(u, -1) if u is not None else -1 for u in up), np.int64, n)
-    top = np.where(parent < 0, np.arange(n), parent)
-    for _ in range(n.bit_length() + 1):
-        further = top[top]
-        if (further == top).all():
-            break
-        top = further
-    return parent, top, parent[top] >= 0
+class _Forest:
+    """The rows ``node, up, frag, weight`` of one task, by index; parent: -1 where the parent's row lies elsewhere."""
+
+    def __init__(self, t: pa.Table):
+        self.t, n = t, t.num_rows
+        self.node, self.up = t.column("node").to_pylist(), t.column("up").to_pylist()
+        at = {x: i for i, x in enumerate(self.node)}
+        self.parent = np.fromiter((at.get(u, -1) if u is not None else -1 for u in self.up), np.int64, n)
+        # pointer doubling: top row of the chain, and how many steps it is away
+        top, steps = np.where(self.parent < 0, np.arange(n), self.parent), (self.parent >= 0).astype(np.int64)
+        for _ in range(n.bit_length() + 1):
+            further = top[top]
+            if (further == top).all():
+                break
+            steps, top = steps + steps[top], further
+        self.top, self.steps = top, steps
+        self.loop = self.parent[top] >= 0
+        frag = t.column("frag").combine_chunks()
+        self.size = np.diff(np.asarray(frag.offsets)).astype(np.int64) if n else np.zeros(0, np.int64)
+        self.start, self.names = np.cumsum(self.size) - self.size, frag.flatten()
+
+    def summed(self, own: np.ndarray) -> np.ndarray:
+        """Of each node the sum of these numbers over itself and the nodes below it."""
+        total, parent = own.tolist(), self.parent.tolist()
+        for i in np.argsort(-self.steps, kind="stable").tolist():
+            if parent[i] >= 0 and not self.loop[i]:
+                total[parent[i]] += total[i]
+        return np.array(total, np.int64)
+
+    def paths(self, prefix_at: np.ndarray, prefix_size: np.ndarray, names: pa.Array, rows: np.ndarray) -> pa.Array:
+        """Lists of names of these rows: the prefix of the chain's top (a range of names), then the frags down to the row (ranges of names too)."""
+        length = np.where(self.loop[rows], 0, self._lengths(prefix_size)[rows])
+        ends = np.cumsum(length)
+        index = np.zeros(int(ends[-1]) if len(ends) else 0, np.int64)
+        live = np.flatnonzero(~self.loop[rows])
+        at, stop = rows[live], ends[live].copy()
+
+        def put(start, size, stop):
+            many = np.repeat(np.arange(len(size)), size)
+            inner = np.arange(len(many)) - np.repeat(np.cumsum(size) - size, size)
+            index[(stop - size)[many] + inner] = start[many] + inner
+
+        while len(at):
+            put(self.start[at], self.size[at], stop)
+            stop = stop - self.size[at]
+            done = self.parent[at] < 0
+            put(prefix_at[at[done]], prefix_size[at[done]], stop[done])
+            at, stop = self.parent[at[~done]], stop[~done]
+        return pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), names.take(pa.array(index)))
+
+    def _lengths(self, prefix_size: np.ndarray) -> np.ndarray:
+        length = self.size + np.where(self.parent < 0, prefix_size, 0)
+        out, parent = length.tolist(), self.parent.tolist()
+        for i in np.argsort(self.steps, kind="stable").tolist():
+            if parent[i] >= 0 and not self.loop[i]:
+                out[i] += out[parent[i]]
+        return np.array(out, np.int64)
+
+    def batches(self, prefix_at: np.ndarray, prefix_size: np.ndarray):
+        """Ranges of rows with about NAMES names in their paths."""
+        total = np.cumsum(np.where(self.loop, 0, self._lengths(prefix_size)) + 1)
+        lo = 0
+        while lo < len(total):
+            hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + NAMES, "right")))
+            yield np.arange(lo, hi)
+            lo = hi
 
 
 def _fragments(batches):
-    """Each row of a partition followed to its exit: the up of the chain's top row; frag: the nodes from below the exit."""
-    rows = [b for b in batches if b.num_rows]
-    if not rows:
+    """Each row with its chain's exit, the names from below the exit down to it (chain), and what hangs at the exit by its chain's top."""
+    batches = [b for b in batches if b.num_rows]
+    if not batches:
         return
-    t = pa.Table.from_batches(rows)
-    node, up, frag = (t.column(c).to_pylist() for c in ("node", "up", "frag"))
-    parent, top, loop = _follow(node, up)
-    full: list = [None] * len(node)
-    for i in np.flatnonzero(~loop):
-        chain, j = [], int(i)
-        while j >= 0 and full[j] is None:
-            chain.append(j)
-            j = int(parent[j])
-        for j in reversed(chain):
-            full[j] = frag[j] if parent[j] < 0 else full[parent[j]] + frag[j]
-    schema = pa.schema([("node", pa.string()), ("exit", pa.string()), ("frag", pa.list_(pa.string())), ("loop", pa.bool_())])
-    for k in range(0, len(node), 10_000):
-        own = range(k, min(k + 10_000, len(node)))
+    t = pa.Table.from_batches(batches)
+    f = _Forest(t)
+    total = f.summed(t.column("weight").to_numpy())
+    none = np.zeros(t.num_rows, np.int64)
+    is_top = (f.parent < 0) & ~f.loop
+    for rows in f.batches(none, none):
+        own = t.take(pa.array(rows))
         yield pa.RecordBatch.from_arrays([
-            pa.array([node[i] for i in own], pa.string()),
-            pa.array([None if loop[i] else up[top[i]] for i in own], pa.string()),
-            pa.array([[] if loop[i] else full[i] for i in own], pa.list_(pa.string())),
-            pa.array([bool(loop[i]) for i in own], pa.bool_()),
-        ], schema=schema)
+            *(own.column(c).combine_chunks() for c in ("place", "node", "up", "frag", "weight")),
+            pa.array([None if f.loop[i] else f.up[f.top[i]] for i in rows], pa.string()), f.paths(none, none, f.names, rows),
+            pa.array(f.loop[rows]), pa.array(np.where(is_top[rows], total[rows], 0)),
+        ], ["place", "node", "up", "frag", "weight", "exit", "chain", "loop", "hangs"])
 
 
-def _solve(rows: DataFrame, n: int, round_no: int, one_task: int) -> DataFrame:
-    """``node, path, loop`` for rows ``node, up, frag`` (frag: the nodes below up, down to the node); path is empty on a loop."""
-    none = F.array().cast("array<string>")
-    whole = F.when(F.col("exit").isNull(), F.col("frag")).otherwise(F.concat(F.array("exit"), "frag"))
+def _expanded(batches):
+    """Solved rows of one task. Beside the rows themselves (kind 0) there are kind 1: node, and what hangs below it elsewhere (weight), and kind 2:
+    an exit with its path (frag) or a loop above it."""
+    batches = [b for b in batches if b.num_rows]
+    if not batches:
+        return
+    t = pa.Table.from_batches(batches)
+    kind = t.column("kind").to_numpy()
+    rows, below, above = (t.filter(pa.array(kind == k)) for k in range(3))
+    f = _Forest(rows)
+    hangs = dict(zip(below.column("node").to_pylist(), below.column("weight").to_pylist()))
+    weight = rows.column("weight").to_numpy() + np.array([hangs.get(x, 0) for x in f.node], np.int64)
+    exits = {x: i for i, x in enumerate(above.column("node").to_pylist())}
+    loops = above.column("loop").to_pylist()
+    lists = above.column("frag").combine_chunks()
+    at = np.asarray(lists.offsets).astype(np.int64) if len(exits) else np.zeros(1, np.int64)
+    # names: those of the rows, of the exits' paths, and the ups that have no row anywhere
+    ups = rows.column("up").combine_chunks().cast(pa.string())
+    own, paths = len(f.names), len(lists.flatten())
+    names = pa.concat_arrays([x.cast(pa.string()) for x in (f.names, lists.flatten(), ups)])
+    prefix_at, prefix_size = np.zeros(len(f.node), np.int64), np.zeros(len(f.node), np.int64)
+    bad = np.zeros(len(f.node), bool)
+    for i in np.flatnonzero((f.parent < 0) & ~f.loop).tolist():
+        if (u := f.up[i]) is None:
+            continue
+        if (k := exits.get(u)) is None:
+            prefix_at[i], prefix_size[i] = own + paths + i, 1
+        else:
+            prefix_at[i], prefix_size[i], bad[i] = own + at[k] - at[0], at[k + 1] - at[k], loops[k]
+    f.loop = f.loop | bad[f.top]
+    total = f.summed(weight)
+    for r in f.batches(prefix_at, prefix_size):
+        node = rows.column("node").combine_chunks().take(pa.array(r))
+        yield pa.RecordBatch.from_arrays([node, f.paths(prefix_at, prefix_size, names, r), pa.array(f.loop[r]), pa.array(total[r])], ["node", "path", "loop", "total"])
+
+
+def _kinds(rows: DataFrame, kind: int, loop=None) -> DataFrame:
+    return rows.select("place", F.lit(kind).alias("kind"), "node", "up", "frag", "weight", (F.lit(False) if loop is None else loop).alias("loop"))
+
+
+def _solve(rows: DataFrame, n: int, round_no: int, one_task: int, per_task: int) -> DataFrame:
+    """``node, path, loop, total`` of rows ``node, up, frag, weight`` (frag: the names below up, down to the node); path is empty on a loop.
+
+    total: the weights of the node and of all below it.
+    """
     if n <= one_task:
-        return rows.coalesce(1).mapInArrow(_fragments, _FRAG).select("node", whole.alias("path"), "loop")
-    hot = rows.groupBy(F.col("up").alias("h_up")).count().where((F.col("count") > one_task // HOT_SHARE) & F.col("h_up").isNotNull())
-    placed = rows.join(maybe_broadcast(hot.select("h_up")), F.col("up") == F.col("h_up"), "left")
-    joins_parent = (F.xxhash64(F.lit(round_no), "node") % 2 == 0) & F.col("up").isNotNull() & F.col("h_up").isNull()
-    place = F.xxhash64(F.when(joins_parent, F.col("up")).otherwise(F.col("node")))
-    parts = max(width(rows.sparkSession), -(-2 * n // one_task))
-    frags = cut(placed.select("node", "up", "frag", place.alias("place")).repartition(parts, "place").drop("place").mapInArrow(_fragments, _FRAG))
-    exits = frags.where(F.col("exit").isNotNull()).select(F.col("exit").alias("node")).distinct()
+        return _kinds(rows.withColumn("place", F.lit(0)), 0).coalesce(1).mapInArrow(_expanded, _SOLVED)
+    parts = max(width(rows.sparkSession), -(-n // per_task))
+    hot = cut(rows.groupBy(F.col("up").alias("h_up")).count().where((F.col("count") > per_task // HOT_SHARE) & F.col("h_up").isNotNull()).select("h_up"))
+    drawn = lambda c: F.xxhash64(F.lit(round_no), c)
+    placed = rows.join(maybe_broadcast(hot), F.col("up") == F.col("h_up"), "left")
+    at_parent = F.col("up").isNotNull() & F.col("h_up").isNull() & (drawn("up") < drawn("node"))
+    placed = placed.select(F.pmod(F.when(at_parent, drawn("up")).otherwise(drawn("node")), F.lit(parts)).cast("int").alias("place"), "node", "up", "frag", "weight")
+    frags = cut(placed.repartitionById(parts, F.col("place")).mapInArrow(_fragments, _FRAG))
+    exits = cut(frags.where(F.col("exit").isNotNull()).groupBy(F.col("exit").alias("node")).agg(F.sum("hangs").alias("hangs")))
     up = F.when(F.col("loop"), F.col("node")).otherwise(F.col("exit"))  # a node that leads into a loop stays one
-    smaller = cut(frags.join(exits, "node", "left_semi").select("node", up.alias("up"), "frag"))
-    above = _solve(smaller, smaller.count(), round_no + 1, one_task)
-    above = above.toDF("a_node", "a_path", "a_loop")
-    out = frags.where(F.col("exit").isNotNull()).join(above, F.col("exit") == F.col("a_node"), "left")
-    bad = F.coalesce("a_loop", F.lit(False))
-    expanded = out.select(
-        "node", F.when(bad, none).otherwise(F.concat(F.coalesce("a_path", F.array("exit")), "frag")).alias("path"), bad.alias("loop")
-    )
-    return frags.where(F.col("exit").isNull()).select("node", F.col("frag").alias("path"), "loop").unionByName(expanded)
-
-
-def full_hierarchy(edges: DataFrame, item: str = "item", parent: str = "parent", one_task: int = ONE_TASK) -> DataFrame:
+    smaller = frags.select("place", "node", up.alias("up"), F.col("chain").alias("frag")).join(maybe_broadcast(exits), "node")
+    smaller = cut(smaller.select("place", "node", "up", F.when(F.size("frag") > 0, F.col("frag")).otherwise(F.array("node")).alias("frag"), F.col("hangs").alias("weight")))
+    above = cut(_solve(smaller.drop("place"), smaller.count(), round_no + 1, one_task, per_task))
+    below = smaller.select("place", "node").join(above.select("node", F.col("total").alias("weight")), "node")
+    none = F.array().cast("array<string>")
+    text = F.lit(None).cast("string")
+    asked = frags.where((F.col("hangs") > 0) & F.col("exit").isNotNull()).select("place", F.col("exit").alias("node")).distinct()
+    ends = asked.join(above.select("node", F.col("path").alias("frag"), "loop"), "node").withColumn("up", text).withColumn("weight", F.lit(0).cast("bigint"))
+    all_rows = _kinds(frags, 0).unionByName(_kinds(below.withColumn("up", text).withColumn("frag", none), 1)).unionByName(_kinds(ends, 2, F.col("loop")))
+    return all_rows.repartitionById(parts, F.col("place")).mapInArrow(_expanded, _SOLVED)
+
+
+def full_hierarchy(edges: DataFrame, item: str = "item", parent: str = "parent", one_task: int = ONE_TASK, per_task: int = PER_TASK) -> DataFrame:
     """``item, path, depth, loop, n_descendants`` for each non-null item of edges (one parent per item).
 
     A null parent states a root; a parent that is no item is a root above its children, without a row of its own.
@@ -107,18 +202,11 @@ def full_hierarchy(edges: DataFrame, item: str = "item", parent: str = "parent",
     n_descendants -1. n_descendants: items, itself excluded, whose path holds the item. An empty table gives no rows.
     """
     nodes = pick(edges, node=item, up=parent).where(F.col("node").isNotNull())
-    nodes = cut(nodes.select("node", "up", F.array("node").alias("frag")))
-    solved = cut(_solve(nodes, nodes.count(), 0, one_task))
-    fine = solved.where(~F.col("loop"))
-    below = (
-        fine.select(F.explode(F.slice("path", F.lit(1), F.size("path") - 1)).alias("node"))
-        .groupBy("node").agg(F.count(F.lit(1)).alias("n"))
-    )
-    out = solved.join(below, "node", "left")
+    nodes = cut(nodes.select("node", "up", F.array("node").alias("frag"), F.lit(1).cast("bigint").alias("weight")))
     minus = F.lit(-1)
-    return out.select(
+    return _solve(nodes, nodes.count(), 0, one_task, per_task).select(
         F.col("node").alias("item"), "path", F.when(F.col("loop"), minus).otherwise(F.size("path") - 1).alias("depth"), "loop",
-        F.when(F.col("loop"), minus).otherwise(F.coalesce("n", F.lit(0))).cast("bigint").alias("n_descendants"),
+        F.when(F.col("loop"), minus).otherwise(F.col("total") - 1).cast("bigint").alias("n_descendants"),
     )
 
 

@@ -90,7 +90,7 @@ def queries() -> dict[str, str]:
         "pattern_counts_by_length": f"SELECT len(string_split(pattern, ' '))::INT AS length, count(*) AS n_patterns FROM ({mine(w)}) GROUP BY 1",
         "pattern_text": f"SELECT pattern || chr(9) || frequency AS line FROM ({mine(w)})",
         "sequences_loaded": P3_VALID_SEQUENCES, "hierarchy_loaded": P3_VALID_HIERARCHY,
-        "p3_found": P3, "p3_recovered": P3_RECOVERED, "p6_found": P6, "p7_found": P7,
+        "p3_found": P3, "p3_recovered": P3_RECOVERED, "p6_found": P6, "p6_contracted": P6, "p7_found": P7,
     }
     return out
 

@@ -158,6 +158,7 @@ def queries() -> dict[str, Query]:
         "hierarchy_loaded": lambda spark, d: records.valid_hierarchy(records.parse_lines(table(spark, d, "raw_hierarchy"), records.HIERARCHY)),
         "p3_found": _p3, "p3_recovered": _recovered,
         "p6_found": lambda spark, d: as_text(full_hierarchy(holding_rows(table(spark, d, "hierarchy")))),
+        "p6_contracted": lambda spark, d: as_text(full_hierarchy(holding_rows(table(spark, d, "hierarchy")), one_task=50, per_task=300)),
         "p7_found": lambda spark, d: key_figures(table(spark, d, "sequence_items"), table(spark, d, "hierarchy")),
     }
     return out

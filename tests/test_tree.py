@@ -33,7 +33,7 @@ def run(spark, up, **how):
 def test_random_graphs(spark, seed, limit):
     rnd = random.Random(seed)
     up = {f"n{i}": None if rnd.random() < 0.05 else f"n{rnd.randrange(130)}" if rnd.random() < 0.15 else f"n{max(0, i - rnd.randint(1, 9))}" for i in range(100)}
-    assert run(spark, up, one_task=limit) == brute(up)
+    assert run(spark, up, one_task=limit, per_task=30) == brute(up)
 
 
 def test_long_chain_and_global_loop(spark):
@@ -43,7 +43,7 @@ def test_long_chain_and_global_loop(spark):
 
 def test_hot_parent(spark):
     up = {f"x{i}": "hot" for i in range(80)} | {f"y{i}": f"x{i}" for i in range(40)} | {"hot": "top", "top": None}
-    assert run(spark, up, one_task=20) == brute(up)
+    assert run(spark, up, one_task=20, per_task=40) == brute(up)
 
 
 def test_edges(spark):
