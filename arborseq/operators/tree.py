@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from arborseq.common import cut, maybe_broadcast, pick, width
 
 #: Nodes of a forest that one task solves.
-ONE_TASK = 2_000
+ONE_TASK = 5_000
 #: Nodes that a partition of a round should hold.
 PER_TASK = 50_000
 #: A parent with more children than this share of a partition keeps its place alone: its children stay at their own.
@@ -57,8 +57,11 @@ class _Forest:
         self.top, self.steps = top, steps
         self.loop = self.parent[top] >= 0
         frag = t.column("frag").combine_chunks()
-        self.size = np.diff(np.asarray(frag.offsets)).astype(np.int64) if n else np.zeros(0, np.int64)
-        self.start, self.names = np.cumsum(self.size) - self.size, frag.flatten()
+        if frag.null_count:  # a null one is the node alone; so are all of the first round, and none later
+            self.size, self.names = np.ones(n, np.int64), t.column("node").combine_chunks()
+        else:
+            self.size, self.names = np.diff(np.asarray(frag.offsets)).astype(np.int64) if n else np.zeros(0, np.int64), frag.flatten()
+        self.start = np.cumsum(self.size) - self.size
 
     def summed(self, own: np.ndarray) -> np.ndarray:
         """Of each node the sum of these numbers over itself and the nodes below it."""
@@ -108,7 +111,7 @@ class _Forest:
 
 
 def _fragments(batches):
-    """Each row with its chain's exit, the names from below the exit down to it (chain), and what hangs at the exit by its chain's top."""
+    """Each row with its chain's exit, the names from below the exit down to it (chain; null: its frag), and what hangs at the exit by its chain's top."""
     batches = [b for b in batches if b.num_rows]
     if not batches:
         return
@@ -119,9 +122,11 @@ def _fragments(batches):
     is_top = (f.parent < 0) & ~f.loop
     for rows in f.batches(none, none):
         own = t.take(pa.array(rows))
+        chains = f.paths(none, none, f.names, rows)
+        chains = pa.ListArray.from_arrays(chains.offsets, chains.values, mask=pa.array((f.steps[rows] == 0) | f.loop[rows]))
         yield pa.RecordBatch.from_arrays([
             *(own.column(c).combine_chunks() for c in ("place", "node", "up", "frag", "weight")),
-            pa.array([None if f.loop[i] else f.up[f.top[i]] for i in rows], pa.string()), f.paths(none, none, f.names, rows),
+            pa.array([None if f.loop[i] else f.up[f.top[i]] for i in rows], pa.string()), chains,
             pa.array(f.loop[rows]), pa.array(np.where(is_top[rows], total[rows], 0)),
         ], ["place", "node", "up", "frag", "weight", "exit", "chain", "loop", "hangs"])
 
@@ -167,23 +172,26 @@ def _kinds(rows: DataFrame, kind: int, loop=None) -> DataFrame:
 
 
 def _solve(rows: DataFrame, n: int, round_no: int, one_task: int, per_task: int) -> DataFrame:
-    """``node, path, loop, total`` of rows ``node, up, frag, weight`` (frag: the names below up, down to the node); path is empty on a loop.
+    """``node, path, loop, total`` of rows ``node, up, frag, weight`` (frag: the names below up, down to the node; null: the node alone); path is empty on a loop.
 
     total: the weights of the node and of all below it.
     """
     if n <= one_task:
         return _kinds(rows.withColumn("place", F.lit(0)), 0).coalesce(1).mapInArrow(_expanded, _SOLVED)
-    parts = max(width(rows.sparkSession), -(-n // per_task))
-    hot = cut(rows.groupBy(F.col("up").alias("h_up")).count().where((F.col("count") > per_task // HOT_SHARE) & F.col("h_up").isNotNull()).select("h_up"))
+    # a small forest on few partitions: more links meet
+    parts = max(2, min(width(rows.sparkSession), -(-n // one_task)), -(-n // per_task))
     drawn = lambda c: F.xxhash64(F.lit(round_no), c)
-    placed = rows.join(maybe_broadcast(hot), F.col("up") == F.col("h_up"), "left")
-    at_parent = F.col("up").isNotNull() & F.col("h_up").isNull() & (drawn("up") < drawn("node"))
-    placed = placed.select(F.pmod(F.when(at_parent, drawn("up")).otherwise(drawn("node")), F.lit(parts)).cast("int").alias("place"), "node", "up", "frag", "weight")
+    at_parent = F.col("up").isNotNull() & (drawn("up") < drawn("node"))
+    if n > (most := per_task // HOT_SHARE):
+        hot = cut(rows.where(F.col("up").isNotNull()).groupBy(F.col("up").alias("h_up")).count().where(F.col("count") > most).select("h_up"))
+        rows = rows.join(maybe_broadcast(hot), F.col("up") == F.col("h_up"), "left")
+        at_parent = at_parent & F.col("h_up").isNull()
+    placed = rows.select(F.pmod(F.when(at_parent, drawn("up")).otherwise(drawn("node")), F.lit(parts)).cast("int").alias("place"), "node", "up", "frag", "weight")
     frags = cut(placed.repartitionById(parts, F.col("place")).mapInArrow(_fragments, _FRAG))
-    exits = cut(frags.where(F.col("exit").isNotNull()).groupBy(F.col("exit").alias("node")).agg(F.sum("hangs").alias("hangs")))
+    exits = frags.where(F.col("exit").isNotNull()).groupBy(F.col("exit").alias("node")).agg(F.sum("hangs").alias("hangs"))
     up = F.when(F.col("loop"), F.col("node")).otherwise(F.col("exit"))  # a node that leads into a loop stays one
-    smaller = frags.select("place", "node", up.alias("up"), F.col("chain").alias("frag")).join(maybe_broadcast(exits), "node")
-    smaller = cut(smaller.select("place", "node", "up", F.when(F.size("frag") > 0, F.col("frag")).otherwise(F.array("node")).alias("frag"), F.col("hangs").alias("weight")))
+    own = frags.select("place", "node", up.alias("up"), F.coalesce("chain", "frag").alias("frag"))
+    smaller = cut(own.join(exits, "node").select("place", "node", "up", F.coalesce("frag", F.array("node")).alias("frag"), F.col("hangs").alias("weight")))
     above = cut(_solve(smaller.drop("place"), smaller.count(), round_no + 1, one_task, per_task))
     below = smaller.select("place", "node").join(above.select("node", F.col("total").alias("weight")), "node")
     none = F.array().cast("array<string>")
@@ -202,7 +210,7 @@ def full_hierarchy(edges: DataFrame, item: str = "item", parent: str = "parent",
     n_descendants -1. n_descendants: items, itself excluded, whose path holds the item. An empty table gives no rows.
     """
     nodes = pick(edges, node=item, up=parent).where(F.col("node").isNotNull())
-    nodes = cut(nodes.select("node", "up", F.array("node").alias("frag"), F.lit(1).cast("bigint").alias("weight")))
+    nodes = cut(nodes.select("node", "up", F.lit(None).cast("array<string>").alias("frag"), F.lit(1).cast("bigint").alias("weight")))
     minus = F.lit(-1)
     return _solve(nodes, nodes.count(), 0, one_task, per_task).select(
         F.col("node").alias("item"), "path", F.when(F.col("loop"), minus).otherwise(F.size("path") - 1).alias("depth"), "loop",
