@@ -27,23 +27,25 @@ def beyond_first_word(events: DataFrame) -> bool:
     return events.where(F.col("pos").isNull() | (F.col("pos") < 0) | (F.col("pos") > 63)).limit(1).count() > 0
 
 
-def record_totals(words: DataFrame, keys: list[str], far: bool) -> DataFrame:
-    """``*keys, n_rows, n_records`` of rows ``*keys, seq_id, word, bits``: positions, and distinct non-null records, of each key.
+def record_parts(words: DataFrame, keys: list[str], far: bool) -> DataFrame:
+    """``*keys, n_rows, n_records`` parts of rows ``*keys, seq_id, word, bits``; summed up: positions, and distinct non-null records, of each key.
 
-    Counts are added up by hash before the shuffle on the key. The first word of a record adds 1 record; if there are further
-    words (far), those pairs (key, record) that have only such words are made distinct and counted beside.
+    The first word of a record adds 1 record; if there are further words (far), those pairs (key, record) that have only such words are
+    made distinct and counted beside.
     """
     here = (F.col("word") == 0) & F.col("seq_id").isNotNull()
     words = cut(words) if far else words
-    totals = words.groupBy(*keys).agg(
-        F.sum(F.bit_count("bits")).cast("bigint").alias("n_rows"), F.sum(here.cast("bigint")).alias("n_records")
-    )
+    parts = words.select(*keys, F.bit_count("bits").cast("bigint").alias("n_rows"), here.cast("bigint").alias("n_records"))
     if not far:
-        return totals
-    later = words.where((F.col("word") != 0) & F.col("seq_id").isNotNull()).select(*keys, "seq_id").distinct()
-    long = maybe_broadcast(later.select("seq_id").distinct())
-    first = words.where(here).select(*keys, "seq_id").join(long, "seq_id", "left_semi")
-    more = later.join(first, [*keys, "seq_id"], "left_anti").groupBy(*keys).agg(F.count(F.lit(1)).alias("n_more"))
-    return totals.join(more, keys, "left").select(
-        *keys, "n_rows", (F.col("n_records") + F.coalesce("n_more", F.lit(0))).alias("n_records")
-    )
+        return parts
+    later = cut(words.where((F.col("word") != 0) & F.col("seq_id").isNotNull()).select(*keys, "seq_id").distinct())
+    long = cut(later.select("seq_id").distinct())
+    first = words.where(here).select(*keys, "seq_id").join(maybe_broadcast(long), "seq_id", "left_semi")
+    more = later.join(first, [*keys, "seq_id"], "left_anti")
+    none, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    return parts.unionByName(more.select(*keys, none.alias("n_rows"), one.alias("n_records")))
+
+
+def record_totals(words: DataFrame, keys: list[str], far: bool) -> DataFrame:
+    """``*keys, n_rows, n_records``: the sums of record_parts, added up by hash before the shuffle on the key."""
+    return record_parts(words, keys, far).groupBy(*keys).agg(F.sum("n_rows").alias("n_rows"), F.sum("n_records").alias("n_records"))

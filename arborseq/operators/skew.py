@@ -1,10 +1,10 @@
 """Per-key figures of event logs in which few keys hold most rows, by multi-level aggregation of chunks.
 
-Nothing here gathers a key in one task. Rows and records are counted from packed positions, which combine before
-each shuffle. The longest wait needs a key's events in time order: the rows are range-partitioned by (key, ts), which
-splits a hot key over as many tasks as its rows need; each task folds its sorted Arrow batches (the chunks)
-into one state (first, last, longest gap) per key; only the states at the edges of partitions, two per task at
-most, can belong to a key that goes on elsewhere, and these are merged in rounds of ``FAN_IN`` neighbours.
+Nothing here gathers a key in one task. The longest wait needs a key's events in time order: the rows are range-partitioned by (key,
+ts), which splits a hot key over as many tasks as its rows need, and each task folds its sorted Arrow batches (the
+chunks) into one state (first, last, longest gap) per key. Rows and records are counted from packed positions, which fold repeated
+deliveries before they are shuffled, into one state (rows, records) per key and task. The states go up a tree: in each
+round those of ``FAN_IN`` neighbouring tasks are merged, so no task gets more than that many of a key.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arborseq.common import cut, maybe_broadcast, pick, width
-from arborseq.operators.events import beyond_first_word, packed, record_totals
+from arborseq.operators.events import beyond_first_word, packed, record_parts
 from arborseq.operators.tree import holding_rows
 
 FAN_IN = 16
@@ -80,10 +80,16 @@ def _states(batches):
         yield out(held[0], held[1], [held[2]], [held[3]], [held[4]], [True])
 
 
+_KEYS = ["is_parent", "key_value"]
+
+
 def longest_waits(rows: DataFrame, parts: int | None = None) -> DataFrame:
-    """``is_parent, key_value, gap``: microseconds of the longest time between neighbouring rows of a key; rows ``is_parent, key_value, ts``."""
+    """``is_parent, key_value, gap``: microseconds of the longest time between neighbouring rows of a key; rows ``is_parent, key_value, ts``.
+
+    Only the states at the edges of partitions, two per task at most, can belong to a key that goes on elsewhere.
+    """
     parts = parts or width(rows.sparkSession)
-    keys = ["is_parent", "key_value"]
+    keys = _KEYS
     ordered = rows.repartitionByRange(parts, *keys, "ts").sortWithinPartitions(*keys, "ts")
     states = cut(ordered.mapInArrow(_states, _STATE))  # read twice, and a state per key only
     tree = states.where("edge")
@@ -103,21 +109,39 @@ def longest_waits(rows: DataFrame, parts: int | None = None) -> DataFrame:
     return states.where(~F.col("edge")).select(*keys, "gap").unionByName(tree.select(*keys, "gap"))
 
 
+def up_the_tree(states: DataFrame, parts: int) -> DataFrame:
+    """``is_parent, key_value, n_rows, n_records, gap`` of states ``is_parent, key_value, part, n_rows, n_records, gap`` (part: below parts, whose state it is).
+
+    In each round the states of FAN_IN neighbouring parts are merged, by hash, those of a task before they are shuffled.
+    """
+    while True:
+        states = states.groupBy(*_KEYS, F.expr(f"part div {FAN_IN}").cast("int").alias("part")).agg(
+            F.sum("n_rows").alias("n_rows"), F.sum("n_records").alias("n_records"), F.max("gap").alias("gap")
+        )
+        parts = -(-parts // FAN_IN)
+        if parts <= 1:
+            return states.drop("part")
+
+
 def key_figures(events: DataFrame, hierarchy: DataFrame, parts: int | None = None) -> DataFrame:
     """``field, key_value, n_rows, n_seqs, max_wait_s`` of each item of the events and of each direct parent of those items.
 
     n_rows: events (see events.py), n_seqs: distinct non-null seq_id, max_wait_s: longest time between neighbouring
     events of the key in ts order, whole seconds rounded down; 0 for fewer than two times (events without ts count
     for n_rows and n_seqs only). Null items and items without a parent give no parent row. Ties in ts are waits of 0; rows delivered
-    again change nothing. Empty tables give no rows; further columns are ignored.
+    again change nothing. Empty tables give no rows; further columns are ignored. parts: tasks in time order, the session's shuffle width by default.
     """
     ev = pick(events, seq_id="seq_id", pos="pos", item="item", ts="ts").where(F.col("item").isNotNull())
-    parents = maybe_broadcast(holding_rows(hierarchy).where(F.col("parent").isNotNull()))
+    parts = parts or width(ev.sparkSession)
+    parents = maybe_broadcast(cut(holding_rows(hierarchy).where(F.col("parent").isNotNull())))
     far = beyond_first_word(ev)
     words = packed(ev, "item")
     by_parent = words.join(parents, "item").groupBy("seq_id", "parent", "word").agg(F.bit_or("bits").alias("bits"))
-    items = record_totals(words, ["item"], far).select(F.lit(False).alias("is_parent"), F.col("item").alias("key_value"), "n_rows", "n_records")
-    tops = record_totals(by_parent, ["parent"], far).select(F.lit(True), "parent", "n_rows", "n_records")
+    items = record_parts(words, ["item"], far).select(F.lit(False).alias("is_parent"), F.col("item").alias("key_value"), "n_rows", "n_records")
+    tops = record_parts(by_parent, ["parent"], far).select(F.lit(True), "parent", "n_rows", "n_records")
+    # the task of a count only spreads a key's states
+    task = F.pmod(F.spark_partition_id(), F.lit(parts)).alias("part")
+    counts = items.select("*", task).unionByName(tops.toDF(*items.columns).select("*", task))
     timed = ev.where(F.col("ts").isNotNull()).select("item", "ts").join(parents, "item", "left")
     both = F.array(
         F.struct(F.lit(False).alias("is_parent"), F.col("item").alias("key_value")),
@@ -125,7 +149,11 @@ def key_figures(events: DataFrame, hierarchy: DataFrame, parts: int | None = Non
     )
     keyed = timed.select(F.explode(F.when(F.col("parent").isNull(), F.slice(both, 1, 1)).otherwise(both)).alias("k"), "ts")
     waits = longest_waits(keyed.select("k.is_parent", "k.key_value", "ts"), parts)
-    return items.union(tops).join(waits, ["is_parent", "key_value"], "left").select(
+    zero = F.lit(0).cast("bigint")
+    states = counts.withColumn("gap", F.lit(None).cast("bigint")).unionByName(
+        waits.select(*_KEYS, zero.alias("n_rows"), zero.alias("n_records"), F.lit(0).alias("part"), "gap")
+    )
+    return up_the_tree(states, parts).select(
         F.when(F.col("is_parent"), F.lit("parent")).otherwise(F.lit("item")).alias("field"), "key_value", "n_rows",
         F.col("n_records").alias("n_seqs"), F.coalesce(F.expr("gap div 1000000"), F.lit(0)).alias("max_wait_s"),
     )

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from arborseq.operators.events import beyond_first_word, packed, record_totals
-from arborseq.operators.skew import key_figures, longest_waits
+from arborseq.operators.skew import key_figures, longest_waits, up_the_tree
 
 T0 = datetime(2024, 1, 1)
 SCHEMA = "seq_id long, pos int, item string, ts timestamp_ntz"
@@ -55,6 +55,15 @@ def test_key_over_many_partitions(spark):
     assert [r.gap for r in longest_waits(df, 300).collect()] == [(999**2 - 998**2) * 1000]
 
 
+def test_states_go_up_the_tree(spark):
+    states = spark.range(5000).select(
+        F.lit(False).alias("is_parent"), F.lit("k").alias("key_value"), (F.col("id") % 300).cast("int").alias("part"),
+        F.lit(2).cast("bigint").alias("n_rows"), F.col("id").alias("n_records"), F.when(F.col("id") == 7, 9).cast("bigint").alias("gap"),
+    )
+    for parts in (300, 10_000):
+        assert [tuple(r) for r in up_the_tree(states, parts).collect()] == [(False, "k", 10_000, 4999 * 2500, 9)]
+
+
 def test_records_beyond_first_word(spark):
     rows = [(1, 5, "a"), (1, 70, "a"), (1, 700, "a"), (2, 70, "a"), (2, 71, "b"), (3, 1, "b"), (None, 1, "b"), (3, -4, "b")]
     df = spark.createDataFrame(rows, "seq_id long, pos int, item string")
