@@ -35,12 +35,16 @@ def line_terms(
 ) -> DataFrame:
     """The same of the non-null terms of numbered lines: n_rows: distinct non-null lines with the term, n_records: distinct non-null records among them.
 
-    N of the marks: distinct non-null records of all lines. Spark makes (term, line) and (term, record) distinct by hash before it
-    counts per term.
+    N of the marks: distinct non-null records of all lines. Lines are counted at the least of their records, so the counts per
+    (record, term) add up to distinct lines; they are combined by hash before the shuffle.
     """
     rows = pick(lines, term=term, record=record, line=line)
     n = rows.where(F.col("record").isNotNull()).select("record").distinct().count()
-    totals = rows.where(F.col("term").isNotNull()).groupBy("term").agg(
-        F.count_distinct("line").alias("n_rows"), F.count_distinct("record").alias("n_records")
-    )
+    rows = rows.where(F.col("term").isNotNull())
+    lines_at = rows.where(F.col("line").isNotNull()).groupBy("term", "line").agg(F.min("record").alias("record"))
+    per_record = (
+        lines_at.select("term", "record", F.lit(1).alias("n")).unionByName(rows.select("term", "record", F.lit(0).alias("n")))
+        .groupBy("term", "record").agg(F.sum("n").alias("n"))
+    )
+    totals = per_record.groupBy("term").agg(F.sum("n").alias("n_rows"), F.count("record").alias("n_records"))
     return totals.select("term", "n_rows", "n_records", mark(F.col("n_records"), n, common_per, rare_below).alias("mark"))

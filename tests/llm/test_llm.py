@@ -102,6 +102,10 @@ def test_terms(spark):
     assert {tuple(r) for r in terms.event_terms(df, common_per=1, rare_below=1).collect()} == {("a", 4, 3, "ok"), ("b", 2, 1, "ok")}
     lines = spark.createDataFrame([("x", "p", 1), ("x", "p", 1), ("x", "p", 2), (None, "p", 3), ("y", None, 4), ("z", "q", 5)], "item string, parent string, line_no long")
     assert {tuple(r) for r in terms.line_terms(lines, common_per=3, rare_below=2).collect()} == {("p", 3, 1, "common"), ("q", 1, 1, "common")}
+    rnd = random.Random(7)
+    rows = [(rnd.choice(["x", "y", "z", None]), rnd.choice(["p", "q", None]), rnd.choice([None, *range(9)])) for _ in range(60)]
+    got = {(r.term, r.n_rows, r.n_records) for r in terms.line_terms(spark.createDataFrame(rows, "item string, parent string, line_no long").repartition(3)).collect()}
+    assert got == {(t, len({n for _, p, n in rows if p == t} - {None}), len({i for i, p, _ in rows if p == t} - {None})) for t in ("p", "q")}
     assert terms.event_terms(df.limit(0)).count() == 0 and terms.line_terms(lines.limit(0)).count() == 0
 
 
