@@ -5,13 +5,43 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from contextlib import contextmanager
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows and bytes up to which a side may be broadcast; beyond either it is joined by shuffle.
-BROADCAST_ROWS = 2_000_000
-BROADCAST_BYTES = 48 << 20
+
+@dataclass
+class Limits:
+    """Sizes up to which a table goes to the driver or to each worker. Beyond them the same is computed by joins."""
+
+    #: rows and bytes of a lookup or of a broadcast side
+    rows: int = 2_000_000
+    size: int = 48 << 20
+    #: rows of a hierarchy that the driver climbs itself
+    hierarchy: int = 100_000
+    #: frequent patterns of one level
+    patterns: int = 1_000_000
+    #: rewritten sequences of a pivot that one task mines
+    group: int = 200_000
+
+
+LIMITS = Limits()
+
+
+@contextmanager
+def limits(**values: int):
+    """Other limits for the plans that are made meanwhile."""
+    before = {k: getattr(LIMITS, k) for k in values}
+    for k, v in values.items():
+        setattr(LIMITS, k, v)
+    try:
+        yield LIMITS
+    finally:
+        for k, v in before.items():
+            setattr(LIMITS, k, v)
+
 
 
 def pick(df: DataFrame, **columns: str) -> DataFrame:
@@ -65,32 +95,52 @@ def _remove_written() -> None:
             return
 
 
+def own_path(spark: SparkSession) -> str:
+    """A path in the shared folder that is removed at the end of the driver's process."""
+    if not _written:
+        atexit.register(_remove_written)
+    path = f"{shared_dir(spark)}/arborseq-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows of df, written once to the shared folder as a table and read from there.
 
     It cuts the lineage, survives lost executors, and is computed once for all readers.
     """
     spark = df.sparkSession
-    if not _written:
-        atexit.register(_remove_written)
-    path = f"{shared_dir(spark)}/arborseq-{uuid.uuid4().hex}"
-    _written.append((spark, path))
+    path = own_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
-    """Whether df has at most that many rows and bytes (strings by length, other values as 8 bytes)."""
-    width = sum(
-        (F.coalesce(F.octet_length(F.col(c)), F.lit(0)) if t == "string" else F.lit(8)) for c, t in df.dtypes
-    )
-    n, b = df.limit(rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(width + F.lit(16)), F.lit(0))).first()
-    return n <= rows and b <= size
+def _bytes(name: str, kind: str):
+    c = F.col(name)
+    if kind in ("string", "binary"):
+        n = F.octet_length(c)
+    elif kind == "array<string>":
+        n = F.aggregate(c, F.lit(0), lambda a, x: a + F.coalesce(F.octet_length(x), F.lit(0)) + 4)
+    elif kind.startswith("array<array<"):
+        n = F.size(F.flatten(c)) * 8 + F.size(c) * 8
+    elif kind.startswith("array<"):
+        n = F.size(c) * 8
+    else:
+        n = F.lit(8)
+    return F.coalesce(n, F.lit(0)).cast("bigint")
+
+
+def is_small(df: DataFrame, rows: int | None = None) -> bool:
+    """Whether df has at most that many rows (LIMITS.rows) and LIMITS.size bytes. df is computed for it up to that size: give it a table that is cheap to read again."""
+    rows = LIMITS.rows if rows is None else min(rows, LIMITS.rows)
+    width = sum((_bytes(c, t) for c, t in df.dtypes), F.lit(16).cast("bigint"))
+    n, b = df.limit(rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+    return n <= rows and b <= LIMITS.size
 
 
-def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+def maybe_broadcast(df: DataFrame) -> DataFrame:
     """df with a broadcast hint if it is small; else unhinted, so that AQE may split skewed join partitions."""
-    return F.broadcast(df) if is_small(df, rows, size) else df
+    return F.broadcast(df) if is_small(df) else df
 
 
 def width(spark: SparkSession) -> int:

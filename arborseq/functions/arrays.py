@@ -56,19 +56,3 @@ def split_gaps(ids: Column, gap: int) -> Column:
         return F.when(x < -gap, F.concat(acc, empty)).otherwise(F.concat(head, F.array(F.concat(last, _ints(x)))))
 
     return F.aggregate(ids, empty, step)
-
-
-def pivot_parts(ids: Column, pivot: Column, gap: int) -> Column:
-    """Of compressed ids the parts with the pivot and two items at least, joined by the run -(gap + 1)."""
-    parts = F.filter(split_gaps(ids, gap), lambda s: F.array_contains(s, pivot) & (F.size(F.filter(s, lambda x: x > 0)) >= 2))
-    return F.aggregate(
-        parts, _ints(), lambda acc, s: F.when(F.size(acc) == 0, s).otherwise(F.concat(acc, _ints(F.lit(-gap - 1)), s))
-    )
-
-
-def near_pivot(ids: Column, pivot: Column, reach: int) -> Column:
-    """The positions at most ``reach`` away from the first or last pivot; nothing farther can share a pattern with one."""
-    first = F.array_position(ids, pivot).cast("int")
-    last = (F.size(ids) - F.array_position(F.reverse(ids), pivot) + 1).cast("int")
-    lo = F.greatest(F.lit(1), first - reach)
-    return F.when(first == 0, _ints()).otherwise(F.slice(ids, lo, F.least(F.size(ids), last + reach) - lo + 1))

@@ -13,9 +13,6 @@ from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 from arborseq.common import cut, is_small, maybe_broadcast, pick
 from arborseq.functions.lookup import Lookup
 
-#: Rows of a table that goes to each worker as a lookup; a larger one is joined.
-LOOKUP = 2_000_000
-
 
 def weighted(sequences: DataFrame) -> DataFrame:
     """``seq, items, weight``: seq is a key of the row (ids may repeat, each row is a sequence); weight is 1 unless there is such a column."""
@@ -43,7 +40,7 @@ def flist(sequences: DataFrame, chain: DataFrame | None = None, here: pd.DataFra
     if chain is None:
         chain = rows.sparkSession.createDataFrame([], "item string, ancestor string")
     chain = chain.select("item", "ancestor")
-    if here is not None or is_small(chain, LOOKUP):
+    if here is not None or is_small(chain):
         sent = rows.sparkSession.sparkContext.broadcast(_closure_arrays(chain.toPandas() if here is None else here[["item", "ancestor"]]))
 
         def count(batches):
@@ -156,7 +153,7 @@ def encode_rows(sequences: DataFrame, ids: DataFrame) -> DataFrame:
 
 def _encode(rows: DataFrame, ids: DataFrame, here: pd.DataFrame | None = None) -> DataFrame:
     ids = ids.select("item", "tid")
-    if here is not None or is_small(ids, LOOKUP):
+    if here is not None or is_small(ids):
         got = ids.toPandas() if here is None else here
         sent = rows.sparkSession.sparkContext.broadcast((got["item"].tolist(), got["tid"].to_numpy(np.int32)))
 
@@ -176,7 +173,7 @@ def _encode(rows: DataFrame, ids: DataFrame, here: pd.DataFrame | None = None) -
 
 def decode(patterns: DataFrame, ids: DataFrame, column: str = "pattern_ids", here: pd.DataFrame | None = None) -> DataFrame:
     """The rows with ``pattern``, the items of the ids in ``column``. here: the rows of ids, if the driver has them."""
-    if here is not None or is_small(ids.select("tid", "item"), LOOKUP):
+    if here is not None or is_small(ids.select("tid", "item")):
         got = ids.select("tid", "item").toPandas() if here is None else here
         names = np.full(int(got["tid"].max() if len(got) else 0) + 1, None, object)
         names[got["tid"].to_numpy(np.int64)] = got["item"]

@@ -13,10 +13,35 @@ import pyarrow as pa
 STEP = 2_000_000
 
 
+def positions(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, ids by position) of lists with runs of n blanks as -n; blanks are 0."""
+    runs, at = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.asarray(lists.offsets).astype(np.int64)
+    many = np.where(runs < 0, -runs, 1)
+    return np.append(0, np.cumsum(many))[at - at[0]], np.repeat(np.where(runs < 0, 0, runs), many)
+
+
+def own_tables(ids: np.ndarray, chains: pa.ListArray, *more: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(ids by number, numbers for ids, chain_at, chain): numbers from 1 in the order of the ids, for those that come with their chains only; ids under 1 stay."""
+    flat = chains.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    names = np.unique(np.concatenate([[0], ids[ids > 0], flat, more])).astype(np.int64)
+    size = np.diff(np.asarray(chains.offsets)).astype(np.int64)
+    number = np.where(ids > 0, np.searchsorted(names, ids), ids)
+    first = np.unique(number, return_index=True)
+    starts = np.cumsum(size) - size
+    many = np.zeros(len(names) + 1, np.int64)
+    own, at = first[0][first[0] > 0], first[1][first[0] > 0]
+    many[own] = size[at]
+    take = np.repeat(starts[at], size[at]) + np.arange(size[at].sum()) - np.repeat(np.cumsum(size[at]) - size[at], size[at])
+    return names, number, np.append(0, np.cumsum(many)), np.searchsorted(names, flat[take])
+
+
 class Entries:
-    """codes: ids by position, 0 for blanks; at: offsets of the rows. chain_at, chain: the ids that each id stands for (itself, its ancestors)."""
+    """codes: ids by position, 0 for blanks; at: offsets of the rows. chain_at, chain: the ids that each id stands for (itself, its ancestors).
 
-    def __init__(self, at: np.ndarray, codes: np.ndarray, chain_at: np.ndarray, chain: np.ndarray, gap: int):
+    owner: a pivot of each row, whose lesser ids and own count only.
+    """
+
+    def __init__(self, at: np.ndarray, codes: np.ndarray, chain_at: np.ndarray, chain: np.ndarray, gap: int, owner: np.ndarray | None = None):
         n = len(at) - 1
         self.gap = gap
         size = np.diff(at)
@@ -27,6 +52,9 @@ class Entries:
         self.row, self.pos = np.repeat(row, many), np.repeat(pos, many)
         self.id = chain[np.repeat(chain_at[codes], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
         self.key = self.row * self.wide + self.pos
+        self.owner = owner
+        if owner is not None:
+            self.only(self.id <= owner[self.row])
 
     def only(self, keep: np.ndarray) -> None:
         self.row, self.pos, self.id, self.key = self.row[keep], self.pos[keep], self.id[keep], self.key[keep]
@@ -50,11 +78,28 @@ class Entries:
             s = e
 
 
-def rewrite(at: np.ndarray, codes: np.ndarray, weight: np.ndarray, chain_at: np.ndarray, chain: np.ndarray, gap: int, reach: int):
+def _reached(pair: np.ndarray, pos: np.ndarray, start: np.ndarray, gap: int, hops: int) -> np.ndarray:
+    """Of entries sorted by (pair, pos) those that are reached from a start in so many hops of gap + 1 positions at most, to the right or to the left."""
+    key = pair * (int(pos.max(initial=0)) + gap + 2) + pos
+    far = np.iinfo(np.int64).min // 2
+
+    def rightwards(key: np.ndarray, reached: np.ndarray) -> np.ndarray:
+        for _ in range(hops):
+            last = np.maximum.accumulate(np.where(reached, key, far))  # the nearest reached entry up to each
+            more = reached | (key - np.append(far, last[:-1]) <= gap + 1)
+            if (more == reached).all():
+                break
+            reached = more
+        return reached
+
+    return rightwards(key, start) | rightwards(-key[::-1], start[::-1])[::-1]
+
+
+def rewrite(at: np.ndarray, codes: np.ndarray, weight: np.ndarray, chain_at: np.ndarray, chain: np.ndarray, gap: int, longest: int):
     """(pivots, offsets, ids, weights): each row as each of its frequent ids, the pivot, needs it.
 
-    Every position has the first id of its chain that is at most the pivot, else a blank. Positions farther than ``reach`` from
-    the first or last pivot are dropped; parts between runs of more than ``gap`` blanks are kept if they hold the pivot and two ids at least,
+    Every position has the first id of its chain that is at most the pivot, else a blank. Ids that cannot be reached from a pivot
+    in under ``longest`` hops to one side, each over ``gap`` positions at most and onto an id, are blanks too; parts between runs of more than ``gap`` blanks are kept if they hold the pivot and two ids at least,
     and are joined by the run -(gap + 1); other runs of n blanks are -n.
     """
     size = np.diff(at)
@@ -77,10 +122,7 @@ def rewrite(at: np.ndarray, codes: np.ndarray, weight: np.ndarray, chain_at: np.
     live = now < end
     pair, pos, own, ids = pair[live], pos[live], own[live], chain[now[live]]
     is_pivot = ids == own
-    first, last = np.full(len(r), np.iinfo(np.int64).max), np.full(len(r), -1)
-    np.minimum.at(first, pair[is_pivot], pos[is_pivot])
-    np.maximum.at(last, pair[is_pivot], pos[is_pivot])
-    near = (pos >= first[pair] - reach) & (pos <= last[pair] + reach)
+    near = _reached(pair, pos, is_pivot, gap, longest - 1)
     pair, pos, ids, is_pivot = pair[near], pos[near], ids[near], is_pivot[near]
     if not len(pair):
         return np.zeros(0, np.int64), np.zeros(1, np.int64), ids, weight[:0]
@@ -121,7 +163,7 @@ def count_level(e: Entries, weight: np.ndarray, levels: list[np.ndarray], size:
     levels[k]: sorted codes of the frequent patterns of length k + 1. An embedding is a (row, prefix, end), each once.
     """
     row, pid, end = e.row, e.id, e.pos
-    ok, pid = place(pid, levels[0])
+    ok, pid = place(pid if e.owner is None else e.owner[row] * size + pid, levels[0])
     row, pid, end = row[ok], pid[ok], end[ok]
     for known in levels[1:]:
         keys = []
@@ -137,6 +179,13 @@ def count_level(e: Entries, weight: np.ndarray, levels: list[np.ndarray], size:
     return out, np.bincount(inv, weights=weight[r], minlength=len(out)).astype(np.int64)
 
 
+def count_owned(e: Entries, weight: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(owner * size + id, supports) of the ids in the rows of each owner."""
+    row, item = np.divmod(np.unique(e.row * size + e.id), size)
+    code, inv = np.unique(e.owner[row] * size + item, return_inverse=True)
+    return code, np.bincount(inv, weights=weight[row], minlength=len(code)).astype(np.int64)
+
+
 def mine_pivot(e: Entries, weight: np.ndarray, pivot: int, size: int, least: int, longest: int) -> list[tuple[list[int], int]]:
     """The frequent patterns whose greatest id is the pivot, from all rewritten sequences of the pivot.
 
@@ -151,13 +200,17 @@ def mine_pivot(e: Entries, weight: np.ndarray, pivot: int, size: int, least: int
     patterns: list[list[int]] = [[pivot]]
     wide = e.wide
 
-    def grow(state, patterns, left):
+    def grow(state, patterns, left, ref=None, index=None):
+        """The state one longer and its patterns' codes. index: left extensions that are frequent without the last item to the right, as ref * size + id."""
         row, pid, lo, hi = state
         keys = []
         for which, entry in e.near(row, lo if left else hi, left):
             if not left:
                 small = e.id[entry] < pivot
                 which, entry = which[small], entry[small]
+            elif index is not None:
+                known, _ = place(ref[pid[which]] * size + e.id[entry], index)
+                which, entry = which[known], entry[known]
             code = pid[which] * size + e.id[entry]
             ends = (e.pos[entry] * wide + hi[which]) if left else (lo[which] * wide + e.pos[entry])
             keys.append(np.unique(np.stack([code, row[which], ends]), axis=1))
@@ -177,18 +230,25 @@ def mine_pivot(e: Entries, weight: np.ndarray, pivot: int, size: int, least: int
         ]
         found.extend(zip(nxt, support.tolist()))
         lo2, hi2 = np.divmod(ends[ok], wide)
-        return (r[ok], new[ok], lo2, hi2), nxt
+        return (r[ok], new[ok], lo2, hi2), nxt, own
 
+    ref, before = None, None  # of each pattern of this width to the right its number without the last item; left levels of that width
     for right in range(longest):
-        side, names = state, patterns
-        for _ in range(longest - 1 - right):
-            got = grow(side, names, True)
+        side, names, to, levels = state, patterns, ref, []
+        for left in range(longest - 1 - right):
+            index = None if before is None else before[left] if left < len(before) else np.zeros(0, np.int64)
+            got = grow(side, names, True, to, index)
             if got is None:
                 break
-            side, names = got
+            side, names, own = got
+            levels.append(own)
+            if index is not None:
+                to = place(to[own // size] * size + own % size, index)[1]
+        before = levels
         if right + 2 > longest or (got := grow(state, patterns, False)) is None:
             break
-        state, patterns = got
+        state, patterns, own = got
+        ref = own // size
     return found
 
 

@@ -6,14 +6,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborseq.common import cut, pick
+from arborseq.common import LIMITS, cut, is_small, pick
 from arborseq.operators.tree import full_hierarchy
 
 
-#: Rows of a hierarchy that the driver climbs itself.
-SMALL = 100_000
-
-
 class HierarchyError(ValueError):
     """The hierarchy is no forest: an item with several parents, or a loop."""
 
@@ -68,8 +64,8 @@ class Taxonomy:
         #: ``item, parent`` and ``item, ancestor, depth`` in the driver, if the hierarchy is small
         self.here: tuple[pd.DataFrame, pd.DataFrame] | None = None
         rows = pick(hierarchy, item="item", parent="parent").where("item is not null and parent is not null").distinct()
-        some = rows.limit(SMALL + 1).toPandas()
-        if len(some) <= SMALL:
+        if is_small(rows, LIMITS.hierarchy):
+            some = rows.toPandas()
             self.here = some, _closure_here(some)
             self.edges = spark.createDataFrame(some, "item string, parent string")
             self.closure = spark.createDataFrame(self.here[1], "item string, ancestor string, depth int")

@@ -13,23 +13,41 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from arborseq.common import cut, is_small, maybe_broadcast, width
+from arborseq.common import LIMITS, cut, is_small, maybe_broadcast, width
 from arborseq.functions import arrays as A
 from arborseq.operators import grow
-from arborseq.operators.dictionary import LOOKUP
 
-#: Frequent patterns of a level that the driver and the workers may hold; beyond, the levels are joined as tables.
-HELD = 4_000_000
-#: Rewritten sequences of a pivot that one task may mine; the patterns of a hotter pivot are counted level by level.
-GROUP_ROWS = 200_000
+
+@dataclass
+class Chains:
+    """``tid, chain``: for each id the frequent ids that it stands for, itself first, then its ancestors (descending ids); none if empty."""
+
+    table: DataFrame
+    #: its rows, if they are few enough for a lookup in each worker
+    here: pd.DataFrame | None = None
+
+    @staticmethod
+    def of(table: DataFrame) -> Chains:
+        return Chains(table, table.toPandas() if is_small(table) else None)
+
+    def arrays(self) -> tuple[np.ndarray, np.ndarray]:
+        """(offsets by id, ids) of the chains of the ids that sequences hold: those that are frequent themselves."""
+        got = self.here
+        own = np.array([c[0] == t for t, c in zip(got["tid"], got["chain"])], bool)
+        got = got[own].sort_values("tid")
+        size = np.zeros(int(got["tid"].max() if len(got) else 0) + 2, np.int64)
+        size[got["tid"].to_numpy(np.int64)] = [len(c) for c in got["chain"]]
+        flat = np.concatenate([*(np.asarray(c, np.int64) for c in got["chain"]), np.zeros(0, np.int64)])
+        return np.append(0, np.cumsum(size)), flat
 
 
 @dataclass
 class Prepared:
-    """What mining needs; as saved and loaded by sources/encoded.py.
+    """What mining needs; as saved and loaded by sources/store.py.
 
     sequences: ``tids, weight``, each id of the full dictionary (0: none). dictionary: see operators/dictionary.py.
     """
@@ -40,7 +58,7 @@ class Prepared:
 
     def local(self) -> pd.DataFrame | None:
         """The dictionary in the driver if it is small, by tid; read once."""
-        if self.held is None and is_small(self.dictionary, LOOKUP):
+        if self.held is None and is_small(self.dictionary):
             self.held = self.dictionary.toPandas()
         if self.held is not None and "sorted" not in self.held.attrs:
             self.held = self.held.sort_values("tid", ignore_index=True)
@@ -51,8 +69,7 @@ class Prepared:
         """``tid, item`` of the frequent items that are not redundant."""
         return self.dictionary.where((F.col("df") >= min_support) & ~F.col("redundant")).select("tid", "item")
 
-    def chains(self, min_support: int) -> DataFrame:
-        """``tid, chain``: for each id the frequent ids that it stands for, itself first, then its ancestors (descending ids); none if empty."""
+    def chains(self, min_support: int) -> Chains:
         if (d := self.local()) is not None:
             good = (~d["redundant"] & (d["df"] >= min_support)).to_numpy()
             lists: dict[int, list[int]] = {0: []}
@@ -60,9 +77,7 @@ class Prepared:
                 lists[tid] = [tid, *lists[up]] if fine else lists[up]
             rows = [(t, c) for t, c in lists.items() if c]
             got = pd.DataFrame({"tid": pd.Series([t for t, _ in rows], dtype="int32"), "chain": pd.Series([c for _, c in rows], dtype=object)})
-            out = self.dictionary.sparkSession.createDataFrame(rows, "tid int, chain array<int>")
-            _known[id(out)] = (out, got)
-            return out
+            return Chains(self.dictionary.sparkSession.createDataFrame(rows, "tid int, chain array<int>"), got)
         d = self.dictionary.select("tid", "parent_tid", (~F.col("redundant") & (F.col("df") >= min_support)).alias("good"))
         d = cut(d)
         up = cut(d.select("tid", F.col("tid").alias("at"), F.when(F.col("good"), F.array("tid")).otherwise(F.array().cast("array<int>")).alias("chain"), F.col("parent_tid").alias("next")))
@@ -72,13 +87,13 @@ class Prepared:
             ended = up.where("next = 0").select("tid", "chain")
             done = ended if done is None else done.unionByName(ended)
             if rest.limit(1).count() == 0:
-                return cut(done.where(F.size("chain") > 0))
+                return Chains.of(cut(done.where(F.size("chain") > 0)))
             step = d.select(F.col("tid").alias("at"), F.col("parent_tid").alias("then"), "good")
             rest = rest.select("tid", F.col("next").alias("at"), "chain").join(maybe_broadcast(step), "at")
             up = cut(rest.select("tid", "at", F.when(F.col("good"), F.concat("chain", F.array("at"))).otherwise(F.col("chain")).alias("chain"), F.col("then").alias("next")))
 
-    def reduced(self, min_support: int, trim: bool = True) -> tuple[DataFrame, DataFrame]:
-        """(``codes, weight``, ``tid, chain``): ids lifted to their nearest frequent ancestor or self, else 0; equal sequences added up.
+    def reduced(self, min_support: int, trim: bool = True) -> tuple[DataFrame, Chains]:
+        """(``codes, weight``, chains): ids lifted to their nearest frequent ancestor or self, else 0; equal sequences added up.
 
         trim: without blanks at the ends, and only sequences of two positions at least.
         """
@@ -92,20 +107,9 @@ class Prepared:
         return cut(rows.repartition(spread)), chains
 
 
-#: chains() of small dictionaries that the driver made itself: DataFrame id -> (DataFrame, its rows)
-_known: dict[int, tuple[DataFrame, pd.DataFrame]] = {}
-
-
-def _small_chains(chains: DataFrame) -> pd.DataFrame | None:
-    """The rows of ``tid, chain`` if they are few enough for a lookup in each worker."""
-    if id(chains) in _known:
-        return _known[id(chains)][1]
-    return chains.toPandas() if is_small(chains, LOOKUP) else None
-
-
-def _lift(sequences: DataFrame, chains: DataFrame) -> DataFrame:
+def _lift(sequences: DataFrame, chains: Chains) -> DataFrame:
     """``codes, weight``: each id as the first of its chain, else 0."""
-    if (got := _small_chains(chains)) is not None:
+    if (got := chains.here) is not None:
         table = np.zeros(int(got["tid"].max() if len(got) else 0) + 2, np.int32)
         table[got["tid"].to_numpy(np.int64)] = [c[0] for c in got["chain"]]
         sent = sequences.sparkSession.sparkContext.broadcast(table)
@@ -120,89 +124,131 @@ def _lift(sequences: DataFrame, chains: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(at - at[0]), pa.array(codes)), b.column(1)], ["codes", "weight"])
 
         return sequences.select("tids", "weight").mapInArrow(run, "codes array<int>, weight bigint")
-    lift = chains.select("tid", F.get("chain", F.lit(0)).alias("code"))
+    lift = chains.table.select("tid", F.get("chain", F.lit(0)).alias("code"))
     rows = sequences.select(F.monotonically_increasing_id().alias("seq"), "tids", "weight")
     one = rows.select("seq", "weight", F.posexplode("tids").alias("pos", "tid")).join(lift, "tid", "left")
     back = one.groupBy("seq", "weight").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("code", F.lit(0)).alias("code")))).alias("x"))
     return back.select(F.col("x.code").alias("codes"), "weight")
 
 
-def _chain_arrays(got: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(offsets by id, ids) of the chains of the ids that sequences hold: those that are frequent themselves."""
-    own = np.array([c[0] == t for t, c in zip(got["tid"], got["chain"])], bool)
-    got = got[own].sort_values("tid")
-    size = np.zeros(int(got["tid"].max() if len(got) else 0) + 2, np.int64)
-    size[got["tid"].to_numpy(np.int64)] = [len(c) for c in got["chain"]]
-    flat = np.concatenate([*(np.asarray(c, np.int64) for c in got["chain"]), np.zeros(0, np.int64)])
-    return np.append(0, np.cumsum(size)), flat
-
-
-def levelwise(prepared: Prepared, min_support: int, max_gap: int, max_length: int, held: int = HELD) -> DataFrame:
+def levelwise(prepared: Prepared, min_support: int, max_gap: int, max_length: int) -> DataFrame:
     """``pattern_ids, frequency``."""
     rows, chains = prepared.reduced(min_support)
-    return _levelwise(rows, chains, min_support, max_gap, max_length, held)
+    return _levelwise(rows, chains, min_support, max_gap, max_length)
 
 
-def _levelwise(rows: DataFrame, chains: DataFrame, min_support: int, max_gap: int, max_length: int, held: int = HELD) -> DataFrame:
-    spark = rows.sparkSession
-    schema = "pattern_ids array<int>, frequency bigint"
-    if (got := _small_chains(chains)) is None:
-        return _joined(rows, chains, min_support, max_gap, max_length)
-    chain_at, chain = _chain_arrays(got)
-    ids = np.flatnonzero(np.diff(chain_at)).astype(np.int64)
-    size = len(chain_at)
+def _summed(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    c, inv = np.unique(np.concatenate(codes), return_inverse=True)
+    return c, np.bincount(inv, weights=np.concatenate(counts), minlength=len(c)).astype(np.int64)
+
+
+def _counter(count):
+    """Partial counts ``code, n`` of a task; count: batch -> (codes, counts)."""
     arrow = pa.schema([("code", pa.int64()), ("n", pa.int64())])
-    sc = spark.sparkContext
+
+    def run(batches):
+        codes, counts, held = [], [], 0
+        for b in batches:
+            c, n = count(b)
+            codes.append(c)
+            counts.append(n)
+            held += len(c)
+            if held > grow.STEP:
+                c, n = _summed(codes, counts)
+                codes, counts, held = [c], [n], len(c)
+                if held > grow.STEP // 2:
+                    yield from grow.batches_of(c, n, arrow)
+                    codes, counts, held = [], [], 0
+        if codes:
+            yield from grow.batches_of(*_summed(codes, counts), arrow)
+
+    return run
+
+
+def _levels(rows: DataFrame, chains: Chains, min_support: int, max_gap: int, max_length: int, counters: list | None = None, pivots: bool = False):
+    """(patterns, supports) level by level, or None if a level has too many patterns for the workers.
+
+    pivots: rows are ``pivot, seq, weight``, rewritten for their pivots; patterns start with the pivot whose partition they are frequent in.
+    counters: gets (length, candidates, patterns) of each level.
+    """
+    sc = rows.sparkSession.sparkContext
+    chain_at, chain = chains.arrays()
+    size = len(chain_at)
     tables = sc.broadcast((chain_at, chain))
+    ids = np.flatnonzero(np.diff(chain_at)).astype(np.int64)
 
-    def counter(levels):
-        def run(batches):
-            chain_at, chain = tables.value
-            codes, counts = [], []
-            for b in batches:
-                lists = b.column(0)
-                at = np.asarray(lists.offsets).astype(np.int64)
-                e = grow.Entries(at - at[0], lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), chain_at, chain, max_gap)
-                c, n = grow.count_level(e, b.column(1).to_numpy(zero_copy_only=False), levels.value, size)
-                codes.append(c)
-                counts.append(n)
-                if sum(map(len, codes)) > grow.STEP:
-                    c, inv = np.unique(np.concatenate(codes), return_inverse=True)
-                    n = np.bincount(inv, weights=np.concatenate(counts), minlength=len(c)).astype(np.int64)
-                    codes, counts = [c], [n]
-                    if len(c) > grow.STEP // 2:
-                        yield from grow.batches_of(c, n, arrow)
-                        codes, counts = [], []
-            if codes:
-                c, inv = np.unique(np.concatenate(codes), return_inverse=True)
-                yield from grow.batches_of(c, np.bincount(inv, weights=np.concatenate(counts), minlength=len(c)).astype(np.int64), arrow)
-
-        return run
-
-    levels, found = [ids], []
-    lists: list[tuple[int, ...]] = [(i,) for i in ids.tolist()]
-    for _ in range(2, max_length + 1):
+    def entries(b):
+        if pivots:
+            at, codes = grow.positions(b.column("seq"))
+            owner = b.column("pivot").to_numpy(zero_copy_only=False).astype(np.int64)
+            return grow.Entries(at, codes, *tables.value, max_gap, owner)
+        lists = b.column("codes")
+        at = np.asarray(lists.offsets).astype(np.int64)
+        return grow.Entries(at - at[0], lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), *tables.value, max_gap)
+
+    def frequent(count):
+        counts = rows.mapInArrow(_counter(count), "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
+        if counters is not None:
+            counts = cut(counts)
+        good = counts.where(F.col("n") >= min_support).limit(LIMITS.patterns + 1).toPandas().sort_values("code")
+        return good["code"].to_numpy(np.int64), good["n"].to_numpy(np.int64), counts.count() if counters is not None else 0
+
+    if pivots:
+        levels = [frequent(lambda b: grow.count_owned(entries(b), b.column("weight").to_numpy(zero_copy_only=False), size))[0]]
+        names = np.stack([levels[0] // size, levels[0] % size], 1)
+    else:
+        levels, names = [ids], ids[:, None]
+    out = []
+    for length in range(2, max_length + 1):
         if not len(levels[-1]):
             break
         sent = sc.broadcast(levels)
-        counts = rows.mapInArrow(counter(sent), "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
-        good = counts.where(F.col("n") >= min_support).limit(held + 1).toPandas().sort_values("code")
+        code, n, candidates = frequent(lambda b, sent=sent: grow.count_level(entries(b), b.column("weight").to_numpy(zero_copy_only=False), sent.value, size))
         sent.unpersist()
-        if len(good) > held:
-            return _joined(rows, chains, min_support, max_gap, max_length)
-        code = good["code"].to_numpy(np.int64)
-        lists = [(*lists[c // size], int(c % size)) for c in code.tolist()]
-        found.append((lists, good["n"].tolist()))
+        if len(code) > LIMITS.patterns:
+            return None
+        names = np.column_stack([names[code // size], code % size])
+        out.append((names, n))
         levels.append(code)
-    rows_out = [(list(p), int(n)) for names, counts in found for p, n in zip(names, counts)]
-    return spark.createDataFrame(rows_out, schema)
+        if counters is not None:
+            counters.append((length, candidates, len(code)))
+    return out
+
+
+def _as_table(spark: SparkSession, levels: list[tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """``pattern_ids, frequency``."""
+    if not levels:
+        return spark.createDataFrame([], _FOUND)
+    size = np.concatenate([np.full(len(p), p.shape[1]) for p, _ in levels])
+    flat = np.concatenate([p.ravel() for p, _ in levels]).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), pa.array(flat))
+    return spark.createDataFrame(pa.table({"pattern_ids": lists, "frequency": pa.array(np.concatenate([n for _, n in levels]))}))
+
+
+_FOUND = "pattern_ids array<int>, frequency bigint"
+
+
+def _levelwise(rows: DataFrame, chains: Chains, min_support: int, max_gap: int, max_length: int) -> DataFrame:
+    found = None if chains.here is None else _levels(rows, chains, min_support, max_gap, max_length)
+    if found is None:
+        return _joined(rows, chains, min_support, max_gap, max_length)
+    return _as_table(rows.sparkSession, found)
+
+
+def level_counters(prepared: Prepared, min_support: int, max_gap: int, max_length: int) -> DataFrame:
+    """``length, n_candidates, n_patterns`` of each level: extensions of the frequent patterns one shorter that occur at all, and the frequent ones among them."""
+    rows, chains = prepared.reduced(min_support)
+    counters: list[tuple[int, int, int]] = []
+    if chains.here is None or _levels(rows, chains, min_support, max_gap, max_length, counters) is None:
+        raise ValueError("too many items or patterns to count candidates")
+    return rows.sparkSession.createDataFrame(counters, "length int, n_candidates bigint, n_patterns bigint")
 
 
-def _entries(rows: DataFrame, chains: DataFrame) -> DataFrame:
+def _entries(rows: DataFrame, chains: Chains) -> DataFrame:
     """``seq, weight, pos, id``, partitioned by seq and kept."""
     one = cut(rows.select(F.monotonically_increasing_id().alias("seq"), "weight", "codes"))
     one = one.select("seq", "weight", F.posexplode("codes").alias("pos", "tid")).where("tid > 0")
-    return cut(one.join(maybe_broadcast(chains), "tid").select("seq", "weight", "pos", F.explode("chain").alias("id")))
+    return cut(one.join(maybe_broadcast(chains.table), "tid").select("seq", "weight", "pos", F.explode("chain").alias("id")))
 
 
 def _support(embeddings: DataFrame, min_support: int) -> DataFrame:
@@ -214,7 +260,7 @@ def _within(gap: int, a: Column, b: Column) -> Column:
     return (b > a) & (b <= a + F.lit(gap + 1))
 
 
-def _joined(rows: DataFrame, chains: DataFrame, min_support: int, max_gap: int, max_length: int) -> DataFrame:
+def _joined(rows: DataFrame, chains: Chains, min_support: int, max_gap: int, max_length: int) -> DataFrame:
     g = _entries(rows, chains)
     state = g.select("seq", "weight", F.array("id").alias("pattern_ids"), F.col("pos").alias("end"))
     nxt = g.select("seq", F.col("pos").alias("p"), "id")
@@ -250,7 +296,7 @@ def bfs(prepared: Prepared, min_support: int, max_gap: int, max_length: int) ->
         both = a.join(b, "seq").where(_within(max_gap, F.col("s"), F.col("t")))
         if length > 2:
             both = both.where(F.slice("l", F.lit(2), F.lit(length - 2)) == F.slice("r", F.lit(1), F.lit(length - 2)))
-            both = both.join(maybe_broadcast(left.join(right, "mid").select("l", "r")), ["l", "r"], "left_semi")
+            both = both.join(maybe_broadcast(cut(left.join(right, "mid").select("l", "r"))), ["l", "r"], "left_semi")
         new = F.concat("l", F.array(F.element_at("r", -1)))
         grown = cut(both.select("seq", "weight", new.alias("pattern_ids"), F.col("s").alias("start")).distinct())
         good = cut(_support(grown, min_support))
@@ -267,96 +313,105 @@ def two_sequences(prepared: Prepared, min_support: int, max_gap: int) -> DataFra
     return bfs(prepared, min_support, max_gap, 2)
 
 
-def with_chains(rows: DataFrame, chains: DataFrame) -> DataFrame:
-    """``codes, chains, weight``: of each position the chain of its id, an empty one for a blank."""
-    if (got := _small_chains(chains)) is not None:
-        sent = rows.sparkSession.sparkContext.broadcast(_chain_arrays(got))
+def with_chains(rows: DataFrame, chains: Chains, codes: str = "codes") -> DataFrame:
+    """The rows with ``chains``: of each position of codes the chain of its id, an empty one for blanks."""
+    if chains.here is not None:
+        sent = rows.sparkSession.sparkContext.broadcast(chains.arrays())
+        index = rows.columns.index(codes)
 
         def run(batches):
             chain_at, chain = sent.value
             for b in batches:
-                lists = b.column(0)
+                lists = b.column(index)
                 at = np.asarray(lists.offsets).astype(np.int32)
-                codes = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                many = np.where(codes > 0, chain_at[codes + 1] - chain_at[codes], 0)
+                ids = np.maximum(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), 0)
+                many = np.where(ids > 0, chain_at[ids + 1] - chain_at[ids], 0)
                 ends = np.cumsum(many)
-                flat = chain[np.repeat(chain_at[codes], many) + np.arange(int(many.sum())) - np.repeat(ends - many, many)]
+                flat = chain[np.repeat(chain_at[ids], many) + np.arange(int(many.sum())) - np.repeat(ends - many, many)]
                 inner = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(flat.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([lists, pa.ListArray.from_arrays(pa.array(at - at[0]), inner), b.column(1)], ["codes", "chains", "weight"])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(at - at[0]), inner)], [*b.schema.names, "chains"])
 
-        return rows.mapInArrow(run, "codes array<int>, chains array<array<int>>, weight bigint")
-    keyed = cut(rows.withColumn("seq", F.monotonically_increasing_id()))
-    one = keyed.select("seq", F.posexplode("codes").alias("pos", "tid")).join(chains, "tid", "left")
-    back = one.groupBy("seq").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("chain", F.array().cast("array<int>")).alias("c")))).alias("x"))
-    return keyed.join(back, "seq").select("codes", F.col("x.c").alias("chains"), "weight")
+        return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("chains", ArrayType(ArrayType(IntegerType())))]))
+    keyed = cut(rows.withColumn("__row", F.monotonically_increasing_id()))
+    one = keyed.select("__row", F.posexplode(codes).alias("pos", "tid")).join(chains.table, "tid", "left")
+    back = one.groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("chain", F.array().cast("array<int>")).alias("c")))).alias("x"))
+    return keyed.join(back, "__row").withColumn("chains", F.col("x.c")).drop("__row", "x")
 
 
-def pivot_partitions(rows: DataFrame, chains: DataFrame) -> DataFrame:
+def pivot_partitions(rows: DataFrame, chains: Chains) -> DataFrame:
     """``pivot, chains, weight``: a copy of each sequence for each frequent id that it holds or generalizes to."""
     return with_chains(rows, chains).select(F.explode(F.array_distinct(F.flatten("chains"))).alias("pivot"), "chains", "weight")
 
 
-def rewritten(rows: DataFrame, chains: DataFrame, max_gap: int, max_length: int) -> DataFrame:
+def rewritten(rows: DataFrame, chains: Chains, max_gap: int, max_length: int) -> DataFrame:
     """``pivot, seq, weight``: the sequences as their pivots need them (see grow.rewrite), equal ones added up."""
-    reach = (max_length - 1) * (max_gap + 1)
-    if (got := _small_chains(chains)) is not None:
-        sent = rows.sparkSession.sparkContext.broadcast(_chain_arrays(got))
+    sent = None if chains.here is None else rows.sparkSession.sparkContext.broadcast(chains.arrays())
 
-        def run(batches):
-            for b in batches:
-                for lo in range(0, b.num_rows, 2_000):
-                    part = b.slice(lo, 2_000)
-                    lists = part.column(0)
-                    at = np.asarray(lists.offsets).astype(np.int64)
-                    codes = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                    pivot, at, ids, weight = grow.rewrite(at - at[0], codes, part.column(1).to_numpy(zero_copy_only=False), *sent.value, max_gap, reach)
-                    seq = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32)))
-                    yield pa.RecordBatch.from_arrays([pa.array(pivot.astype(np.int32)), seq, pa.array(weight)], ["pivot", "seq", "weight"])
-
-        parts = rows.select("codes", "weight").mapInArrow(run, "pivot int, seq array<int>, weight bigint")
-    else:
-        pivot = F.col("pivot")
-        parts = pivot_partitions(rows, chains).select("pivot", "weight", A.to_pivot(F.col("chains"), pivot).alias("ids"))
-        parts = parts.select("pivot", "weight", A.near_pivot(F.col("ids"), pivot, reach).alias("ids"))
-        parts = parts.select("pivot", "weight", A.trim_blanks(F.col("ids")).alias("ids"))
-        parts = parts.select("pivot", "weight", A.compress_blanks(F.col("ids")).alias("ids"))
-        parts = parts.select("pivot", "weight", A.pivot_parts(F.col("ids"), pivot, max_gap).alias("seq")).where(F.size("seq") > 0)
-    return parts.groupBy("pivot", "seq").agg(F.sum("weight").alias("weight"))
+    def run(batches):
+        for b in batches:
+            for lo in range(0, b.num_rows, 2_000):
+                part = b.slice(lo, 2_000)
+                lists = part.column(0)
+                at = np.asarray(lists.offsets).astype(np.int64)
+                codes = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                if sent is None:
+                    names, codes, *tables = grow.own_tables(codes, part.column(2).flatten())
+                else:
+                    names, tables = None, sent.value
+                pivot, at, ids, weight = grow.rewrite(at - at[0], codes, part.column(1).to_numpy(zero_copy_only=False), *tables, max_gap, max_length)
+                if names is not None:
+                    pivot, ids = names[pivot], np.where(ids > 0, names[np.maximum(ids, 0)], ids)
+                seq = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([pa.array(pivot.astype(np.int32)), seq, pa.array(weight)], ["pivot", "seq", "weight"])
 
+    rows = rows.select("codes", "weight") if sent else with_chains(rows.select("codes", "weight"), chains)
+    return rows.mapInArrow(run, "pivot int, seq array<int>, weight bigint").groupBy("pivot", "seq").agg(F.sum("weight").alias("weight"))
 
-def partitioned(prepared: Prepared, min_support: int, max_gap: int, max_length: int, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """``pattern_ids, frequency``, each pattern from the partition of its greatest id."""
+
+def partitioned(prepared: Prepared, min_support: int, max_gap: int, max_length: int) -> DataFrame:
+    """``pattern_ids, frequency``, each pattern from the partition of its greatest id.
+
+    A pivot of at most LIMITS.group rewritten sequences is mined by one task. The sequences of hotter pivots stay where they lie: their
+    patterns are counted level by level, in part by each task, all such pivots at once.
+    """
     rows, chains = prepared.reduced(min_support)
-    if (got := _small_chains(chains)) is None:
-        return _joined(rows, chains, min_support, max_gap, max_length)
     parts = cut(rewritten(rows, chains, max_gap, max_length))
-    sizes = cut(parts.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w")))
-    hot = sizes.where(F.col("n") > group_rows).select("pivot")
-    hot_too = hot.limit(1).count() > 0
-    sent = rows.sparkSession.sparkContext.broadcast(_chain_arrays(got))
-    schema = "pattern_ids array<int>, frequency bigint"
+    sizes = cut(parts.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w")).where(F.col("w") >= min_support))
+    hot = sizes.where(F.col("n") > LIMITS.group).select("pivot")
+    hot_too = not hot.isEmpty()
+    sent = None if chains.here is None else rows.sparkSession.sparkContext.broadcast(chains.arrays())
 
     def mine(group: pa.Table) -> pa.Table:
-        chain_at, chain = sent.value
         pivot = int(group.column("pivot")[0].as_py())
         lists = group.column("seq").combine_chunks()
-        runs, at = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.asarray(lists.offsets).astype(np.int64)
-        at = at - at[0]
-        many = np.where(runs < 0, -runs, 1)
-        codes = np.repeat(np.where(runs < 0, 0, runs), many)
-        at = np.append(0, np.cumsum(many))[at]
-        e = grow.Entries(at, codes, chain_at, chain, max_gap)
-        found = grow.mine_pivot(e, group.column("weight").to_numpy(), pivot, len(chain_at), min_support, max_length)
-        return pa.table({"pattern_ids": pa.array([p for p, _ in found], pa.list_(pa.int32())), "frequency": pa.array([n for _, n in found], pa.int64())})
-
-    cool = sizes.where((F.col("n") <= group_rows) & (F.col("w") >= min_support)).select("pivot")
-    out = parts.join(maybe_broadcast(cool), "pivot", "left_semi").groupBy("pivot").applyInArrow(mine, schema)
+        names = None
+        if sent is None:
+            ids = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            names, ids, *tables = grow.own_tables(ids, group.column("chains").combine_chunks().flatten(), pivot)
+            lists = pa.ListArray.from_arrays(pa.array((np.asarray(lists.offsets) - lists.offsets[0].as_py()).astype(np.int32)), pa.array(ids.astype(np.int32)))
+            own = int(np.searchsorted(names, pivot))
+        else:
+            tables, own = sent.value, pivot
+        at, codes = grow.positions(lists)
+        e = grow.Entries(at, codes, *tables, max_gap)
+        found = grow.mine_pivot(e, group.column("weight").to_numpy(), own, len(tables[0]), min_support, max_length)
+        patterns = [p if names is None else names[p].tolist() for p, _ in found]
+        return pa.table({"pattern_ids": pa.array(patterns, pa.list_(pa.int32())), "frequency": pa.array([n for _, n in found], pa.int64())})
+
+    cool = sizes.where(F.col("n") <= LIMITS.group).select("pivot")
+    own = parts.join(maybe_broadcast(cool), "pivot", "left_semi")
+    if sent is None:
+        own = with_chains(own, chains, "seq")
+    out = own.groupBy("pivot").applyInArrow(mine, _FOUND)
     if hot_too:
-        rest = _levelwise(rows, chains, min_support, max_gap, max_length).withColumn("pivot", F.array_max("pattern_ids"))
-        out = out.unionByName(rest.join(maybe_broadcast(hot), "pivot", "left_semi").drop("pivot"))
+        own = cut(parts.join(maybe_broadcast(hot), "pivot", "left_semi"))
+        found = None if sent is None else _levels(own, chains, min_support, max_gap, max_length, pivots=True)
+        if found is None:
+            rest = _joined(rows, chains, min_support, max_gap, max_length).withColumn("pivot", F.array_max("pattern_ids"))
+            return out.unionByName(rest.join(maybe_broadcast(hot), "pivot", "left_semi").drop("pivot"))
+        good = [p[:, 1:].max(1) == p[:, 0] for p, _ in found]
+        out = out.unionByName(_as_table(rows.sparkSession, [(p[g, 1:], n[g]) for (p, n), g in zip(found, good) if g.any()]))
     return out
 
 
 STRATEGIES = {"levelwise": levelwise, "joins": joins, "bfs": bfs, "partitioned": partitioned}
-
-

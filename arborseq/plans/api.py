@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborseq.common import cut
+from arborseq.common import cut, is_small
 from arborseq.operators import mining
-from arborseq.operators.dictionary import LOOKUP, decode, dictionary, dictionary_here, flist
+from arborseq.operators.dictionary import decode, dictionary, dictionary_here, flist
 from arborseq.operators.dictionary import encode as encode_sequences
 from arborseq.operators.hierarchy import Taxonomy
 
@@ -24,15 +24,12 @@ def encode(sequences: DataFrame, hierarchy: DataFrame | None = None, keep: bool
     if hierarchy is None:
         hierarchy = spark.createDataFrame([], "item string, parent string")
     tax = Taxonomy(hierarchy)
-    counts = flist(sequences, tax.closure, tax.here and tax.here[1])
-    if tax.here is not None:
-        some = counts.limit(LOOKUP + 1).toPandas()
-        if len(some) <= LOOKUP:
-            here = dictionary_here(some, *tax.here)
-            ids = spark.createDataFrame(here, "item string, cf bigint, df bigint, tid int, parent_tid int, redundant boolean")
-            rows = encode_sequences(sequences, ids, here).select("tids", "weight")
-            return mining.Prepared(cut(rows) if keep else rows, ids, here)
-    counts = cut(counts)
+    counts = cut(flist(sequences, tax.closure, tax.here and tax.here[1]))
+    if tax.here is not None and is_small(counts):
+        here = dictionary_here(counts.toPandas(), *tax.here)
+        ids = spark.createDataFrame(here, "item string, cf bigint, df bigint, tid int, parent_tid int, redundant boolean")
+        rows = encode_sequences(sequences, ids, here).select("tids", "weight")
+        return mining.Prepared(cut(rows) if keep else rows, ids, here)
     ids = cut(dictionary(counts, tax.edges, tax.closure))
     rows = encode_sequences(sequences, ids).select("tids", "weight")
     return mining.Prepared(cut(rows) if keep else rows, ids)

@@ -92,6 +92,38 @@ def queries() -> dict[str, str]:
         "sequences_loaded": P3_VALID_SEQUENCES, "hierarchy_loaded": P3_VALID_HIERARCHY,
         "p3_found": P3, "p3_recovered": P3_RECOVERED, "p6_found": P6, "p6_contracted": P6, "p7_found": P7,
     }
+    lev = WORKLOADS["priority_levels"]
+    pivots = out["pivot_rewrite"]
+    trimmed = "regexp_replace(regexp_replace(seq, '^(_ )+', ''), '( _)+$', '')"
+    out |= {
+        "closure_joined": out["hierarchy_closure"], "flist_joined": out["flist_cf_df"], "dictionary_joined": out["dictionary"], "encode_joined": out["encode_sequences"],
+        "decode_joined": out["decode_roundtrip"], "mine_partitioned_priority_levels": out["mine_priority_levels"],
+        "mine_partitioned_split_priority": out["mine_customer_priority"], "redundant_ancestors_levels": f"{base(lev)} SELECT a AS item FROM red",
+    }
+    out |= {x: out["mine_order_suppliers"] for x in (
+        "mine_joined_lookups", "mine_levels_joined", "mine_partitioned_joined_lookups", "mine_partitioned_split", "encoded_resume", "pattern_parquet",
+    )}
+    out |= {
+        "pattern_counters": f"""{base(w)}, {least(w)},
+g AS (SELECT DISTINCT sid, pos, occ.a FROM occ JOIN fl ON fl.a = occ.a, least WHERE df >= k AND occ.a NOT IN (SELECT a FROM red)),
+e2 AS (SELECT DISTINCT x.sid, [x.a, y.a] AS p, y.pos AS last FROM g x JOIN g y ON y.sid = x.sid AND y.pos > x.pos AND y.pos <= x.pos + {w.gap + 1}),
+c2 AS (SELECT p, count(DISTINCT sid) AS n FROM e2 GROUP BY p),
+e3 AS (SELECT DISTINCT x.sid, list_append(p, y.a) AS p FROM e2 x JOIN c2 USING (p) JOIN g y ON y.sid = x.sid AND y.pos > x.last AND y.pos <= x.last + {w.gap + 1}, least WHERE c2.n >= k),
+c3 AS (SELECT p, count(DISTINCT sid) AS n FROM e3 GROUP BY p)
+SELECT 2::INT AS length, count(*) AS n_candidates, count(*) FILTER (n >= k) AS n_patterns FROM c2, least
+UNION ALL SELECT 3, count(*), count(*) FILTER (n >= k) FROM c3, least""",
+        "relevant_positions": f"""SELECT "pivot", sum(weight * len(list_filter(string_split(seq, ' '), lambda x: x <> '_')))::BIGINT AS n_positions FROM ({pivots}) GROUP BY 1""",
+        "blanks_roundtrip": pivots,
+        "blanks_single": f"""SELECT "pivot", replace(seq, '_', '-1') AS seq, weight FROM ({pivots})""",
+        "gap_split": f"""SELECT "pivot", seq, sum(weight)::BIGINT AS weight FROM (SELECT "pivot", unnest(string_split_regex({trimmed}, ' (_ ){{2,}}')) AS seq, weight FROM ({pivots})) GROUP BY ALL""",
+        "sequence_text": f"SELECT sid::VARCHAR AS seq_id, string_agg(item, ' ' ORDER BY pos) AS items FROM ({w.seq_sql}) GROUP BY sid",
+        "hierarchy_text": w.tree_sql,
+        "dictionary_text": f"{dictionary(w)} SELECT item, cf, df, tid, parent_tid FROM dict",
+        "encoded_text": f"SELECT ids, count(*) AS n FROM ({out['encode_sequences']}) GROUP BY ids",
+        "pattern_sorted_text": f"SELECT pattern || chr(9) || frequency AS line, row_number() OVER (ORDER BY pattern) AS n FROM ({mine(w)})",
+        "records_in_files": P3_IN_FILES,
+    }
+    out["command_line"] = out["pattern_sorted_text"]
     return out
 
 
@@ -119,6 +151,11 @@ w AS (SELECT *, line_id // 1000000 AS chunk, line_id % 1000000 AS no, max(CASE W
 b AS (SELECT *, min(CASE WHEN reason = 'quoting' THEN no END) OVER (PARTITION BY chunk, last_valid) AS broken FROM w)
 SELECT chunk, no AS line, CASE WHEN reason IS NULL THEN len(fields)::INT END AS n_fields, reason, CASE WHEN reason IS NOT NULL AND broken < no THEN broken END AS after FROM b"""
 
+P3_IN_FILES = f"""WITH n AS (SELECT unnest(string_split(line, chr(10))) AS line FROM raw_sequences WHERE line IS NOT NULL),
+l AS (SELECT 'sequences' AS source, 0 AS line_id, line FROM n WHERE NOT regexp_full_match(line, '[ \\t\\r]*')),
+{_P3_TAIL}
+SELECT reason, count(*) AS n_lines, sum(CASE WHEN reason IS NULL THEN len(fields) END)::BIGINT AS n_fields FROM c GROUP BY reason"""
+
 P6 = f"""WITH RECURSIVE hold AS ({HOLDING_SQL}),
 down(item, root, depth, path) AS (
   SELECT item, CASE WHEN parent IS NULL THEN item ELSE parent END, CASE WHEN parent IS NULL THEN 0 ELSE 1 END, CASE WHEN parent IS NULL THEN [item] ELSE [parent, item] END

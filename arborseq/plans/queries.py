@@ -7,14 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborseq.common import cut
+from arborseq.common import cut, limits
 from arborseq.functions import arrays as A
 from arborseq.operators import mining
 from arborseq.operators.dictionary import decode, encode_rows, flist, frequent_items, redundant_ancestors
 from arborseq.operators.hierarchy import Taxonomy
 from arborseq.operators.skew import key_figures
 from arborseq.operators.tree import as_text, full_hierarchy, holding_rows
-from arborseq.plans import api
+from arborseq.plans import api, storage
 from arborseq.plans.workloads import WORKLOADS, Workload, table
 from arborseq.sources import records
 
@@ -77,8 +77,7 @@ def _pivot_partitions(spark, d):
 def _pivot_rewrite(spark, d):
     rows, chains = _reduced(WORKLOADS["order_suppliers"], spark, d, trim=False)
     parts = mining.pivot_partitions(rows, chains).select("pivot", "weight", A.to_pivot(F.col("chains"), F.col("pivot")).alias("ids"))
-    text = F.concat_ws(" ", F.transform("ids", lambda x: F.when(x == 0, F.lit("_")).otherwise(x.cast("string"))))
-    return parts.groupBy("pivot", text.alias("seq")).agg(F.sum("weight").alias("weight"))
+    return parts.groupBy("pivot", _text(F.col("ids")).alias("seq")).agg(F.sum("weight").alias("weight"))
 
 
 def _aggregated(spark, d):
@@ -119,6 +118,47 @@ def _p3(spark, d):
     return bad.select("source", "line_id", "reason")
 
 
+def _within(query: Query, **values: int) -> Query:
+    """The query planned under other limits."""
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        with limits(**values):
+            return query(spark, d)
+
+    return run
+
+
+def _blanks(column, gap: int | None = None) -> Query:
+    """Functions on blanks over the sequences as each pivot sees them."""
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        rows, chains = _reduced(WORKLOADS["order_suppliers"], spark, d, trim=False)
+        parts = mining.pivot_partitions(rows, chains).select("pivot", "weight", A.to_pivot(F.col("chains"), F.col("pivot")).alias("ids"))
+        ids = A.compress_blanks(F.col("ids") if gap is None else A.trim_blanks(F.col("ids")))
+        out = F.explode(F.filter(A.split_gaps(ids, gap), lambda x: F.size(x) > 0)) if gap is not None else column(ids)
+        return parts.select("pivot", "weight", out.alias("ids")).select("pivot", "weight", _text(F.col("ids") if gap is None else A.expand_blanks(F.col("ids"))).alias("seq"))
+
+    def total(spark: SparkSession, d: str) -> DataFrame:
+        return query(spark, d).groupBy("pivot", "seq").agg(F.sum("weight").alias("weight"))
+
+    return total
+
+
+def _text(ids):
+    return F.concat_ws(" ", F.transform(ids, lambda x: F.when(x == 0, F.lit("_")).otherwise(x.cast("string"))))
+
+
+def _relevant(spark, d):
+    rows, chains = _reduced(WORKLOADS["order_suppliers"], spark, d, trim=False)
+    parts = mining.pivot_partitions(rows, chains)
+    own = F.size(F.filter("chains", lambda c: A.is_relevant(c, F.col("pivot")))) * F.col("weight")
+    return parts.groupBy("pivot").agg(F.sum(own).cast("bigint").alias("n_positions"))
+
+
+def _counters(spark, d):
+    w = WORKLOADS["order_suppliers"]
+    seqs = cut(w.sequences(spark, d))
+    return mining.level_counters(api.encode(seqs, w.hierarchy(spark, d), keep=False), w.least(seqs.count()), w.gap, w.length)
+
+
 def _recovered(spark, d):
     """The lines of raw_sequences in texts of 100 lines each, parsed as texts."""
     lines = table(spark, d, "raw_sequences").where(F.col("line").isNotNull())
@@ -161,4 +201,19 @@ def queries() -> dict[str, Query]:
         "p6_contracted": lambda spark, d: as_text(full_hierarchy(holding_rows(table(spark, d, "hierarchy")), one_task=50, per_task=300)),
         "p7_found": lambda spark, d: key_figures(table(spark, d, "sequence_items"), table(spark, d, "hierarchy")),
     }
-    return out
+    pri, lev = WORKLOADS["customer_priority"], WORKLOADS["priority_levels"]
+    joined = {"rows": 0, "hierarchy": 0}
+    out |= {
+        # the same with tables too large for the driver and the workers
+        "closure_joined": _within(out["hierarchy_closure"], **joined), "flist_joined": _within(out["flist_cf_df"], **joined),
+        "dictionary_joined": _within(out["dictionary"], **joined), "encode_joined": _within(_encode_sequences, **joined),
+        "decode_joined": _within(_decode_roundtrip, **joined), "mine_joined_lookups": _within(run_mine(s), **joined),
+        "mine_levels_joined": _within(run_mine(s), patterns=1), "mine_partitioned_joined_lookups": _within(run_mine(s, "partitioned"), **joined),
+        "mine_partitioned_split": _within(run_mine(s, "partitioned"), group=0),
+        "mine_partitioned_split_priority": _within(run_mine(pri, "partitioned"), group=0),
+        "mine_partitioned_priority_levels": run_mine(lev, "partitioned"),
+        "redundant_ancestors_levels": lambda spark, d: (lambda tax, c: redundant_ancestors(c, tax.edges))(*_counts(lev, spark, d)),
+        "pattern_counters": _counters, "relevant_positions": _relevant,
+        "blanks_roundtrip": _blanks(A.expand_blanks), "blanks_single": _blanks(A.single_blanks), "gap_split": _blanks(None, 1),
+    }
+    return out | storage.queries()

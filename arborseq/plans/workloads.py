@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arborseq.common import cut
 from arborseq.operators.tree import full_hierarchy, holding_rows
 
 
@@ -108,6 +109,18 @@ PRIORITIES_SQL = (
 PRIORITY_TREE_SQL = "SELECT * FROM (VALUES ('1-URGENT','HI'),('2-HIGH','HI'),('4-NOT_SPECIFIED','LO'),('5-LOW','LO')) AS t(item, parent)"
 
 
+def _level_tree(spark, d):
+    """MID occurs through 3-MEDIUM only, so it is redundant."""
+    rows = [("1-URGENT", "HI"), ("2-HIGH", "HI"), ("3-MEDIUM", "MID"), ("4-NOT_SPECIFIED", "LO"), ("5-LOW", "LO"), ("HI", "ANY"), ("MID", "ANY"), ("LO", "ANY")]
+    return spark.createDataFrame(rows, "item string, parent string")
+
+
+LEVEL_TREE_SQL = (
+    "SELECT * FROM (VALUES ('1-URGENT','HI'),('2-HIGH','HI'),('3-MEDIUM','MID'),('4-NOT_SPECIFIED','LO'),('5-LOW','LO'),"
+    "('HI','ANY'),('MID','ANY'),('LO','ANY')) AS t(item, parent)"
+)
+
+
 def _table_sequences(spark, d):
     return table(spark, d, "sequences")
 
@@ -115,7 +128,7 @@ def _table_sequences(spark, d):
 def _table_tree(spark, d):
     """The holding rows of the table ``hierarchy`` without those that never reach a root."""
     full = full_hierarchy(holding_rows(table(spark, d, "hierarchy")))
-    return full.where(~F.col("loop") & (F.size("path") > 1)).select("item", F.element_at("path", -2).alias("parent"))
+    return cut(full.where(~F.col("loop") & (F.size("path") > 1)).select("item", F.element_at("path", -2).alias("parent")))
 
 
 #: each row is a sequence, so rows are numbered; nulls keep their position
@@ -140,5 +153,6 @@ WORKLOADS = {
     "order_parts": Workload(_parts, _part_tree, PARTS_SQL, PART_TREE_SQL, (1, 147), 1, 3),
     "order_suppliers": Workload(_suppliers, _supplier_tree, SUPPLIERS_SQL, SUPPLIER_TREE_SQL, (1, 147), 1, 3),
     "customer_priority": Workload(_priorities, _priority_tree, PRIORITIES_SQL, PRIORITY_TREE_SQL, (2, 15), 1, 3),
+    "priority_levels": Workload(_priorities, _level_tree, PRIORITIES_SQL, LEVEL_TREE_SQL, (1, 5), 1, 3),
     "table_sequences": Workload(_table_sequences, _table_tree, TABLE_SEQUENCES_SQL, TABLE_TREE_SQL, (1, 40), 1, 3),
 }

@@ -222,7 +222,7 @@ def parse_files(spark: SparkSession, path: str, grammar: Grammar) -> DataFrame:
     A file is cut at line ends into the reader's splits, each of which is read as one text: block is where the split starts in the file, line
     counts its lines from 0, blank ones too, which are no records. So a fault can be found again, and no split waits for another.
     """
-    rows = spark.read.option("recursiveFileLookup", "true").text(path)
+    rows = spark.read.option("recursiveFileLookup", "true").text(path, lineSep="\n")
     rows = rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary"))
 
     def run(batches):

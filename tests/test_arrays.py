@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -26,32 +27,33 @@ def test_blanks(spark):
     assert one(spark, A.expand_blanks(packed)) == [3, 0, 0, 4, 0, 5]
     assert one(spark, A.single_blanks(packed)) == [3, -1, -1, 4, -1, 5]
     assert one(spark, A.split_gaps(packed, 1)) == [[3], [4, -1, 5]]
-    assert one(spark, A.pivot_parts(packed, F.lit(5), 1)) == [4, -1, 5]
     assert one(spark, A.trim_blanks(F.array(F.lit(0)))) == []
-    assert one(spark, A.near_pivot(F.array(*map(F.lit, [1, 2, 7, 3, 4])), F.lit(7), 1)) == [2, 7, 3]
 
 
-CASES = [
-    ([1, 3, 6, 100, 2, 4, 6], 6, 0, [1, 3, 6, -1, 2, 4, 6]), ([1, 3, 6, 100, 1, 3, 4, 7], 6, 0, None), ([1, 3, 6, 100, 100, 2, 4, 6], 6, 1, None),
-    ([1, 7, 6, 100, 2, 7, 6], 7, 0, None), ([100, 100, 1, 3, 6, 100, 2, 3, 6, 100, 4, 3, 6, 100, 100], 6, 0, None), ([1, 310, 2, 1000, 1000, 18, 1000, 89, 127, 1, 310, 2], 310, 1, None),
-]
-
-
-@pytest.mark.parametrize("seq, pivot, gap, want", CASES)
-def test_rewriting_keeps_the_patterns_of_the_pivot(spark, seq, pivot, gap, want):
-    top = 1001
-    chain_at, chain = np.arange(top + 1), np.arange(top)
-    codes, at, w = np.array(seq), np.array([0, len(seq)]), np.ones(1, np.int64)
-    pivots, offsets, ids, _ = grow.rewrite(at, codes, w, chain_at, chain, gap, 4 * (gap + 1))
-    k = pivots.tolist().index(pivot)
-    own = ids[offsets[k] : offsets[k + 1]]
-    if want:
-        assert own.tolist() == want
-    col = A.pivot_parts(A.compress_blanks(A.trim_blanks(A.to_pivot(F.array(*[F.array(F.lit(x)) for x in seq]), F.lit(pivot)))), F.lit(pivot), gap)
-    assert one(spark, col) == own.tolist()
-
-    def mined(c):
-        return sorted((tuple(p), n) for p, n in grow.mine_pivot(grow.Entries(np.array([0, len(c)]), c, chain_at, chain, gap), w, pivot, top, 1, 4))
-
-    flat = np.repeat(np.where(own < 0, 0, own), np.where(own < 0, -own, 1))
-    assert mined(flat) == mined(np.where(codes <= pivot, codes, 0))
+def mined(codes, at, weight, pivot, top, gap, longest):
+    e = grow.Entries(at, codes, np.arange(top + 1), np.arange(top), gap)
+    return sorted((tuple(p), n) for p, n in grow.mine_pivot(e, weight, pivot, top, 1, longest))
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_rewriting_keeps_the_patterns_of_the_pivot(seed):
+    rnd = np.random.default_rng(seed)
+    top, gap, longest = 8, int(rnd.integers(0, 3)), int(rnd.integers(2, 5))
+    size = rnd.integers(2, 14, 6)
+    at = np.append(0, np.cumsum(size))
+    codes, weight = rnd.integers(0, top, at[-1]) * (rnd.random(at[-1]) < 0.6), rnd.integers(1, 4, 6)
+    pivots, offsets, ids, weights = grow.rewrite(at, codes, weight, np.arange(top + 1), np.arange(top), gap, longest)
+    for pivot in range(1, top):
+        own = np.flatnonzero(pivots == pivot)
+        lists = pa.array([ids[offsets[k] : offsets[k + 1]].tolist() for k in own], pa.list_(pa.int64()))
+        small_at, small = grow.positions(lists)
+        assert len(small) <= len(codes)
+        want = mined(np.where(codes <= pivot, codes, 0), at, weight, pivot, top, gap, longest)
+        assert mined(small, small_at, weights[own], pivot, top, gap, longest) == want
+
+
+def test_unreachable_ids_are_blanks():
+    """With 3 ids a pattern and no gap, 1 hop from the pivot 5 reaches its neighbours, 2 hops the next; 4 hops away is too far."""
+    codes = np.array([1, 2, 3, 4, 5, 4, 3, 2, 1])
+    _, offsets, ids, _ = grow.rewrite(np.array([0, 9]), codes, np.ones(1, np.int64), np.arange(7), np.arange(6), 0, 3)
+    assert ids[offsets[-2] :].tolist() == [3, 4, 5, 4, 3]

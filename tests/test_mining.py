@@ -1,7 +1,9 @@
 import random
+from collections import Counter
 
 import pytest
 
+from arborseq.common import limits
 from arborseq.operators import mining
 from arborseq.operators.dictionary import decode, dictionary, encode_rows, flist, frequent_items, redundant_ancestors
 from arborseq.operators.hierarchy import HierarchyError, Taxonomy, closure
@@ -93,21 +95,34 @@ def test_random(spark, seed, strategy):
     assert as_dict(api.mine(*tables(spark, seqs, up), least, gap, length, strategy)) == brute(seqs, up, least, gap, length)
 
 
-def test_without_small_tables(spark, monkeypatch):
+@pytest.mark.parametrize("strategy", ALL)
+def test_without_small_tables(spark, strategy):
     """The ways for dictionaries, hierarchies and levels that are too large for the driver give the same."""
-    import arborseq.operators.dictionary as D
-    import arborseq.operators.hierarchy as H
+    with limits(rows=0, hierarchy=0):
+        assert as_dict(api.mine(*tables(spark, [(s.split(), 1) for s in SEQUENCES], TREE), 2, 1, 3, strategy)) == GOLDEN
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_partitions_of_all_kinds(spark, seed):
+    rnd = random.Random(20 + seed)
+    up = {f"i{k}": f"i{rnd.randrange(k)}" for k in range(1, 15) if rnd.random() < 0.7}
+    seqs = [([rnd.choice([*(f"i{k}" for k in range(15)), None, None]) for _ in range(rnd.randint(0, 12))], rnd.randint(1, 2)) for _ in range(20)]
+    want = brute(seqs, up, 3, 1, 4)
+    prepared = api.encode(*tables(spark, seqs, up))
+    for values in ({}, {"group": 0}, {"group": 6}, {"group": 0, "patterns": 1}, {"rows": 0}, {"rows": 0, "group": 4}):
+        with limits(**values):
+            got = mining.Prepared(prepared.sequences, prepared.dictionary)
+            assert as_dict(api.mine_encoded(got, 3, 1, 4, "partitioned")) == want, values
+
 
-    monkeypatch.setattr(H, "SMALL", 0)
-    monkeypatch.setattr(D, "LOOKUP", 0)
-    monkeypatch.setattr(mining, "LOOKUP", 0)
-    monkeypatch.setattr(api, "LOOKUP", 0)
-    assert as_dict(api.mine(*tables(spark, [(s.split(), 1) for s in SEQUENCES], TREE), 2, 1, 3)) == GOLDEN
+def test_held_limit(example):
+    with limits(patterns=1):
+        assert as_dict(api.decode(mining.levelwise(example, 2, 1, 3), example.dictionary)) == GOLDEN
 
 
-def test_held_and_hot_limits(example):
-    assert as_dict(api.decode(mining.levelwise(example, 2, 1, 3, held=1), example.dictionary)) == GOLDEN
-    assert as_dict(api.decode(mining.partitioned(example, 2, 1, 3, group_rows=1), example.dictionary)) == GOLDEN
+def test_level_counters(example):
+    got = [tuple(r) for r in mining.level_counters(example, 2, 1, 3).orderBy("length").collect()]
+    assert {a: c for a, _, c in got} == Counter(len(p.split()) for p in GOLDEN) and all(b >= c for _, b, c in got)
 
 
 @pytest.mark.parametrize("strategy", ALL)
