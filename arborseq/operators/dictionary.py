@@ -12,6 +12,7 @@ from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from arborseq.common import cut, is_small, maybe_broadcast, pick
 from arborseq.functions.lookup import Lookup
+from arborseq.functions.sets import distinct
 
 
 def weighted(sequences: DataFrame) -> DataFrame:
@@ -65,7 +66,7 @@ def flist(sequences: DataFrame, chain: DataFrame | None = None, here: pd.DataFra
                 label = np.concatenate([names, extra]) if len(extra) else names
                 n = len(label) + 1
                 cf = np.bincount(code, weights=weight[rows_all], minlength=n)
-                once = np.unique(rows_all * n + code)
+                once = distinct(rows_all * n + code)
                 df = np.bincount(once % n, weights=weight[once // n], minlength=n)
                 hit = np.flatnonzero(cf)
                 yield pa.RecordBatch.from_arrays(

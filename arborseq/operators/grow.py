@@ -9,6 +9,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
+from arborseq.functions.sets import distinct, summed
+
 #: Rows of one step's arrays.
 STEP = 2_000_000
 
@@ -107,7 +109,7 @@ def rewrite(at: np.ndarray, codes: np.ndarray, weight: np.ndarray, chain_at: np.
     many = np.where(codes > 0, chain_at[codes + 1] - chain_at[codes], 0)
     ids = chain[np.repeat(chain_at[codes], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
     top = len(chain_at)
-    r, pivot = np.divmod(np.unique(np.repeat(row, many) * top + ids), top)
+    r, pivot = np.divmod(distinct(np.repeat(row, many) * top + ids), top)
     m = size[r]
     pair = np.repeat(np.arange(len(r)), m)
     pos = np.arange(len(pair)) - np.repeat(np.cumsum(m) - m, m)
@@ -148,7 +150,23 @@ def rewrite(at: np.ndarray, codes: np.ndarray, weight: np.ndarray, chain_at: np.
 
 
 def unique(parts: list[np.ndarray]) -> np.ndarray:
-    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.int64)
+    return distinct(np.concatenate([*parts, np.zeros(0, np.int64)]))
+
+
+def supports(code: np.ndarray, row: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct codes, weights of the distinct rows that have each)."""
+    n = len(weight)
+    if not len(code):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if int(code.max()) < (1 << 62) // n:
+        code, row = np.divmod(unique([code * n + row]), n)
+    else:
+        order = np.lexsort((row, code))
+        code, row = code[order], row[order]
+        new = np.append(True, (code[1:] != code[:-1]) | (row[1:] != row[:-1]))
+        code, row = code[new], row[new]
+    at = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+    return code[at], np.add.reduceat(weight[row], at)
 
 
 def place(code: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -169,21 +187,32 @@ def count_level(e: Entries, weight: np.ndarray, levels: list[np.ndarray], size:
         keys = []
         for which, entry in e.near(row, end):
             ok, new = place(pid[which] * size + e.id[entry], known)
-            keys.append(np.unique((row[which[ok]] * len(known) + new[ok]) * e.wide + e.pos[entry[ok]]))
-        key, end = np.divmod(unique(keys), e.wide)
+            keys.append(unique([(row[which[ok]] * len(known) + new[ok]) * e.wide + e.pos[entry[ok]]]))
+        key, end = np.divmod(keys[0] if len(keys) == 1 else unique(keys), e.wide)
         row, pid = np.divmod(key, max(1, len(known)))
-    span = max(1, len(levels[-1])) * size
-    keys = [np.unique(row[which] * span + pid[which] * size + e.id[entry]) for which, entry in e.near(row, end)]
-    r, code = np.divmod(unique(keys), span)
-    out, inv = np.unique(code, return_inverse=True)
-    return out, np.bincount(inv, weights=weight[r], minlength=len(out)).astype(np.int64)
+    pairs = [(pid[which] * size + e.id[entry], row[which]) for which, entry in e.near(row, end)]
+    if not pairs:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return supports(*(np.concatenate(x) for x in zip(*pairs)), weight)
 
 
 def count_owned(e: Entries, weight: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(owner * size + id, supports) of the ids in the rows of each owner."""
-    row, item = np.divmod(np.unique(e.row * size + e.id), size)
-    code, inv = np.unique(e.owner[row] * size + item, return_inverse=True)
-    return code, np.bincount(inv, weights=weight[row], minlength=len(code)).astype(np.int64)
+    return supports(e.owner[e.row] * size + e.id, e.row, weight)
+
+
+def _distinct_rows(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct (a, b, c), sorted."""
+    if not len(a):
+        return a, b, c
+    nb, nc = int(b.max()) + 1, int(c.max()) + 1
+    if (int(a.max()) + 1) * nb * nc < 1 << 62:
+        rest, c = np.divmod(distinct((a * nb + b) * nc + c), nc)
+        return (*np.divmod(rest, nb), c)
+    order = np.lexsort((c, b, a))
+    a, b, c = a[order], b[order], c[order]
+    new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1]))
+    return a[new], b[new], c[new]
 
 
 def mine_pivot(e: Entries, weight: np.ndarray, pivot: int, size: int, least: int, longest: int) -> list[tuple[list[int], int]]:
@@ -213,13 +242,12 @@ def mine_pivot(e: Entries, weight: np.ndarray, pivot: int, size: int, least: int
                 which, entry = which[known], entry[known]
             code = pid[which] * size + e.id[entry]
             ends = (e.pos[entry] * wide + hi[which]) if left else (lo[which] * wide + e.pos[entry])
-            keys.append(np.unique(np.stack([code, row[which], ends]), axis=1))
+            keys.append((code, row[which], ends))
         if not keys:
             return None
-        code, r, ends = np.unique(np.concatenate(keys, axis=1), axis=1)
+        code, r, ends = _distinct_rows(*(np.concatenate(x) for x in zip(*keys)))
         once = np.append(True, (code[1:] != code[:-1]) | (r[1:] != r[:-1])) if len(code) else np.zeros(0, bool)
-        own, inv = np.unique(code[once], return_inverse=True)
-        support = np.bincount(inv, weights=weight[r[once]], minlength=len(own)).astype(np.int64)
+        own, support = summed(code[once], weight[r[once]])
         good = support >= least
         own, support = own[good], support[good]
         if not len(own):

@@ -19,6 +19,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from arborseq.common import LIMITS, cut, is_small, maybe_broadcast, width
 from arborseq.functions import arrays as A
+from arborseq.functions.sets import summed
 from arborseq.operators import grow
 
 
@@ -138,8 +139,7 @@ def levelwise(prepared: Prepared, min_support: int, max_gap: int, max_length: in
 
 
 def _summed(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    c, inv = np.unique(np.concatenate(codes), return_inverse=True)
-    return c, np.bincount(inv, weights=np.concatenate(counts), minlength=len(c)).astype(np.int64)
+    return summed(np.concatenate(codes), np.concatenate(counts))
 
 
 def _counter(count):

@@ -77,7 +77,7 @@ def queries() -> dict[str, str]:
         "flist_cf_df": f"{base(parts)} SELECT a AS item, cf, df FROM fl",
         "flist_table_sequences": f"{base(seqs)} SELECT a AS item, cf, df FROM fl",
         "frequent_items": f"{base(parts)}, {least(parts)} SELECT a AS item, cf, df FROM fl, least WHERE df >= k",
-        "redundant_ancestors": f"{base(parts)} SELECT a AS item FROM red",
+        "redundant_ancestors": f"{base(WORKLOADS['priority_levels'])} SELECT a AS item FROM red",
         "dictionary": f"{dictionary(parts)} SELECT * FROM dict",
         "encode_sequences": f"{dictionary(w)} SELECT string_agg(dict.tid::VARCHAR, ' ' ORDER BY s.pos) AS ids, sid AS seq_id FROM s JOIN dict USING (item) GROUP BY sid",
         "decode_roundtrip": f"{base(w)} SELECT string_agg(item, ' ' ORDER BY pos) AS items, sid AS seq_id FROM s GROUP BY sid",
@@ -92,13 +92,12 @@ def queries() -> dict[str, str]:
         "sequences_loaded": P3_VALID_SEQUENCES, "hierarchy_loaded": P3_VALID_HIERARCHY,
         "p3_found": P3, "p3_recovered": P3_RECOVERED, "p6_found": P6, "p6_contracted": P6, "p7_found": P7,
     }
-    lev = WORKLOADS["priority_levels"]
     pivots = out["pivot_rewrite"]
     trimmed = "regexp_replace(regexp_replace(seq, '^(_ )+', ''), '( _)+$', '')"
     out |= {
         "closure_joined": out["hierarchy_closure"], "flist_joined": out["flist_cf_df"], "dictionary_joined": out["dictionary"], "encode_joined": out["encode_sequences"],
         "decode_joined": out["decode_roundtrip"], "mine_partitioned_priority_levels": out["mine_priority_levels"],
-        "mine_partitioned_split_priority": out["mine_customer_priority"], "redundant_ancestors_levels": f"{base(lev)} SELECT a AS item FROM red",
+        "mine_partitioned_split_priority": out["mine_customer_priority"],
     }
     out |= {x: out["mine_order_suppliers"] for x in (
         "mine_joined_lookups", "mine_levels_joined", "mine_partitioned_joined_lookups", "mine_partitioned_split", "encoded_resume", "pattern_parquet",

@@ -188,7 +188,7 @@ def queries() -> dict[str, Query]:
         "flist_cf_df": lambda spark, d: _counts(p, spark, d)[1],
         "flist_table_sequences": lambda spark, d: _counts(WORKLOADS["table_sequences"], spark, d)[1],
         "frequent_items": lambda spark, d: frequent_items(_counts(p, spark, d)[1], p.least(p.sequences(spark, d).count())),
-        "redundant_ancestors": lambda spark, d: (lambda tax, c: redundant_ancestors(c, tax.edges))(*_counts(p, spark, d)),
+        "redundant_ancestors": lambda spark, d: (lambda tax, c: redundant_ancestors(c, tax.edges))(*_counts(WORKLOADS["priority_levels"], spark, d)),
         "dictionary": lambda spark, d: api.encode(p.sequences(spark, d), p.hierarchy(spark, d), keep=False).dictionary,
         "encode_sequences": _encode_sequences, "decode_roundtrip": _decode_roundtrip,
         "pivot_partitions": _pivot_partitions, "pivot_rewrite": _pivot_rewrite, "aggregated_sequences": _aggregated,
@@ -212,7 +212,6 @@ def queries() -> dict[str, Query]:
         "mine_partitioned_split": _within(run_mine(s, "partitioned"), group=0),
         "mine_partitioned_split_priority": _within(run_mine(pri, "partitioned"), group=0),
         "mine_partitioned_priority_levels": run_mine(lev, "partitioned"),
-        "redundant_ancestors_levels": lambda spark, d: (lambda tax, c: redundant_ancestors(c, tax.edges))(*_counts(lev, spark, d)),
         "pattern_counters": _counters, "relevant_positions": _relevant,
         "blanks_roundtrip": _blanks(A.expand_blanks), "blanks_single": _blanks(A.single_blanks), "gap_split": _blanks(None, 1),
     }
