@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from arborseq.common import cut, is_small, maybe_broadcast, pick
 from arborseq.functions.lookup import Lookup
+from arborseq.functions.sets import distinct
 from arborseq.operators.dictionary import ranked
 
 #: Common items (of 48 MB at most) that go to the workers as a lookup; more are joined. The codes and all that follows are the same.
@@ -59,7 +60,7 @@ def _shaped(found: np.ndarray, at: np.ndarray, ordered: bool) -> tuple[np.ndarra
         row, code = row[keep], found[keep]
         real = np.bincount(row[code > 0], minlength=n)
     else:
-        packed = np.unique((row[found > 0].astype(np.int64) << 32) | found[found > 0])
+        packed = distinct((row[found > 0].astype(np.int64) << 32) | found[found > 0])
         row, code = packed >> 32, packed & 0xFFFFFFFF
         real = np.bincount(row, minlength=n)
     good = real >= (2 if ordered else 1)

@@ -36,8 +36,9 @@ def _arrow_key(key: str) -> pa.DataType:
 
 
 def _row(keys: pa.Array, part: int, h1: np.ndarray | None, h2: np.ndarray | None, doc: np.ndarray, pos: np.ndarray, flag: np.ndarray | None) -> dict:
-    own, at = np.unique(doc, return_inverse=True)
-    at = at.astype(np.uint32)
+    there = np.zeros(len(keys), bool)
+    there[doc] = True
+    own, at = np.flatnonzero(there), (np.cumsum(there) - 1)[doc].astype(np.uint32)
     return {
         "part": part, "h1": None if h1 is None else _planes(np.append(h1[:1], np.diff(h1))), "h2": None if h2 is None else _planes(h2),
         "doc": _planes(at if flag is None else np.where(flag, at | FLAG, at)), "pos": _planes(pos.astype(np.uint32)), "docs": keys.take(pa.array(own)),

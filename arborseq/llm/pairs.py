@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arborseq.common import cut, maybe_broadcast, width
+from arborseq.functions.sets import run_lengths
 from arborseq.llm.baskets import clean, encode, n_sequences
 
 #: Pair codes that a task sorts into one run.
@@ -41,7 +42,7 @@ def _runs(batches):
     """Sorted runs of pair codes with counts."""
 
     def run(parts):
-        c, n = np.unique(np.concatenate(parts), return_counts=True)
+        c, n = run_lengths(np.concatenate(parts))
         for k in range(0, len(c), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 100_000]), pa.array(n[k : k + 100_000])], schema=_RUN)
 

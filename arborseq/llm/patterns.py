@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arborseq.common import cut
+from arborseq.functions.sets import distinct, run_lengths, summed
 from arborseq.llm.baskets import Encoded, clean, encode, n_sequences
 from arborseq.operators.dictionary import decode, ranked
 
@@ -30,11 +31,6 @@ KEPT = 2
 STEP = 2_000_000
 
 
-def _unique(x: np.ndarray) -> np.ndarray:
-    x = np.sort(x)
-    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
-
-
 class _Batch:
     """Occurrences of common items in a batch, and each sequence's items by last position, latest first."""
 
@@ -102,8 +98,8 @@ def _distinct(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, n
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     size, rows = max(int(c.max()) for _, c in parts) + 1, max(int(r.max()) for r, _ in parts) + 1
     if size * rows < 1 << 62:
-        keys = [_unique(r * size + c) for r, c in parts]
-        return np.divmod(keys[0] if len(keys) == 1 else _unique(np.concatenate(keys)), size)
+        keys = [distinct(r * size + c) for r, c in parts]
+        return np.divmod(keys[0] if len(keys) == 1 else distinct(np.concatenate(keys)), size)
     row, code = np.unique(np.concatenate([np.stack(p) for p in parts], axis=1), axis=1)
     return row, code
 
@@ -132,8 +128,8 @@ class _Grown:
         keys, size = [np.zeros(0, np.int64)], max(1, len(known))
         for row, code, _, pos, _ in self.extensions():
             good, new = _known(code, known)
-            keys.append(_unique((row[good] * size + new[good]) * self.b.wide + pos[good]))
-        key, self.end = np.divmod(_unique(np.concatenate(keys)), self.b.wide)
+            keys.append(distinct((row[good] * size + new[good]) * self.b.wide + pos[good]))
+        key, self.end = np.divmod(distinct(np.concatenate(keys)), self.b.wide)
         self.row, self.pid = np.divmod(key, size)
 
 
@@ -202,7 +198,7 @@ def _counts(levels, near, n_items: int, gap: int | None):
             if multi.any():
                 ids = rb.column("seq_id").to_numpy(zero_copy_only=False)[row[multi]]
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(code[multi]), pa.array(np.ones(len(ids), np.int64))], schema=out)
-            c, n = np.unique(code[~multi], return_counts=True)
+            c, n = run_lengths(code[~multi])
             codes_seen.append(c)
             counts_seen.append(n)
             held += len(c)
@@ -220,8 +216,8 @@ def _counts(levels, near, n_items: int, gap: int | None):
 
 
 def _summed(codes, counts):
-    c, inv = np.unique(np.concatenate(codes), return_inverse=True)
-    return [c], [np.bincount(inv, weights=np.concatenate(counts), minlength=len(c)).astype(np.int64)]
+    c, n = summed(np.concatenate(codes), np.concatenate(counts))
+    return [c], [n]
 
 
 def _emit(codes, counts, schema):

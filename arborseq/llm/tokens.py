@@ -4,7 +4,8 @@ A task splits a batch of texts into words by the tokenizer's pattern and encodes
 seen: their symbols lie in one flat array; a round looks up the ranks of all neighbouring symbols by binary search in
 the sorted pair keys, finds each word's lowest rank, merges all its pairs of that rank from the left without overlap, and
 closes the gaps; words without a known pair are done. The merge table comes from the rank file alone and has the vocabulary's size.
-Words of more than ``LONG`` bytes take a heap of pairs instead, so that one endless word doesn't need a round per merge.
+A word of more than ``LONG`` bytes has rounds of its own that touch only the places with the round's rank, so that an endless word
+costs what its merges cost.
 """
 
 from __future__ import annotations
@@ -77,7 +78,7 @@ class Merges:
         short = [i for i, w in enumerate(words) if len(w) <= LONG]
         for i, w in enumerate(words):
             if len(w) > LONG:
-                out[i] = self._heap(w)
+                out[i] = self._linked(w)
         if not short:
             return out
         sym = self.byte_id[np.frombuffer(b"".join(words[i] for i in short), np.uint8)]
@@ -112,29 +113,49 @@ class Merges:
             sym = sym[keep]
         return out
 
-    def _heap(self, word: bytes) -> np.ndarray:
+    def _linked(self, word: bytes) -> np.ndarray:
+        """The ids of one long word: rounds over its ranks in order, each with only the places that have the rank.
+
+        Symbols are linked; a merge looks up its two new pairs, whose ranks are higher, and enters them with those ranks.
+        """
         sym = self.byte_id[np.frombuffer(word, np.uint8)]
         n = len(sym)
-        first = self.rank(sym[:-1], sym[1:])
-        s = sym.tolist()
-        nxt, prev = list(range(1, n + 1)), list(range(-1, n - 1))
-        known = dict(zip(self.keys.tolist(), self.ids.tolist()))
-        heap = [(int(first[i]), i) for i in np.flatnonzero(first != NONE)]
-        heapq.heapify(heap)
-        while heap:
-            rank, i = heapq.heappop(heap)
-            j = nxt[i]
-            if s[i] < 0 or j >= n or known.get(s[i] * self.size + s[j]) != rank:
+        nxt, prev = np.arange(1, n + 1), np.arange(-1, n - 1)
+        ranks: list[int] = []
+        places: dict[int, list[np.ndarray]] = {}
+
+        def enter(at: np.ndarray, rank: np.ndarray) -> None:
+            order = np.argsort(rank, kind="stable")
+            at, rank = at[order], rank[order]
+            at, rank = at[rank < NONE], rank[rank < NONE]
+            cuts = np.flatnonzero(np.append(True, rank[1:] != rank[:-1])) if len(rank) else []
+            for lo, hi in zip(cuts, np.append(cuts[1:], len(rank)) if len(cuts) else []):
+                if (r := int(rank[lo])) not in places:
+                    places[r] = []
+                    heapq.heappush(ranks, r)
+                places[r].append(at[lo:hi])
+
+        enter(np.arange(n - 1), self.rank(sym[:-1], sym[1:]))
+        while ranks:
+            rank = heapq.heappop(ranks)
+            at = np.unique(np.concatenate(places.pop(rank)))
+            at = at[(sym[at] >= 0) & (nxt[at] < n)]
+            at = at[self.rank(sym[at], sym[nxt[at]]) == rank]
+            if not len(at):
                 continue
-            s[i], s[j], nxt[i] = rank, -1, nxt[j]
-            if nxt[i] < n:
-                prev[nxt[i]] = i
-                if (r := known.get(rank * self.size + s[nxt[i]])) is not None:
-                    heapq.heappush(heap, (r, i))
-            if prev[i] >= 0 and (r := known.get(s[prev[i]] * self.size + rank)) is not None:
-                heapq.heappush(heap, (r, prev[i]))
-        return np.array([x for x in s if x >= 0], np.int32)
-
+            # of neighbouring pairs every second one counts, from the left
+            fresh = np.append(True, nxt[at[:-1]] != at[1:])
+            nth = np.arange(len(at)) - np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
+            at = at[nth % 2 == 0]
+            gone = nxt[at]
+            sym[at], sym[gone] = rank, -1
+            nxt[at] = nxt[gone]
+            later = at[nxt[at] < n]
+            prev[nxt[later]] = later
+            before = prev[at[prev[at] >= 0]]
+            enter(later, self.rank(sym[later], sym[nxt[later]]))
+            enter(before, self.rank(sym[before], sym[nxt[before]]))
+        return sym[sym >= 0].astype(np.int32)
 
 @lru_cache(maxsize=4)
 def load(path: str) -> Merges:

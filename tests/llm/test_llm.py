@@ -170,7 +170,12 @@ def test_long_words(reference_ids):
     m = tokens.load(tokens.default_ranks())
     word = "".join(np.random.default_rng(1).choice(list("abcdeorst"), 6_000))
     assert m.encode([word.encode()])[0].tolist() == reference_ids(word)
-    assert m._heap(word[:500].encode()).tolist() == m.encode([word[:500].encode()])[0].tolist()
+    rnd = random.Random(5)
+    for letters in ("a", "ab", "aeth", "abcdeorst", "日本a"):
+        for n in (1, 2, 3, 7, 30, 500):
+            w = "".join(rnd.choice(letters) for _ in range(n)).encode()
+            assert m._linked(w).tolist() == m.encode([w])[0].tolist()
+    assert m._linked(b"a" * 300_000).tolist() == reference_ids("a" * 300_000)
 
 
 # ---- leaked passages
