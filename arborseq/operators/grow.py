@@ -97,12 +97,52 @@ def _reached(pair: np.ndarray, pos: np.ndarray, start: np.ndarray, gap: int, hop
     return rightwards(key, start) | rightwards(-key[::-1], start[::-1])[::-1]
 
 
-def rewrite(at: np.ndarray, codes: np.ndarray, weight: np.ndarray, chain_at: np.ndarray, chain: np.ndarray, gap: int, longest: int):
+def _components(part: np.ndarray, pos: np.ndarray, ids: np.ndarray, is_pivot: np.ndarray, pair: np.ndarray, chain_at: np.ndarray, chain: np.ndarray, gap: int) -> np.ndarray:
+    """Of each part the first part of its pair that it hangs together with: parts that share an id, or an ancestor of one, next to a pivot may share a pattern."""
+    wide = int(pos.max()) + gap + 3
+    key = part * wide + pos
+    pivots = np.concatenate([[-wide], key[is_pivot], [key[-1] + wide]])
+    close = np.minimum(pivots[np.searchsorted(pivots, key, "right")] - key, key - pivots[np.searchsorted(pivots, key, "left") - 1]) <= gap + 1
+    own, at = ids[close], part[close]
+    many = chain_at[own + 1] - chain_at[own]
+    up = chain[np.repeat(chain_at[own], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
+    group, at = np.repeat(pair[close], many) * len(chain_at) + up, np.repeat(at, many)
+    order = np.argsort(group, kind="stable")
+    group, at = group[order], at[order]
+    starts = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else np.zeros(0, np.int64)
+    label = np.arange(int(part[-1]) + 1)
+    while len(starts):
+        least = np.repeat(np.minimum.reduceat(label[at], starts), np.diff(np.append(starts, len(at))))
+        new = label.copy()
+        np.minimum.at(new, at, least)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    return label
+
+
+def _once(comp: np.ndarray, part: np.ndarray, ids: np.ndarray, skipped: np.ndarray) -> np.ndarray:
+    """Whether an entry's part has no equal one before it in its component."""
+    first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+    ends, own = np.append(first[1:], len(part)), comp[first]
+    several = np.bincount(own)[own] > 1
+    keep, seen = np.ones(len(first), bool), set()
+    for k in np.flatnonzero(several).tolist():
+        lo, hi = first[k], ends[k]
+        what = (int(own[k]), ids[lo:hi].tobytes(), skipped[lo + 1 : hi].tobytes())
+        keep[k] = what not in seen
+        seen.add(what)
+    return np.repeat(keep, ends - first)
+
+
+def rewrite(at: np.ndarray, codes: np.ndarray, weight: np.ndarray, chain_at: np.ndarray, chain: np.ndarray, gap: int, longest: int, apart: bool = False):
     """(pivots, offsets, ids, weights): each row as each of its frequent ids, the pivot, needs it.
 
     Every position has the first id of its chain that is at most the pivot, else a blank. Ids that cannot be reached from a pivot
     in under ``longest`` hops to one side, each over ``gap`` positions at most and onto an id, are blanks too; parts between runs of more than ``gap`` blanks are kept if they hold the pivot and two ids at least,
-    and are joined by the run -(gap + 1); other runs of n blanks are -n.
+    and are joined by the run -(gap + 1); other runs of n blanks are -n. apart: parts that cannot share a pattern with the others are records of
+    their own, and of equal parts of a record one is kept.
     """
     size = np.diff(at)
     row = np.repeat(np.arange(len(size)), size)
@@ -133,19 +173,26 @@ def rewrite(at: np.ndarray, codes: np.ndarray, weight: np.ndarray, chain_at: np.
     part = np.cumsum(new_pair | (skipped > gap)) - 1
     good = (np.bincount(part) >= 2) & (np.bincount(part, weights=is_pivot) > 0)
     keep = good[part]
-    pair, ids, skipped, part = pair[keep], ids[keep], skipped[keep], part[keep]
+    pair, pos, ids, skipped, part, is_pivot = pair[keep], pos[keep], ids[keep], skipped[keep], part[keep], is_pivot[keep]
     if not len(pair):
         return np.zeros(0, np.int64), np.zeros(1, np.int64), ids, weight[:0]
-    new_pair = np.append(True, pair[1:] != pair[:-1])
+    part = np.cumsum(np.append(True, part[1:] != part[:-1])) - 1
+    record = pair
+    if apart:
+        comp = _components(part, pos, ids, is_pivot, pair, chain_at, chain, gap)[part]
+        keep = _once(comp, part, ids, skipped)
+        order = np.flatnonzero(keep)[np.argsort(comp[keep], kind="stable")]
+        pair, ids, skipped, part, record = pair[order], ids[order], skipped[order], part[order], comp[order]
+    new_record = np.append(True, record[1:] != record[:-1])
     new_part = np.append(True, part[1:] != part[:-1])
-    run = np.where(new_pair, 0, np.where(new_part, gap + 1, skipped))
+    run = np.where(new_record, 0, np.where(new_part, gap + 1, skipped))
     width = 1 + (run > 0)
     out = np.zeros(int(width.sum()), np.int64)
     place = np.cumsum(width) - 1
     out[place] = ids
     out[place[run > 0] - 1] = -run[run > 0]
-    which = pair[new_pair]
-    offsets = np.append((np.cumsum(width) - width)[new_pair], len(out))
+    which = pair[new_record]
+    offsets = np.append((np.cumsum(width) - width)[new_record], len(out))
     return pivot[which], offsets, out, weight[r[which]]
 
 

@@ -1,9 +1,10 @@
-"""Frequent generalized subsequences: four strategies with one answer.
+"""Frequent generalized subsequences: five strategies with one answer.
 
 ``levelwise``    counts each level's candidates where the sequences lie; only (candidate, count) pairs are shuffled.
 ``joins``        grows tables of embeddings by equi and range joins, all in built-in operators.
 ``bfs``          joins the frequent patterns of a level with themselves on prefix and suffix, then their start positions.
 ``partitioned``  sends each sequence, rewritten for it, to each of its items as a pivot, adds up equal ones and mines each pivot apart.
+``segmented``    the same with the independent parts of a rewritten sequence as records of their own.
 """
 
 from __future__ import annotations
@@ -343,7 +344,7 @@ def pivot_partitions(rows: DataFrame, chains: Chains) -> DataFrame:
     return with_chains(rows, chains).select(F.explode(F.array_distinct(F.flatten("chains"))).alias("pivot"), "chains", "weight")
 
 
-def rewritten(rows: DataFrame, chains: Chains, max_gap: int, max_length: int) -> DataFrame:
+def rewritten(rows: DataFrame, chains: Chains, max_gap: int, max_length: int, apart: bool = False) -> DataFrame:
     """``pivot, seq, weight``: the sequences as their pivots need them (see grow.rewrite), equal ones added up."""
     sent = None if chains.here is None else rows.sparkSession.sparkContext.broadcast(chains.arrays())
 
@@ -358,7 +359,7 @@ def rewritten(rows: DataFrame, chains: Chains, max_gap: int, max_length: int) ->
                     names, codes, *tables = grow.own_tables(codes, part.column(2).flatten())
                 else:
                     names, tables = None, sent.value
-                pivot, at, ids, weight = grow.rewrite(at - at[0], codes, part.column(1).to_numpy(zero_copy_only=False), *tables, max_gap, max_length)
+                pivot, at, ids, weight = grow.rewrite(at - at[0], codes, part.column(1).to_numpy(zero_copy_only=False), *tables, max_gap, max_length, apart)
                 if names is not None:
                     pivot, ids = names[pivot], np.where(ids > 0, names[np.maximum(ids, 0)], ids)
                 seq = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32)))
@@ -368,14 +369,14 @@ def rewritten(rows: DataFrame, chains: Chains, max_gap: int, max_length: int) ->
     return rows.mapInArrow(run, "pivot int, seq array<int>, weight bigint").groupBy("pivot", "seq").agg(F.sum("weight").alias("weight"))
 
 
-def partitioned(prepared: Prepared, min_support: int, max_gap: int, max_length: int) -> DataFrame:
-    """``pattern_ids, frequency``, each pattern from the partition of its greatest id.
+def partitioned(prepared: Prepared, min_support: int, max_gap: int, max_length: int, apart: bool = False) -> DataFrame:
+    """``pattern_ids, frequency``, each pattern from the partition of its greatest id. apart: see grow.rewrite.
 
     A pivot of at most LIMITS.group rewritten sequences is mined by one task. The sequences of hotter pivots stay where they lie: their
     patterns are counted level by level, in part by each task, all such pivots at once.
     """
     rows, chains = prepared.reduced(min_support)
-    parts = cut(rewritten(rows, chains, max_gap, max_length))
+    parts = cut(rewritten(rows, chains, max_gap, max_length, apart))
     sizes = cut(parts.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w")).where(F.col("w") >= min_support))
     hot = sizes.where(F.col("n") > LIMITS.group).select("pivot")
     hot_too = not hot.isEmpty()
@@ -414,4 +415,9 @@ def partitioned(prepared: Prepared, min_support: int, max_gap: int, max_length:
     return out
 
 
-STRATEGIES = {"levelwise": levelwise, "joins": joins, "bfs": bfs, "partitioned": partitioned}
+def segmented(prepared: Prepared, min_support: int, max_gap: int, max_length: int) -> DataFrame:
+    """partitioned() with the parts of rewritten sequences apart, so that more of them are equal."""
+    return partitioned(prepared, min_support, max_gap, max_length, True)
+
+
+STRATEGIES = {"levelwise": levelwise, "joins": joins, "bfs": bfs, "partitioned": partitioned, "segmented": segmented}

@@ -97,6 +97,7 @@ def queries() -> dict[str, str]:
     out |= {
         "closure_joined": out["hierarchy_closure"], "flist_joined": out["flist_cf_df"], "dictionary_joined": out["dictionary"], "encode_joined": out["encode_sequences"],
         "decode_joined": out["decode_roundtrip"], "mine_partitioned_priority_levels": out["mine_priority_levels"],
+        "mine_segmented_events": out["mine_events"], "mine_segmented_table_sequences": out["mine_table_sequences"],
         "mine_partitioned_split_priority": out["mine_customer_priority"],
     }
     out |= {x: out["mine_order_suppliers"] for x in (

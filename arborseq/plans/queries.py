@@ -211,6 +211,7 @@ def queries() -> dict[str, Query]:
         "mine_levels_joined": _within(run_mine(s), patterns=1), "mine_partitioned_joined_lookups": _within(run_mine(s, "partitioned"), **joined),
         "mine_partitioned_split": _within(run_mine(s, "partitioned"), group=0),
         "mine_partitioned_split_priority": _within(run_mine(pri, "partitioned"), group=0),
+        "mine_segmented_events": run_mine(WORKLOADS["events"], "segmented"), "mine_segmented_table_sequences": run_mine(WORKLOADS["table_sequences"], "segmented"),
         "mine_partitioned_priority_levels": run_mine(lev, "partitioned"),
         "pattern_counters": _counters, "relevant_positions": _relevant,
         "blanks_roundtrip": _blanks(A.expand_blanks), "blanks_single": _blanks(A.single_blanks), "gap_split": _blanks(None, 1),

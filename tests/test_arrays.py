@@ -35,14 +35,15 @@ def mined(codes, at, weight, pivot, top, gap, longest):
     return sorted((tuple(p), n) for p, n in grow.mine_pivot(e, weight, pivot, top, 1, longest))
 
 
+@pytest.mark.parametrize("apart", [False, True])
 @pytest.mark.parametrize("seed", range(12))
-def test_rewriting_keeps_the_patterns_of_the_pivot(seed):
+def test_rewriting_keeps_the_patterns_of_the_pivot(seed, apart):
     rnd = np.random.default_rng(seed)
     top, gap, longest = 8, int(rnd.integers(0, 3)), int(rnd.integers(2, 5))
     size = rnd.integers(2, 14, 6)
     at = np.append(0, np.cumsum(size))
     codes, weight = rnd.integers(0, top, at[-1]) * (rnd.random(at[-1]) < 0.6), rnd.integers(1, 4, 6)
-    pivots, offsets, ids, weights = grow.rewrite(at, codes, weight, np.arange(top + 1), np.arange(top), gap, longest)
+    pivots, offsets, ids, weights = grow.rewrite(at, codes, weight, np.arange(top + 1), np.arange(top), gap, longest, apart)
     for pivot in range(1, top):
         own = np.flatnonzero(pivots == pivot)
         lists = pa.array([ids[offsets[k] : offsets[k + 1]].tolist() for k in own], pa.list_(pa.int64()))
@@ -57,3 +58,14 @@ def test_unreachable_ids_are_blanks():
     codes = np.array([1, 2, 3, 4, 5, 4, 3, 2, 1])
     _, offsets, ids, _ = grow.rewrite(np.array([0, 9]), codes, np.ones(1, np.int64), np.arange(7), np.arange(6), 0, 3)
     assert ids[offsets[-2] :].tolist() == [3, 4, 5, 4, 3]
+
+
+def test_parts_that_share_nothing_are_apart():
+    one = np.arange(8)
+    codes = np.array([1, 5, 0, 2, 5, 0, 1, 5, 0, 3, 5, 4])
+    _, offsets, ids, weight = grow.rewrite(np.array([0, 12]), codes, np.array([3]), np.arange(9), one, 0, 3, True)
+    own = [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])]
+    assert [x for x in own if 5 in x] == [[1, 5], [2, 5], [3, 5, 4]] and set(weight) == {3}
+    chain_at, chain = np.array([0, 0, 1, 3, 4, 5, 6, 7]), np.array([1, 2, 1, 3, 4, 5, 6])  # 1 is above 2: [1, 5] and [2, 5] share a pattern
+    _, offsets, ids, _ = grow.rewrite(np.array([0, 12]), codes, np.array([3]), chain_at, chain, 0, 3, True)
+    assert [x for x in (ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])) if 5 in x] == [[1, 5, -1, 2, 5], [3, 5, 4]]
