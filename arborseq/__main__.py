@@ -6,7 +6,7 @@ import argparse
 
 from pyspark.sql import SparkSession
 
-from arborseq.common import ship
+from arborseq.common import scratch, ship
 from arborseq.operators.mining import STRATEGIES
 from arborseq.plans import api
 from arborseq.sources import store, text
@@ -51,7 +51,8 @@ def run(spark: SparkSession, argv: list[str] | None = None) -> None:
 def main() -> None:
     spark = SparkSession.builder.appName("arborseq").getOrCreate()
     ship(spark)
-    run(spark)
+    with scratch():
+        run(spark)
 
 
 if __name__ == "__main__":

@@ -86,8 +86,8 @@ def shared_dir(spark: SparkSession) -> str:
 _written: list[tuple[SparkSession, str]] = []
 
 
-def _remove_written() -> None:
-    for spark, path in _written:
+def _remove(written: list[tuple[SparkSession, str]]) -> None:
+    for spark, path in written:
         try:
             hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
             hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
@@ -95,11 +95,25 @@ def _remove_written() -> None:
             return
 
 
+@contextmanager
+def scratch():
+    """The tables that plans write to the shared folder meanwhile are removed at the end; results must have been written or fetched by then."""
+    n = len(_written)
+    try:
+        yield
+    finally:
+        _remove(_written[n:])
+        del _written[n:]
+
+
 def own_path(spark: SparkSession) -> str:
-    """A path in the shared folder that is removed at the end of the driver's process."""
-    if not _written:
-        atexit.register(_remove_written)
-    path = f"{shared_dir(spark)}/arborseq-{uuid.uuid4().hex}"
+    """A path in the shared folder, below one folder of the application, that is removed at the end of scratch() or of the driver's process."""
+    folder = f"{shared_dir(spark)}/arborseq-{spark.sparkContext.applicationId}"
+    if not any(path == folder for _, path in _written):
+        if not _written:
+            atexit.register(_remove, _written)
+        _written.insert(0, (spark, folder))
+    path = f"{folder}/{uuid.uuid4().hex}"
     _written.append((spark, path))
     return path
 

@@ -62,3 +62,15 @@ def test_dictionary_text(spark, files):
     found = api.mine(seqs, None, 1, 0, 2)
     store.write_patterns(found, str(files / "pq"))
     assert spark.read.parquet(str(files / "pq")).count() == found.count()
+
+
+def test_scratch_tables_go(spark):
+    from arborseq.common import cut, scratch, shared_dir
+
+    here = Path(shared_dir(spark).removeprefix("file:")) / f"arborseq-{spark.sparkContext.applicationId}"
+    kept = cut(spark.range(3))
+    before = len(list(here.iterdir()))
+    with scratch():
+        assert cut(spark.range(5)).count() == 5
+        assert len(list(here.iterdir())) == before + 1
+    assert len(list(here.iterdir())) == before and kept.count() == 3
