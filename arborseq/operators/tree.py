@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,8 +29,11 @@ HOT_SHARE = 4
 #: Names in the paths of one batch.
 NAMES = 1_000_000
 
-_FRAG = "place int, node string, up string, frag array<string>, weight bigint, exit string, chain array<string>, loop boolean, hangs bigint"
-_SOLVED = "node string, path array<string>, loop boolean, total bigint"
+#: Names of a chain or path are one string, as lists of strings are slow on the way to Python: _SEP between names, _MARK in names as _KEPT.
+_MARK, _SEP, _KEPT = "\x01", "\x01\x02", "\x01\x03"
+
+_FRAG = "place int, node string, up string, frag string, weight bigint, exit string, chain string, loop boolean, hangs bigint"
+_SOLVED = "node string, path string, depth int, loop boolean, total bigint"
 
 
 def holding_rows(hierarchy: DataFrame, item: str = "item", parent: str = "parent", line_no: str = "line_no") -> DataFrame:
@@ -39,6 +43,10 @@ def holding_rows(hierarchy: DataFrame, item: str = "item", parent: str = "parent
     return rows.groupBy("item").agg(best.alias("best")).select("item", F.col("best.parent").alias("parent"))
 
 
+def _escaped(names: pa.Array) -> pa.Array:
+    return pc.replace_substring(names.cast(pa.string()), _MARK, _KEPT)
+
+
 class _Forest:
     """The rows ``node, up, frag, weight`` of one task, by index; parent: -1 where the parent's row lies elsewhere."""
 
@@ -58,9 +66,10 @@ class _Forest:
         self.loop = self.parent[top] >= 0
         frag = t.column("frag").combine_chunks()
         if frag.null_count:  # a null one is the node alone; so are all of the first round, and none later
-            self.size, self.names = np.ones(n, np.int64), t.column("node").combine_chunks()
+            self.size, self.names = np.ones(n, np.int64), _escaped(t.column("node").combine_chunks())
         else:
-            self.size, self.names = np.diff(np.asarray(frag.offsets)).astype(np.int64) if n else np.zeros(0, np.int64), frag.flatten()
+            lists = pc.split_pattern(frag.cast(pa.string()), _SEP)
+            self.size, self.names = np.diff(np.asarray(lists.offsets)).astype(np.int64) if n else np.zeros(0, np.int64), lists.flatten()
         self.start = np.cumsum(self.size) - self.size
 
     def summed(self, own: np.ndarray) -> np.ndarray:
@@ -71,8 +80,8 @@ class _Forest:
                 total[parent[i]] += total[i]
         return np.array(total, np.int64)
 
-    def paths(self, prefix_at: np.ndarray, prefix_size: np.ndarray, names: pa.Array, rows: np.ndarray) -> pa.Array:
-        """Lists of names of these rows: the prefix of the chain's top (a range of names), then the frags down to the row (ranges of names too)."""
+    def paths(self, prefix_at: np.ndarray, prefix_size: np.ndarray, names: pa.Array, rows: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+        """(packed names, their number) of these rows: the prefix of the chain's top (a range of names), then the frags down to the row (ranges of names too)."""
         length = np.where(self.loop[rows], 0, self._lengths(prefix_size)[rows])
         ends = np.cumsum(length)
         index = np.zeros(int(ends[-1]) if len(ends) else 0, np.int64)
@@ -90,7 +99,8 @@ class _Forest:
             done = self.parent[at] < 0
             put(prefix_at[at[done]], prefix_size[at[done]], stop[done])
             at, stop = self.parent[at[~done]], stop[~done]
-        return pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), names.take(pa.array(index)))
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), names.take(pa.array(index)))
+        return pc.binary_join(lists, _SEP), length
 
     def _lengths(self, prefix_size: np.ndarray) -> np.ndarray:
         length = self.size + np.where(self.parent < 0, prefix_size, 0)
@@ -122,8 +132,7 @@ def _fragments(batches):
     is_top = (f.parent < 0) & ~f.loop
     for rows in f.batches(none, none):
         own = t.take(pa.array(rows))
-        chains = f.paths(none, none, f.names, rows)
-        chains = pa.ListArray.from_arrays(chains.offsets, chains.values, mask=pa.array((f.steps[rows] == 0) | f.loop[rows]))
+        chains = pc.if_else(pa.array((f.steps[rows] == 0) | f.loop[rows]), None, f.paths(none, none, f.names, rows)[0])
         yield pa.RecordBatch.from_arrays([
             *(own.column(c).combine_chunks() for c in ("place", "node", "up", "frag", "weight")),
             pa.array([None if f.loop[i] else f.up[f.top[i]] for i in rows], pa.string()), chains,
@@ -145,12 +154,12 @@ def _expanded(batches):
     weight = rows.column("weight").to_numpy() + np.array([hangs.get(x, 0) for x in f.node], np.int64)
     exits = {x: i for i, x in enumerate(above.column("node").to_pylist())}
     loops = above.column("loop").to_pylist()
-    lists = above.column("frag").combine_chunks()
+    lists = pc.split_pattern(pc.fill_null(above.column("frag").combine_chunks().cast(pa.string()), ""), _SEP)
     at = np.asarray(lists.offsets).astype(np.int64) if len(exits) else np.zeros(1, np.int64)
     # names: those of the rows, of the exits' paths, and the ups that have no row anywhere
     ups = rows.column("up").combine_chunks().cast(pa.string())
     own, paths = len(f.names), len(lists.flatten())
-    names = pa.concat_arrays([x.cast(pa.string()) for x in (f.names, lists.flatten(), ups)])
+    names = pa.concat_arrays([f.names, lists.flatten(), _escaped(ups)])
     prefix_at, prefix_size = np.zeros(len(f.node), np.int64), np.zeros(len(f.node), np.int64)
     bad = np.zeros(len(f.node), bool)
     for i in np.flatnonzero((f.parent < 0) & ~f.loop).tolist():
@@ -164,7 +173,9 @@ def _expanded(batches):
     total = f.summed(weight)
     for r in f.batches(prefix_at, prefix_size):
         node = rows.column("node").combine_chunks().take(pa.array(r))
-        yield pa.RecordBatch.from_arrays([node, f.paths(prefix_at, prefix_size, names, r), pa.array(f.loop[r]), pa.array(total[r])], ["node", "path", "loop", "total"])
+        path, n = f.paths(prefix_at, prefix_size, names, r)
+        columns = [node, path, pa.array((n - 1).astype(np.int32)), pa.array(f.loop[r]), pa.array(total[r])]
+        yield pa.RecordBatch.from_arrays(columns, ["node", "path", "depth", "loop", "total"])
 
 
 def _kinds(rows: DataFrame, kind: int, loop=None) -> DataFrame:
@@ -172,9 +183,9 @@ def _kinds(rows: DataFrame, kind: int, loop=None) -> DataFrame:
 
 
 def _solve(rows: DataFrame, n: int, round_no: int, one_task: int, per_task: int) -> DataFrame:
-    """``node, path, loop, total`` of rows ``node, up, frag, weight`` (frag: the names below up, down to the node; null: the node alone); path is empty on a loop.
+    """``node, path, depth, loop, total`` of rows ``node, up, frag, weight`` (frag: the names below up, down to the node; null: the node alone).
 
-    total: the weights of the node and of all below it.
+    Path and frag are packed; the path is empty and the depth -1 on a loop. total: the weights of the node and of all below it.
     """
     if n <= one_task:
         return _kinds(rows.withColumn("place", F.lit(0)), 0).coalesce(1).mapInArrow(_expanded, _SOLVED)
@@ -191,17 +202,24 @@ def _solve(rows: DataFrame, n: int, round_no: int, one_task: int, per_task: int)
     exits = frags.where(F.col("exit").isNotNull()).groupBy(F.col("exit").alias("node")).agg(F.sum("hangs").alias("hangs"))
     up = F.when(F.col("loop"), F.col("node")).otherwise(F.col("exit"))  # a node that leads into a loop stays one
     own = frags.select("place", "node", up.alias("up"), F.coalesce("chain", "frag").alias("frag"))
-    smaller = cut(own.join(exits, "node").select("place", "node", "up", F.coalesce("frag", F.array("node")).alias("frag"), F.col("hangs").alias("weight")))
+    smaller = cut(own.join(exits, "node").select("place", "node", "up", F.coalesce("frag", F.replace("node", F.lit(_MARK), F.lit(_KEPT))).alias("frag"), F.col("hangs").alias("weight")))
     above = cut(_solve(smaller.drop("place"), smaller.count(), round_no + 1, one_task, per_task))
     below = smaller.select("place", "node").join(above.select("node", F.col("total").alias("weight")), "node")
-    none = F.array().cast("array<string>")
     text = F.lit(None).cast("string")
     asked = frags.where((F.col("hangs") > 0) & F.col("exit").isNotNull()).select("place", F.col("exit").alias("node")).distinct()
     ends = asked.join(above.select("node", F.col("path").alias("frag"), "loop"), "node").withColumn("up", text).withColumn("weight", F.lit(0).cast("bigint"))
-    all_rows = _kinds(frags, 0).unionByName(_kinds(below.withColumn("up", text).withColumn("frag", none), 1)).unionByName(_kinds(ends, 2, F.col("loop")))
+    all_rows = _kinds(frags, 0).unionByName(_kinds(below.withColumn("up", text).withColumn("frag", text), 1)).unionByName(_kinds(ends, 2, F.col("loop")))
     return all_rows.repartitionById(parts, F.col("place")).mapInArrow(_expanded, _SOLVED)
 
 
+def _full(edges: DataFrame, item: str, parent: str, one_task: int, per_task: int) -> DataFrame:
+    """``item, path, depth, loop, n_descendants`` with packed paths."""
+    nodes = pick(edges, node=item, up=parent).where(F.col("node").isNotNull())
+    nodes = cut(nodes.select("node", "up", F.lit(None).cast("string").alias("frag"), F.lit(1).cast("bigint").alias("weight")))
+    below = F.when(F.col("loop"), F.lit(-1)).otherwise(F.col("total") - 1).cast("bigint")
+    return _solve(nodes, nodes.count(), 0, one_task, per_task).select(F.col("node").alias("item"), "path", "depth", "loop", below.alias("n_descendants"))
+
+
 def full_hierarchy(edges: DataFrame, item: str = "item", parent: str = "parent", one_task: int = ONE_TASK, per_task: int = PER_TASK) -> DataFrame:
     """``item, path, depth, loop, n_descendants`` for each non-null item of edges (one parent per item).
 
@@ -209,18 +227,14 @@ def full_hierarchy(edges: DataFrame, item: str = "item", parent: str = "parent",
     path: array of nodes from the root to the item. Items on a loop or leading into one: loop true, an empty path, depth and
     n_descendants -1. n_descendants: items, itself excluded, whose path holds the item. An empty table gives no rows.
     """
-    nodes = pick(edges, node=item, up=parent).where(F.col("node").isNotNull())
-    nodes = cut(nodes.select("node", "up", F.lit(None).cast("array<string>").alias("frag"), F.lit(1).cast("bigint").alias("weight")))
-    minus = F.lit(-1)
-    return _solve(nodes, nodes.count(), 0, one_task, per_task).select(
-        F.col("node").alias("item"), "path", F.when(F.col("loop"), minus).otherwise(F.size("path") - 1).alias("depth"), "loop",
-        F.when(F.col("loop"), minus).otherwise(F.col("total") - 1).cast("bigint").alias("n_descendants"),
-    )
-
-
-def as_text(full: DataFrame, mark: str = ">") -> DataFrame:
-    """``item, root, depth, full_path, n_descendants``; root and full_path are '' on a loop."""
-    return full.select(
-        "item", F.when(F.col("loop"), F.lit("")).otherwise(F.try_element_at("path", F.lit(1))).alias("root"),
-        F.col("depth").cast("int"), F.concat_ws(mark, "path").alias("full_path"), "n_descendants",
-    )
+    names = F.transform(F.split("path", _SEP), lambda x: F.replace(x, F.lit(_KEPT), F.lit(_MARK)))
+    path = F.when(F.col("loop"), F.array().cast("array<string>")).otherwise(names)
+    return _full(edges, item, parent, one_task, per_task).withColumn("path", path)
+
+
+def hierarchy_text(edges: DataFrame, item: str = "item", parent: str = "parent", mark: str = ">", one_task: int = ONE_TASK, per_task: int = PER_TASK) -> DataFrame:
+    """``item, root, depth, full_path, n_descendants`` of full_hierarchy, the nodes of a path joined by mark; root and full_path are '' on a loop."""
+    plain = lambda c: F.replace(c, F.lit(_KEPT), F.lit(_MARK))
+    return _full(edges, item, parent, one_task, per_task).select(
+        "item", plain(F.substring_index("path", _SEP, 1)).alias("root"), "depth", plain(F.replace("path", F.lit(_SEP), F.lit(mark))).alias("full_path"), "n_descendants"
+    )

@@ -13,7 +13,7 @@ from arborseq.operators import mining
 from arborseq.operators.dictionary import decode, encode_rows, flist, frequent_items, redundant_ancestors
 from arborseq.operators.hierarchy import Taxonomy
 from arborseq.operators.skew import key_figures
-from arborseq.operators.tree import as_text, full_hierarchy, holding_rows
+from arborseq.operators.tree import hierarchy_text, holding_rows
 from arborseq.plans import api, storage
 from arborseq.plans.workloads import WORKLOADS, Workload, table
 from arborseq.sources import records
@@ -197,8 +197,8 @@ def queries() -> dict[str, Query]:
         "sequences_loaded": lambda spark, d: records.valid_sequences(records.parse_lines(table(spark, d, "raw_sequences"), records.SEQUENCES)),
         "hierarchy_loaded": lambda spark, d: records.valid_hierarchy(records.parse_lines(table(spark, d, "raw_hierarchy"), records.HIERARCHY)),
         "p3_found": _p3, "p3_recovered": _recovered,
-        "p6_found": lambda spark, d: as_text(full_hierarchy(holding_rows(table(spark, d, "hierarchy")))),
-        "p6_contracted": lambda spark, d: as_text(full_hierarchy(holding_rows(table(spark, d, "hierarchy")), one_task=50, per_task=300)),
+        "p6_found": lambda spark, d: hierarchy_text(holding_rows(table(spark, d, "hierarchy"))),
+        "p6_contracted": lambda spark, d: hierarchy_text(holding_rows(table(spark, d, "hierarchy")), one_task=50, per_task=300),
         "p7_found": lambda spark, d: key_figures(table(spark, d, "sequence_items"), table(spark, d, "hierarchy")),
     }
     pri, lev = WORKLOADS["customer_priority"], WORKLOADS["priority_levels"]

@@ -3,7 +3,7 @@ from collections import Counter
 
 import pytest
 
-from arborseq.operators.tree import as_text, full_hierarchy, holding_rows
+from arborseq.operators.tree import full_hierarchy, hierarchy_text, holding_rows
 
 
 def brute(up):
@@ -25,7 +25,10 @@ def brute(up):
 
 def run(spark, up, **how):
     df = spark.createDataFrame(list(up.items()), "item string, parent string")
-    return {tuple(r) for r in as_text(full_hierarchy(df, **how)).select("item", "root", "depth", "full_path", "n_descendants").collect()}
+    got = {tuple(r) for r in hierarchy_text(df, **how).select("item", "root", "depth", "full_path", "n_descendants").collect()}
+    lists = {(r.item, (r.path or [""])[0], r.depth, ">".join(r.path), r.n_descendants) for r in full_hierarchy(df, **how).collect()}
+    assert lists == got
+    return got
 
 
 @pytest.mark.parametrize("seed", range(3))
@@ -49,6 +52,8 @@ def test_hot_parent(spark):
 def test_edges(spark):
     assert run(spark, {"a": "a"}) == {("a", "", -1, "", -1)}
     assert run(spark, {"a": None}) == {("a", "a", 0, "a", 0)}
+    odd = {"a\x01": None, "a\x01\x02b": "a\x01", "\x01\x03": "a\x01\x02b", "": "\x01\x03", "c": "", "d": "\x01"}
+    assert run(spark, odd) == brute(odd) == run(spark, odd, one_task=1, per_task=2)
     assert run(spark, {"a": "gone"}) == {("a", "gone", 1, "gone>a", 0)}
     assert full_hierarchy(spark.createDataFrame([], "item string, parent string")).count() == 0
 
