@@ -18,9 +18,24 @@ from arborseq.operators.dictionary import ranked
 LOOKUP = 500_000
 
 
+def packed(at: np.ndarray, values: np.ndarray) -> pa.Array:
+    """Lists of numbers, as binary values: lists are slow on the way between Spark and Python."""
+    ends = (at * values.dtype.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(np.ascontiguousarray(values).tobytes())])
+
+
+def unpacked(column: pa.Array, dtype) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, numbers) of packed lists."""
+    _, ends, data = column.buffers()
+    if not len(column) or data is None:
+        return np.zeros(len(column) + 1, np.int64), np.zeros(0, dtype)
+    ends = np.frombuffer(ends, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return (ends - ends[0]) // np.dtype(dtype).itemsize, np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].view(dtype)
+
+
 @dataclass
 class Encoded:
-    """rows: ``seq_id, codes, multi``, distinct; codes: tid, 0 for any other item or null. multi: another row has the same
+    """rows: ``seq_id, codes, multi``, distinct; codes: packed 32-bit tids, 0 for any other item or null. multi: another row has the same
     seq_id. n: distinct seq_id. ids: ``tid, item``, 1 to n_items in code point order."""
 
     rows: DataFrame
@@ -75,10 +90,10 @@ def _looked_up(seqs: DataFrame, words: list[str], ordered: bool) -> DataFrame:
         for b in batches:
             at = np.asarray(b.column(1).offsets)
             good, size, code = _shaped(lookup(b.column(1).flatten()) + 1, at - at[0], ordered)
-            codes = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), pa.array(code))
+            codes = packed(np.append(0, np.cumsum(size)), code)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(good)), codes], ["seq_id", "codes"])
 
-    return seqs.mapInArrow(run, "seq_id bigint, codes array<int>")
+    return seqs.mapInArrow(run, "seq_id bigint, codes binary")
 
 
 def _joined(seqs: DataFrame, ids: DataFrame, ordered: bool) -> DataFrame:
@@ -99,10 +114,10 @@ def _joined(seqs: DataFrame, ids: DataFrame, ordered: bool) -> DataFrame:
             flat = np.zeros(start[-1], np.int64)
             flat[start[row] + pos] = tid
             good, size, code = _shaped(flat, start, ordered)
-            codes = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), pa.array(code))
+            codes = packed(np.append(0, np.cumsum(size)), code)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(good)), codes], ["seq_id", "codes"])
 
-    return found.select("seq_id", "x").mapInArrow(run, "seq_id bigint, codes array<int>")
+    return found.select("seq_id", "x").mapInArrow(run, "seq_id bigint, codes binary")
 
 
 def encode(seqs: DataFrame, least: int, ordered: bool, n: int) -> Encoded:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from arborseq.common import cut, maybe_broadcast, width
 from arborseq.functions.sets import run_lengths
-from arborseq.llm.baskets import clean, encode, n_sequences
+from arborseq.llm.baskets import clean, encode, n_sequences, packed, unpacked
 
 #: Pair codes that a task sorts into one run.
 RUN = 4_000_000
@@ -23,9 +23,9 @@ _RUN = pa.schema([("code", pa.int64()), ("n", pa.int64())])
 
 
 def _pairs_of(codes: np.ndarray, stop: np.ndarray):
-    """Packed pairs (codes[i], codes[j]) for i < j < stop[i], in steps of bounded size."""
+    """Packed pairs (codes[i], codes[j]) for i <= j < stop[i], in steps of bounded size; an item with itself counts the item."""
     place = np.arange(len(codes))
-    many = stop - place - 1
+    many = stop - place
     total = np.cumsum(many)
     lo = 0
     while lo < len(codes):
@@ -33,7 +33,7 @@ def _pairs_of(codes: np.ndarray, stop: np.ndarray):
         hi = max(lo + 1, int(np.searchsorted(total, base + RUN, "right")))
         m = many[lo:hi]
         left = np.repeat(place[lo:hi], m)
-        right = left + 1 + np.arange(len(left)) - np.repeat(total[lo:hi] - m - base, m)
+        right = left + np.arange(len(left)) - np.repeat(total[lo:hi] - m - base, m)
         yield (codes[left].astype(np.int64) << 32) | codes[right]
         lo = hi
 
@@ -48,10 +48,8 @@ def _runs(batches):
 
     parts, held = [], 0
     for b in batches:
-        lists = b.column(0)
-        at = np.asarray(lists.offsets).astype(np.int64)
-        codes = lists.flatten().to_numpy(zero_copy_only=False)
-        for x in _pairs_of(codes, np.repeat(at[1:] - at[0], np.diff(at))):
+        at, codes = unpacked(b.column(0), np.int32)
+        for x in _pairs_of(codes, np.repeat(at[1:], np.diff(at))):
             parts.append(x)
             held += len(x)
             if held >= RUN:
@@ -81,8 +79,22 @@ def _run_lengths(batches):
         yield pa.RecordBatch.from_arrays([pa.array([code]), pa.array([count])], schema=_RUN)
 
 
+def _told_apart(batches):
+    """``seq_id, c`` for each code."""
+    for b in batches:
+        at, codes = unpacked(b.column(1), np.int32)
+        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.repeat(np.arange(b.num_rows), np.diff(at)))), pa.array(codes)], ["seq_id", "c"])
+
+
+def _packed_lists(batches):
+    for b in batches:
+        lists = b.column(0)
+        at = np.asarray(lists.offsets).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([packed(at - at[0], lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32))], ["codes"])
+
+
 def _sorted_counts(baskets: DataFrame) -> DataFrame:
-    """``code, n_ab`` from rows ``codes`` (sorted, distinct)."""
+    """``code, n_ab`` from rows ``codes`` (packed, sorted, distinct)."""
     runs = baskets.mapInArrow(_runs, "code bigint, n bigint")
     merged = runs.repartition(width(runs.sparkSession), "code").sortWithinPartitions("code")
     return merged.mapInArrow(_run_lengths, "code bigint, n_ab bigint")
@@ -101,12 +113,14 @@ def items_together(sequences: DataFrame, least: int = 8, per_n: int | None = 500
     rows = enc.rows.where(~F.col("multi")).select("codes")
     several = enc.rows.where("multi")
     if not several.isEmpty():
-        several = several.select("seq_id", F.explode("codes").alias("c")).groupBy("seq_id").agg(F.sort_array(F.collect_set("c")).alias("codes"))
-        rows = cut(rows.unionByName(several.select("codes")))
-    n_item = rows.select(F.explode("codes").alias("tid")).groupBy("tid").agg(F.count(F.lit(1)).alias("n_item"))
+        several = several.select("seq_id", "codes").mapInArrow(_told_apart, "seq_id bigint, c int")
+        several = several.groupBy("seq_id").agg(F.sort_array(F.collect_set("c")).alias("codes")).select("codes")
+        rows = rows.unionByName(several.mapInArrow(_packed_lists, "codes binary"))
+    a, b = F.shiftright("code", 32).cast("int"), F.col("code").bitwiseAND(0xFFFFFFFF).cast("int")
+    counts = cut(_sorted_counts(rows).where(F.col("n_ab") >= least).select(a.alias("a"), b.alias("b"), "n_ab"))
+    n_item = counts.where("a = b").select(F.col("a").alias("tid"), F.col("n_ab").alias("n_item"))
     items = maybe_broadcast(cut(n_item.join(enc.ids, "tid").select("tid", "item", "n_item")))
-    pairs = _sorted_counts(rows).where(F.col("n_ab") >= least)
-    pairs = pairs.select(F.shiftright("code", 32).cast("int").alias("a"), F.col("code").bitwiseAND(0xFFFFFFFF).cast("int").alias("b"), "n_ab")
+    pairs = counts.where("a < b")
     named = pairs.join(items.toDF("a", "item_a", "n_a"), "a").join(items.toDF("b", "item_b", "n_b"), "b")
     return _with_odds(named.select("item_a", "item_b", "n_ab", "n_a", "n_b"), n)
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from arborseq.common import cut
 from arborseq.functions.sets import distinct, run_lengths, summed
-from arborseq.llm.baskets import Encoded, clean, encode, n_sequences
+from arborseq.llm.baskets import Encoded, clean, encode, n_sequences, packed, unpacked
 from arborseq.operators.dictionary import decode, ranked
 
 #: Patterns of one level that the driver and the workers may hold; more are joined.
@@ -108,13 +108,11 @@ class _Grown:
     """The embeddings of a batch of rows ``seq_id, codes, multi[, pids, ends]``: of single items, or those kept."""
 
     def __init__(self, rb: pa.RecordBatch, n_items: int, gap: int | None):
-        at = np.asarray(rb.column("codes").offsets).astype(np.int64)
-        self.b = b = _Batch(at - at[0], rb.column("codes").flatten().to_numpy(zero_copy_only=False), n_items, gap)
+        self.b = b = _Batch(*unpacked(rb.column("codes"), np.int32), n_items, gap)
         self.n_items = n_items
         if "pids" in rb.schema.names:
-            at = np.asarray(rb.column("pids").offsets)
-            self.row = np.repeat(np.arange(rb.num_rows), np.diff(at))
-            self.pid, self.end = (rb.column(c).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("pids", "ends"))
+            at, self.pid = unpacked(rb.column("pids"), np.int64)
+            self.row, self.end = np.repeat(np.arange(rb.num_rows), np.diff(at)), unpacked(rb.column("ends"), np.int32)[1].astype(np.int64)
         else:
             self.row, self.pid, self.end = b.row, b.item, b.pos
 
@@ -133,14 +131,16 @@ class _Grown:
         self.row, self.pid = np.divmod(key, size)
 
 
-def _lists(row: np.ndarray, n: int, *values: np.ndarray) -> tuple[pa.Array, list[pa.Array]]:
-    """(rows with any, lists of the values of these)."""
-    size = np.bincount(row, minlength=n)
-    at = pa.array(np.append(0, np.cumsum(size[size > 0])).astype(np.int32))
-    return pa.array(size > 0), [pa.ListArray.from_arrays(at, pa.array(v)) for v in values]
+_STATE = "seq_id bigint, codes binary, multi boolean, pids binary, ends binary"
 
 
-_STATE = "seq_id bigint, codes array<int>, multi boolean, pids array<bigint>, ends array<int>"
+def _with_lists(batches):
+    """Rows ``seq_id, codes, multi, x`` with x, a list of (pid, end), packed."""
+    for b in batches:
+        at = np.asarray(b.column(3).offsets).astype(np.int64)
+        pid, end = (b.column(3).flatten().field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+        lists = [packed(at - at[0], pid.astype(np.int64)), packed(at - at[0], end.astype(np.int32))]
+        yield pa.RecordBatch.from_arrays([*b.columns[:3], *lists], ["seq_id", "codes", "multi", "pids", "ends"])
 
 
 def _state(levels, n_items: int, gap: int | None):
@@ -151,9 +151,10 @@ def _state(levels, n_items: int, gap: int | None):
             g = _Grown(rb, n_items, gap)
             for known in levels.value:
                 g.advance(known)
-            has, (pids, ends) = _lists(g.row, rb.num_rows, g.pid, g.end.astype(np.int32))
-            rows = rb.select(["seq_id", "codes", "multi"]).filter(has)
-            yield pa.RecordBatch.from_arrays([*rows.columns, pids, ends], ["seq_id", "codes", "multi", "pids", "ends"])
+            size = np.bincount(g.row, minlength=rb.num_rows)
+            rows, at = rb.select(["seq_id", "codes", "multi"]).filter(pa.array(size > 0)), np.append(0, np.cumsum(size[size > 0]))
+            lists = [packed(at, g.pid), packed(at, g.end.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([*rows.columns, *lists], ["seq_id", "codes", "multi", "pids", "ends"])
 
     return run
 
@@ -240,7 +241,7 @@ class _Levels:
         self.enc, self.least, self.gap, self.held = enc, least, gap, held
         self.spark, self.m = enc.rows.sparkSession, enc.n_items
         self.rows, self.since = enc.rows, []
-        self.elements, self.multi = enc.rows.agg(F.coalesce(F.sum(F.size("codes")), F.lit(0)), F.coalesce(F.max("multi"), F.lit(False))).first()
+        self.elements, self.multi = enc.rows.agg(F.coalesce(F.sum(F.octet_length("codes") / 4), F.lit(0)), F.coalesce(F.max("multi"), F.lit(False))).first()
         #: the newest level by pid: tids of each pattern here, or ``pid, ids`` as a table; codes of the frequent pairs, if held
         self.ids: np.ndarray | None = np.arange(1, self.m + 1)[:, None] if self.m <= held else None
         self.table: DataFrame | None = None if self.m <= held else enc.ids.select((F.col("tid") - 1).cast("bigint").alias("pid"), F.array("tid").alias("ids"))
@@ -299,7 +300,7 @@ class _Levels:
         grown = rows.mapInArrow(_extended(self.m, self.gap), "row bigint, code bigint, end int").distinct()
         own = grown.join(level, "code").groupBy("row").agg(F.collect_list(F.struct("pid", "end")).alias("x"))
         kept = rows.select("row", "seq_id", "codes", "multi").join(own, "row")
-        self.rows = cut(kept.select("seq_id", "codes", "multi", F.col("x.pid").alias("pids"), F.col("x.end").alias("ends")))
+        self.rows = cut(kept.select("seq_id", "codes", "multi", "x").mapInArrow(_with_lists, _STATE))
         self.since = []
 
 
