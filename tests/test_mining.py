@@ -1,7 +1,9 @@
 import random
+import tracemalloc
 from collections import Counter
 
 import pytest
+from pyspark.sql import DataFrame
 
 from arborseq.common import limits
 from arborseq.operators import mining
@@ -120,6 +122,34 @@ def test_held_limit(example):
         assert as_dict(api.decode(mining.levelwise(example, 2, 1, 3), example.dictionary)) == GOLDEN
 
 
+def test_chains_of_many_ids(spark):
+    """The driver holds a few bytes of each id, not Python objects."""
+    ids = spark.range(1, 200_001).selectExpr(
+        "concat('i', id) AS item", "1L AS cf", "if(id <= 3, 9L, 1L) AS df", "int(id) AS tid", "int(if(id <= 3, id - 1, id % 3 + 1)) AS parent_tid", "false AS redundant")
+    prepared = mining.Prepared(spark.createDataFrame([([5, 7], 1)], "tids array<int>, weight bigint"), ids)
+    tracemalloc.start()
+    try:
+        rows, chains = prepared.reduced(5)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 20 << 20
+    assert [r.codes for r in rows.collect()] == [[3, 2]]
+    assert {r.tid: r.chain for r in chains.table.collect()} == {1: [1], 2: [2, 1], 3: [3, 2, 1]}
+
+
+@pytest.mark.parametrize("rows", [0, 5, 1000])
+def test_few_frequent_of_many_ids(spark, rows):
+    """Lookups of all ids by joins, of the five frequent ones in the workers."""
+    with limits(rows=rows, hierarchy=0):
+        prepared = api.encode(*tables(spark, [(s.split(), 1) for s in SEQUENCES], TREE))
+        chains = prepared.chains(2)
+        assert (chains.here is not None, isinstance(chains.lift, DataFrame)) == (rows > 0, rows < 1000)
+        assert as_dict(api.mine_encoded(prepared, 2, 1, 3)) == GOLDEN
+        two = decode(mining.two_sequences(prepared, 2, 1), prepared.frequent(2))
+        assert as_dict(two.select("pattern", "frequency")) == {p: n for p, n in GOLDEN.items() if p.count(" ") == 1}
+
+
 def test_level_counters(example):
     got = [tuple(r) for r in mining.level_counters(example, 2, 1, 3).orderBy("length").collect()]
     assert {a: c for a, _, c in got} == Counter(len(p.split()) for p in GOLDEN) and all(b >= c for _, b, c in got)
