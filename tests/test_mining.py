@@ -2,10 +2,13 @@ import random
 import tracemalloc
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import DataFrame
 
 from arborseq.common import limits
+from arborseq.functions import lookup
 from arborseq.operators import mining
 from arborseq.operators.dictionary import decode, dictionary, encode_rows, flist, frequent_items, redundant_ancestors
 from arborseq.operators.hierarchy import HierarchyError, Taxonomy, closure
@@ -150,6 +153,28 @@ def test_few_frequent_of_many_ids(spark, rows):
         assert as_dict(two.select("pattern", "frequency")) == {p: n for p, n in GOLDEN.items() if p.count(" ") == 1}
 
 
+def test_counts_by_edges(spark):
+    """A closure beyond the limit is made in the driver again if its edges are not; nothing is exploded."""
+    seqs = [("Nikon_D5300 other Nikon_D5300".split(), 2), (["other", None, "Camera"], 1), (["Ravelli_APGL5", "new"], 1), ([], 1), (None, 1)]
+    s, h = tables(spark, seqs, TREE)
+    with limits(rows=15, hierarchy=0):
+        tax = Taxonomy(h)
+        got = flist(s, tax.closure, edges=tax.edges)
+        assert "Generate" not in got._jdf.queryExecution().toString()
+        assert {r.item: (r.cf, r.df) for r in got.collect()} == {
+            "Nikon_D5300": (4, 2), "DSLR_Camera": (4, 2), "Camera": (5, 3), "other": (3, 3), "Ravelli_APGL5": (1, 1), "Tripod": (1, 1), "new": (1, 1)}
+
+
+@pytest.mark.parametrize("hashes", [None, lambda words: np.array([len(w or "") for w in words.to_pylist()], np.uint64)])
+def test_hashed_lookup(monkeypatch, hashes):
+    """Words with one hash are told apart too."""
+    if hashes:
+        monkeypatch.setattr(lookup, "_hashes", hashes)
+    asked = pa.array(["b", None, "cc", "x", "a", "dd", "", "zzz"])
+    assert lookup.HashedLookup(pa.array(["a", "b", "cc", "dd", "e"]))(asked).tolist() == [1, -1, 2, -1, 0, 3, -1, -1]
+    assert lookup.HashedLookup(pa.array([], pa.string()))(asked).tolist() == [-1] * 8
+
+
 def test_level_counters(example):
     got = [tuple(r) for r in mining.level_counters(example, 2, 1, 3).orderBy("length").collect()]
     assert {a: c for a, _, c in got} == Counter(len(p.split()) for p in GOLDEN) and all(b >= c for _, b, c in got)
